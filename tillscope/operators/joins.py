@@ -1,0 +1,32 @@
+"""Joins that stay whole and balanced whatever the size of the other side."""
+
+from __future__ import annotations
+
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from tillscope.session import scratch_path
+
+# A lookup of at most this many narrow rows is sent to every executor.
+BROADCAST_ROWS = 500_000
+
+
+def lookup_join(
+    rows: DataFrame, lookup: DataFrame, on: Sequence[str], *, broadcast_rows: int = BROADCAST_ROWS
+) -> DataFrame:
+    """Left join to a lookup with one row per key.
+
+    The lookup is counted first, never past the limit.  Below it the lookup is
+    broadcast and ``rows`` does not move.  Above it the lookup is written to the
+    shared folder and both sides are shuffled on the key: the lookup is then a
+    plain scan, which lets adaptive execution split the partition of a key that
+    holds a large part of ``rows``.
+    """
+    on = list(on)
+    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
+        return rows.join(F.broadcast(lookup), on, "left")
+    path = scratch_path(rows.sparkSession, "lookup")
+    lookup.write.parquet(path)
+    return rows.join(rows.sparkSession.read.parquet(path), on, "left")
