@@ -18,8 +18,8 @@ _WHITE = (
     "\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 )
 
-_DATE = r"(0?[1-9]|1[0-2])/(3[01]|[12]\d|0[1-9]| ?[1-9])/\d{4}"
-_TIME = r"(0?[1-9]|1[0-2]):[0-5]?\d:[0-5]?\d\s+[AaPp][Mm]"
+_DATE = r"^(0?[1-9]|1[0-2])/(3[01]|[12]\d|0[1-9]| ?[1-9])/(?!0000)\d{4}$"
+_CLOCK = r"^(0?[1-9]|1[0-2]):[0-5]?\d:[0-5]?\d\s+[AaPp][Mm]$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -27,24 +27,31 @@ def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_WHITE))
 
 
+def parse_day(text: Column) -> Column:
+    """``01/15/2025`` or ``1/5/2025`` as a date; impossible days are null."""
+    text = strip(text)
+    iso = F.regexp_replace(text, r"^(\d+)/ ?(\d+)/(\d+)$", "$3-$1-$2")
+    return F.when(text.rlike(_DATE), iso).try_cast("date")
+
+
+def parse_clock(text: Column) -> Column:
+    """``02:30:00 PM`` as the interval since midnight."""
+    text = strip(text)
+    clock = F.when(text.rlike(_CLOCK), F.regexp_extract(text, r"^[\d:]+", 0)).try_cast("interval hour to second")
+    afternoon = F.when(F.lower(F.right(text, F.lit(2))) == "pm", 12).otherwise(0)
+    # The hour after noon or midnight is written 12 but counts as 0.
+    twelve = F.when(text.startswith("12"), 12).otherwise(0)
+    return clock + F.make_dt_interval(hours=afternoon - twelve)
+
+
 def parse_timestamp(date: Column, time: Column) -> Column:
     """``01/15/2025`` and ``02:30:00 PM`` -> 2025-01-15 14:30:00."""
-    text = F.concat(strip(date), F.lit(" "), strip(time))
-    parts = F.split(F.when(text.rlike(rf"^{_DATE}\s+{_TIME}$"), text), r"[/:]|(?<=\d)\s+")
-    number = [F.get(parts, F.lit(i)).cast("int") for i in range(6)]
-    month, day, year, hour, minute, second = number
-    afternoon = F.lower(F.get(parts, F.lit(6))) == "pm"
-    return F.try_make_timestamp_ntz(
-        year, month, day, hour % 12 + F.when(afternoon, 12).otherwise(0), minute, second.cast("decimal(16,6)")
-    )
+    return parse_day(date).cast("timestamp_ntz") + parse_clock(time)
 
 
 def parse_date(date: Column) -> Column:
     """Midnight of ``01/15/2025``, for exports without a time column."""
-    text = strip(date)
-    parts = F.split(F.when(text.rlike(rf"^{_DATE}$"), text), "/")
-    month, day, year = (F.get(parts, F.lit(i)).cast("int") for i in range(3))
-    return F.try_make_timestamp_ntz(year, month, day, F.lit(0), F.lit(0), F.lit(0))
+    return parse_day(date).cast("timestamp_ntz")
 
 
 def parse_money(text: Column) -> Column:
