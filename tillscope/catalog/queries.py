@@ -211,7 +211,7 @@ def missing_column_report(spark, folder):
 
 @query
 def quarantine_split(spark, folder):
-    good, bad = contract.split_valid(_out_of_contract(spark, folder))
+    good, bad = contract.split_valid(_out_of_contract(spark, folder), staging=scratch_path(spark, "marked"))
     good = good.select("transaction_id", *LINE_ORDER, F.lit(0).alias("failures"))
     return good.unionByName(bad.select("transaction_id", *LINE_ORDER, F.size("failures").alias("failures")))
 

@@ -152,16 +152,28 @@ def require_valid(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFr
     return df
 
 
-def split_valid(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> tuple[DataFrame, DataFrame]:
+def mark_failures(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFrame:
+    """The rows with the array of their failing cells in ``failures``, empty for good rows."""
+    broken = _schema_failures(df, contract)
+    if broken:
+        raise ValueError(f"columns missing or of the wrong type: {[f[1] for f in broken]}")
+    return df.withColumn("failures", _cell_failures(df, contract))
+
+
+def split_valid(
+    df: DataFrame, contract: Sequence[Field] = CONTRACT, *, staging: str | None = None
+) -> tuple[DataFrame, DataFrame]:
     """Rows that meet every cell rule, and the others with their failures in ``failures``.
 
     For loads that set bad rows aside instead of rejecting the export.  A missing
-    or mistyped column still rejects it.
+    or mistyped column still rejects it.  The marked rows are written to
+    ``staging`` if given, so that both halves read columns instead of parsing
+    the text once each.
     """
-    broken = _schema_failures(df, contract)
-    if broken:
-        raise ValueError(f"columns missing or of the wrong type: {[f[1] for f in broken]}")
-    marked = df.withColumn("failures", _cell_failures(df, contract))
+    marked = mark_failures(df, contract)
+    if staging is not None:
+        marked.write.mode("overwrite").parquet(staging)
+        marked = df.sparkSession.read.parquet(staging)
     good = marked.where(F.size("failures") == 0).drop("failures")
     return good, marked.where(F.size("failures") > 0)
 

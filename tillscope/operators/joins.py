@@ -18,14 +18,14 @@ def lookup_join(
 ) -> DataFrame:
     """Left join to a lookup with one row per key.
 
-    The lookup is counted first, never past the limit.  Below it the lookup is
-    broadcast and ``rows`` does not move.  Above it the lookup is written to the
+    The lookup is counted first.  Up to the limit it is broadcast and ``rows``
+    does not move.  Above it the lookup is written to the
     shared folder and both sides are shuffled on the key: the lookup is then a
     plain scan, which lets adaptive execution split the partition of a key that
     holds a large part of ``rows``.
     """
     on = list(on)
-    if lookup.limit(broadcast_rows + 1).count() <= broadcast_rows:
+    if lookup.count() <= broadcast_rows:
         return rows.join(F.broadcast(lookup), on, "left")
     path = scratch_path(rows.sparkSession, "lookup")
     lookup.write.parquet(path)

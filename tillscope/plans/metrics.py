@@ -22,33 +22,44 @@ def date_bounds(lines: DataFrame) -> DataFrame:
     )
 
 
-def headline_kpis(lines: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
-    """One row of net sales, baskets, average basket, units and distinct item names; zeros when empty."""
-    sums = between_dates(lines, start, end).agg(
+def _kpi_sums() -> list[Column]:
+    return [
         total(F.col("net_sales")).alias("net_sales"),
         F.count_distinct("transaction_id").alias("transactions"),
         total(F.col("qty")).alias("units"),
         F.count_distinct("item").alias("distinct_items"),
-    )
-    average = F.when(F.col("transactions") == 0, 0.0).otherwise(
+    ]
+
+
+def _average_basket() -> Column:
+    return F.when(F.col("transactions") == 0, 0.0).otherwise(
         F.col("net_sales").cast("double") / F.col("transactions")
     )
-    return sums.select("net_sales", "transactions", average.alias("avg_basket"), "units", "distinct_items")
 
 
-def kpi_rows(kpis: DataFrame, *keep: str) -> DataFrame:
-    """The KPI row turned long: one row per KPI, with its value as double."""
-    cells = F.array(
-        *(
-            F.struct(
-                F.lit(shown).alias("kpi"),
-                F.col(column).cast("double").alias("value"),
-                F.lit(is_money).alias("is_money"),
-            )
-            for shown, column, is_money in KPIS
-        )
+def headline_kpis(lines: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
+    """One row of net sales, baskets, average basket, units and distinct item names; zeros when empty."""
+    sums = between_dates(lines, start, end).agg(*_kpi_sums())
+    return sums.select("net_sales", "transactions", _average_basket().alias("avg_basket"), "units", "distinct_items")
+
+
+def headline_kpis_by_range(lines: DataFrame, ranges: DataFrame) -> DataFrame:
+    """The KPI row of each of a few (label, start, end) ranges, in one pass over the lines.
+
+    The ranges may overlap; a range without sales has no row.
+    """
+    return in_ranges(lines, ranges).groupBy("label").agg(*_kpi_sums()).withColumn("avg_basket", _average_basket())
+
+
+def in_ranges(df: DataFrame, ranges: DataFrame) -> DataFrame:
+    """Each row once per (label, start, end) range that its date lies in, with the label."""
+    few = ranges.agg(F.collect_list(F.struct("label", "start", "end"))).scalar()
+    return (
+        df.withColumn("_ranges", few)
+        .select("*", F.inline("_ranges"))
+        .where(F.col("date").between(F.col("start"), F.col("end")))
+        .drop("_ranges", "start", "end")
     )
-    return kpis.select(*keep, F.inline(cells))
 
 
 def kpi_cards(kpis: DataFrame) -> DataFrame:
