@@ -47,6 +47,8 @@ def test_timestamps_combine_and_bad_ones_become_null(spark):
         # Skipped by the clock change in the session's zone, yet a valid local time.
         ("03/09/2025", "02:30:00 AM", dt.datetime(2025, 3, 9, 2, 30)),
         ("02/29/2024", "01:00:00 AM", dt.datetime(2024, 2, 29, 1)),
+        ("12/31/2024", "11:59:61 PM", dt.datetime(2025, 1, 1, 0, 0, 1)),
+        ("12/31/2024", "11:59:62 PM", None),
         ("Not a date", "02:30:00 PM", None),
         ("13/45/2025", "02:30:00 PM", None),
         ("02/30/2025", "02:30:00 PM", None),

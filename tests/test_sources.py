@@ -136,3 +136,20 @@ def test_whole_path_from_csv_to_baskets(spark, export, tmp_path):
     items = {(r.line_item_id, r.sku) for r in tables["line_items"].collect()}
     assert items == {("SQ2-1", "SNK-001"), ("SQ1-1", "SNK-001"), ("SQ2-2", "SNK-002")}
     assert {(r.transaction_id, r.num_line_items) for r in tables["transactions"].collect()} == {("SQ1", 1), ("SQ2", 2)}
+
+
+@pytest.mark.parametrize("limit", [500_000, 1])
+def test_files_follow_each_other_by_path(spark, tmp_path, monkeypatch, limit):
+    """A basket that continues in the next file keeps its order, also when the file list is too long to broadcast."""
+    from tillscope.operators import joins
+
+    monkeypatch.setitem(joins.lookup_join.__kwdefaults__, "broadcast_rows", limit)
+    folder = tmp_path / "exports"
+    folder.mkdir()
+    for day, prices in (("2025-01-02 b", (4, 5, 6, 7)), ("2025-01-01 a%", (1, 2)), ("2025-01-03", (8,))):
+        rows = [sales_row(**{"Net Sales": f"${p}.00"}) for p in prices]
+        (folder / f"{day}.csv").write_text("\n".join([HEADER, *rows]) + "\n")
+    cleaned = ingest_csv(spark, str(folder))
+    assert dict(cleaned.dtypes)["source_file"] == "int"
+    rows = cleaned.orderBy("source_file", "source_row").collect()
+    assert [int(r.net_sales) for r in rows] == [1, 2, 4, 5, 6, 7, 8]

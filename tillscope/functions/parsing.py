@@ -19,7 +19,8 @@ _WHITE = (
 )
 
 _DATE = r"^(0?[1-9]|1[0-2])/(3[01]|[12]\d|0[1-9]| ?[1-9])/(?!0000)\d{4}$"
-_CLOCK = r"^(0?[1-9]|1[0-2]):[0-5]?\d:[0-5]?\d\s+[AaPp][Mm]$"
+# Seconds 60 and 61 are leap seconds and run on into the next minute.
+_CLOCK = r"^(0?[1-9]|1[0-2]):[0-5]?\d:([0-5]?\d|6[01])\s+[AaPp][Mm]$"
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -37,11 +38,13 @@ def parse_day(text: Column) -> Column:
 def parse_clock(text: Column) -> Column:
     """``02:30:00 PM`` as the interval since midnight."""
     text = strip(text)
-    clock = F.when(text.rlike(_CLOCK), F.regexp_extract(text, r"^[\d:]+", 0)).try_cast("interval hour to second")
+    clock = F.when(text.rlike(_CLOCK), text)
+    minutes = F.regexp_extract(clock, r"^\d+:\d+", 0).try_cast("interval hour to minute")
+    seconds = F.regexp_extract(clock, r":(\d+)\s", 1).try_cast("decimal(8,6)")
     afternoon = F.when(F.lower(F.right(text, F.lit(2))) == "pm", 12).otherwise(0)
     # The hour after noon or midnight is written 12 but counts as 0.
     twelve = F.when(text.startswith("12"), 12).otherwise(0)
-    return clock + F.make_dt_interval(hours=afternoon - twelve)
+    return minutes + F.make_dt_interval(hours=afternoon - twelve, secs=seconds)
 
 
 def parse_timestamp(date: Column, time: Column) -> Column:

@@ -80,5 +80,5 @@ TABLES = ("transactions", "line_items", "daily_item_sales")
 
 MONEY = "decimal(18,2)"
 
-# Position of a row in its file, kept from the scan until the tables are built.
+# Number of the file and position in it, kept from the scan until the tables are built.
 ROW_ORDER = ("source_file", "source_row")

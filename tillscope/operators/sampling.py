@@ -37,7 +37,9 @@ def drawn_baskets(
     df: DataFrame, fraction: float, seed: int, *, stratum: str = "date", basket: str = "transaction_id"
 ) -> DataFrame:
     """The (stratum, basket) pairs that the draw keeps."""
-    draw = F.md5(F.concat(F.lit(f"{seed}:"), F.col(basket)).cast("binary"))
+    # Never null, and declared so: otherwise the join on the bucket would test the
+    # hash of every line before the lines are reduced to baskets.
+    draw = F.coalesce(F.md5(F.concat(F.lit(f"{seed}:"), F.col(basket)).cast("binary")), F.lit(""))
     baskets = (
         df.where(F.col(stratum).isNotNull() & F.col(basket).isNotNull())
         .select(stratum, basket)

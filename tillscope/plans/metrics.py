@@ -89,25 +89,22 @@ def category_mix_ascending(lines: DataFrame, start: DateLike, end: DateLike) ->
 
 def hour_weekday_counts(baskets: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """Baskets per weekday and hour: always 168 rows, Monday 0 h to Sunday 23 h."""
-    counts = (
-        between_dates(baskets, start, end).groupBy("weekday", "hour").agg(F.count("*").alias("transactions"))
-    )
-    return fill_week_grid(counts)
-
-
-def fill_week_grid(counts: DataFrame) -> DataFrame:
-    """Lay (weekday, hour, transactions) on the full week, zero where there is nothing."""
     slot = F.col("id").cast("int")
     names = F.array(*map(F.lit, WEEKDAYS))
-    grid = counts.sparkSession.range(0, 7 * 24, 1, 1).select(
+    week = baskets.sparkSession.range(0, 7 * 24, 1, 1).select(
         slot.alias("_slot"),
         F.get(names, (slot / 24).cast("int")).alias("weekday"),
         (slot % 24).alias("hour"),
     )
-    # At most one row per weekday name and hour, and only 7 x 24 of them can match.
-    known = counts.where(F.col("weekday").isin(*WEEKDAYS) & F.col("hour").between(0, 23))
+    counts = (
+        between_dates(baskets, start, end)
+        .where(F.col("weekday").isin(*WEEKDAYS) & F.col("hour").between(0, 23))
+        .groupBy("weekday", "hour")
+        .agg(F.count("*").alias("transactions"))
+    )
+    # Seven names and 24 hours: the counts have 168 rows at most.
     return (
-        grid.join(F.broadcast(known), ["weekday", "hour"], "left")
+        week.join(F.broadcast(counts), ["weekday", "hour"], "left")
         .orderBy("_slot")
         .select("weekday", "hour", F.coalesce("transactions", F.lit(0)).cast("bigint").alias("transactions"))
     )

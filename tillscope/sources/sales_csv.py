@@ -4,14 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillscope.names import ROW_ORDER
 from tillscope.operators.cleaning import clean
+from tillscope.operators.joins import lookup_join
 
 _MALFORMED = "_malformed"
+_PATH = "_path"
 _OVERFLOW = "_overflow"
 
 
@@ -34,7 +36,7 @@ def read_sales_csv(
     splitting a file over tasks.
 
     ``keep_order`` adds ``source_file`` and ``source_row``, which sort the rows
-    as they stand in their files.
+    as they stand in their files, the files in the order of their paths.
     """
     if ragged not in ("raise", "truncate"):
         raise ValueError(f"ragged must be 'raise' or 'truncate', not {ragged!r}")
@@ -63,17 +65,29 @@ def read_sales_csv(
         rows = spark.read.schema(schema).options(**options).csv(paths)
     if keep_order:
         # The id grows along a file: its high bits are the split, its low bits the row.
-        file_column, row_column = ROW_ORDER
-        rows = rows.withColumn(file_column, F.col("_metadata.file_path")).withColumn(
-            row_column, F.monotonically_increasing_id()
+        rows = rows.withColumn(_PATH, F.col("_metadata.file_path")).withColumn(
+            "source_row", F.monotonically_increasing_id()
         )
         wanted = wanted + list(ROW_ORDER)
     if ragged == "raise":
         rows = rows.where(_not_overlong(schema, F.col(_MALFORMED)))
+    if keep_order:
+        rows = lookup_join(rows, _numbered_files(spark, paths), [_PATH])
     return rows.select(*(F.col(f"`{name}`") for name in wanted))
 
 
-def _not_overlong(schema: T.StructType, line):
+def _numbered_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """Each input file with its place in path order, from the listing alone; contents stay unread.
+
+    Rows then carry a small number instead of a long path.  The window holds one
+    row per file, no more than the listing that Spark makes for every scan.
+    """
+    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("_metadata.file_path").alias(_PATH))
+    number = F.row_number().over(Window.orderBy(_PATH))
+    return files.distinct().withColumn("source_file", number)
+
+
+def _not_overlong(schema: T.StructType, line: Column) -> Column:
     """True, or an error naming the line when it has more cells than the header.
 
     Spark keeps the text of every row whose cell count is off; only those few are
@@ -95,4 +109,5 @@ def ingest_csv(spark: SparkSession, path: str | Sequence[str], **read_options) -
 
 def write_sales_csv(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
     """Write a directory of CSV files, each with a header; nulls become empty cells."""
-    df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="").csv(path)
+    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="", **spaces).csv(path)
