@@ -2,6 +2,7 @@ from pathlib import Path
 
 import pytest
 
+from tillscope.functions.calendar import between_dates
 from tillscope.names import PRIVATE_COLUMNS, RAW_COLUMNS
 from tillscope.operators.cleaning import clean
 from tillscope.sources import order_lines
@@ -116,18 +117,27 @@ def test_tables_survive_storage(spark, folder, tmp_path, by_month):
     assert units.exceptAll(lines).isEmpty() and lines.exceptAll(units).isEmpty()
 
 
-def test_month_layout_prunes_folders(spark, folder, tmp_path):
-    save_tables({"line_items": order_lines.sales_lines(spark, folder)}, str(tmp_path), by_month=True)
+def test_month_layout_reads_only_the_months_of_a_range(spark, folder, tmp_path):
+    lines = order_lines.sales_lines(spark, folder)
+    save_tables({"line_items": lines}, str(tmp_path), by_month=True)
     stored = open_tables(spark, str(tmp_path), ["line_items"])["line_items"]
-    one = stored.where("sale_month = DATE '1996-03-01'")
-    assert "PartitionFilters: [isnotnull(sale_month" in one._jdf.queryExecution().executedPlan().toString()
-    assert one.count() == stored.where("date between DATE '1996-03-01' and DATE '1996-03-31'").count() > 0
+    some = between_dates(stored, "1996-03-10", "1996-04-20")
+    plan = some._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(sale_month" in plan and "PushedFilters: [IsNotNull(date)" in plan
+    assert some.count() == between_dates(lines, "1996-03-10", "1996-04-20").count() > 0
 
 
-def test_invalid_exports_load_nothing(spark, export):
+def test_invalid_exports_load_nothing(spark, export, tmp_path):
     path = export("\n".join([HEADER, sales_row(), sales_row(qty="N/A")]) + "\n")
-    with pytest.raises(ContractError, match="1 issue"):
-        build_and_load(ingest_csv(spark, path))
+    spark.catalog.dropTempView("line_items")
+    for folder in (None, str(tmp_path / "tables")):
+        with pytest.raises(ContractError, match=r"1 issue\(s\) in 2 rows"):
+            build_and_load(ingest_csv(spark, path), folder=folder)
+    lacking = ingest_csv(spark, path).drop("sku")
+    with pytest.raises(ContractError, match=r"2 issue\(s\) in 2 rows"):
+        build_and_load(lacking, folder=str(tmp_path / "tables"))
+    assert not spark.catalog.tableExists("line_items")
+    assert not (tmp_path / "tables" / "line_items").exists()
 
 
 def test_whole_path_from_csv_to_baskets(spark, export, tmp_path):

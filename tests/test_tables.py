@@ -63,6 +63,14 @@ def test_large_groups_are_numbered_in_slices(spark, group_rows):
     assert got == want
 
 
+def test_stored_baskets_tell_which_are_large(spark):
+    rows = cleaned(spark, [line(n, "A" if n % 4 else "B") for n in range(1, 41)])
+    baskets = build_transactions(rows, ["n"])
+    items = build_line_items(rows, ["n"], basket_rows=20, transactions=baskets)
+    plain = build_line_items(rows, ["n"], basket_rows=None)
+    assert items.exceptAll(plain).isEmpty() and plain.exceptAll(items).isEmpty()
+
+
 def test_baskets_take_the_first_value_that_is_there(spark):
     rows = [
         line(1, "A", hour=9, qty=2.0, payment=None, device="d1"),

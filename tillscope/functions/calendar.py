@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from tillscope.names import FIRST_DAYS_OF_MONTH, SUMMER_MONTHS, WEEKDAYS, WEEKEND
 
+# Column that stored tables are laid out by.
+MONTH = "sale_month"
+
 DateLike = dt.date | dt.datetime | str | Column
 
 
@@ -29,6 +32,9 @@ def in_range(start: DateLike, end: DateLike, date: str = "date") -> Column:
 
 
 def between_dates(df: DataFrame, start: DateLike, end: DateLike, date: str = "date") -> DataFrame:
+    """The rows of a date range; tables laid out by month read only the months it touches."""
+    if date == "date" and MONTH in df.columns:
+        df = df.where(F.col(MONTH).between(month_start(as_date(start)), month_start(as_date(end))))
     return df.where(in_range(start, end, date))
 
 

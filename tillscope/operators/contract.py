@@ -10,7 +10,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -152,6 +152,23 @@ def require_valid(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFr
     return df
 
 
+def write_valid(df: DataFrame, path: str, contract: Sequence[Field] = CONTRACT) -> DataFrame:
+    """Write the frame as Parquet and read it back, or ContractError.
+
+    The contract is checked on the way, while the rows are written, so large
+    text is parsed once and no second pass reads it for the check.
+    """
+    if _schema_failures(df, contract):
+        require_valid(df, contract)
+    watch = Observation("contract")
+    errors = F.coalesce(F.sum(F.size(_cell_failures(df, contract))), F.lit(0))
+    watched = df.observe(watch, F.count(F.lit(1)).alias("row_count"), errors.cast("bigint").alias("error_count"))
+    watched.write.mode("overwrite").parquet(path)
+    if watch.get["error_count"]:
+        raise ContractError(watch.get)
+    return df.sparkSession.read.parquet(path)
+
+
 def mark_failures(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFrame:
     """The rows with the array of their failing cells in ``failures``, empty for good rows."""
     broken = _schema_failures(df, contract)

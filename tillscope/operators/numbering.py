@@ -20,18 +20,21 @@ def number_rows(
     name: str = "row_no",
     *,
     group_rows: int | None = GROUP_ROWS,
+    sizes: DataFrame | None = None,
 ) -> DataFrame:
     """Add ``name`` = 1, 2, 3, ... within ``key``, following ``order``.
 
     Rows without a key get no number.  A group of more than ``group_rows`` rows
     is cut into consecutive slices that are numbered in parallel, each continuing
     after the rows of the slices before it.  Finding such groups costs one
-    pre-aggregated pass over the key column; ``group_rows=None`` skips it for
+    pre-aggregated pass over the key column, unless ``sizes`` brings the rows per
+    key (key column first, count second); ``group_rows=None`` skips it for
     sources whose groups are known to be small.
     """
     if group_rows is not None:
-        large = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_rows"))
-        large = large.where(F.col("_rows") > group_rows)
+        if sizes is None:
+            sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*"))
+        large = sizes.toDF(key, "_rows").where(F.col("_rows") > group_rows)
         if not large.isEmpty():
             return _number_with_slices(df, large, key, order, name, group_rows)
     return _number_in_tasks(df, key, order, name)

@@ -43,13 +43,20 @@ def build_line_items(
     *,
     keep_order: bool = False,
     basket_rows: int | None = GROUP_ROWS,
+    transactions: DataFrame | None = None,
 ) -> DataFrame:
     """One row per exported line, numbered ``<transaction_id>-<n>`` in row order.
 
-    ``keep_order`` keeps the order columns behind the table's own.
+    ``keep_order`` keeps the order columns behind the table's own.  Baskets of
+    more than ``basket_rows`` lines are numbered in parallel; a stored
+    ``transactions`` table of the same rows tells which those are without a pass
+    over the lines.
     """
     order = _order(cleaned, order)
-    numbered = number_rows(_typed(cleaned), "transaction_id", order, "_n", group_rows=basket_rows)
+    sizes = transactions.select("transaction_id", "num_line_items") if transactions is not None else None
+    numbered = number_rows(
+        _typed(cleaned), "transaction_id", order, "_n", group_rows=basket_rows, sizes=sizes
+    )
     numbered = numbered.withColumn(
         "line_item_id", F.concat(F.col("transaction_id"), F.lit("-"), F.col("_n").cast("string"))
     )

@@ -7,11 +7,10 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tillscope.functions.calendar import month_start
-from tillscope.operators.contract import require_valid
-from tillscope.plans.tables import build_tables
-
-MONTH = "sale_month"
+from tillscope.functions.calendar import MONTH, month_start
+from tillscope.names import TABLES
+from tillscope.operators.contract import require_valid, write_valid
+from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_tables, build_transactions
 
 
 def load_views(tables: Mapping[str, DataFrame]) -> None:
@@ -63,15 +62,27 @@ def build_and_load(
     text is parsed once and each table is computed once; without it the views
     are lazy and each query computes what it needs.
     """
-    if folder is not None:
-        staged = f"{folder}/cleaned"
-        cleaned.write.mode("overwrite").parquet(staged)
-        cleaned = cleaned.sparkSession.read.parquet(staged)
-    if check:
-        require_valid(cleaned)
-    tables = build_tables(cleaned, order)
     if folder is None:
+        if check:
+            require_valid(cleaned)
+        tables = build_tables(cleaned, order)
         load_views(tables)
         return tables
-    save_tables(tables, folder, by_month=by_month)
-    return open_tables(cleaned.sparkSession, folder, list(tables))
+
+    spark, staged = cleaned.sparkSession, f"{folder}/cleaned"
+    if check:
+        rows = write_valid(cleaned, staged)
+    else:
+        cleaned.write.mode("overwrite").parquet(staged)
+        rows = spark.read.parquet(staged)
+    save_tables({"transactions": build_transactions(rows, order)}, folder, by_month=by_month)
+    stored = open_tables(spark, folder, ["transactions"])["transactions"]
+    save_tables(
+        {
+            "line_items": build_line_items(rows, order, transactions=stored),
+            "daily_item_sales": build_daily_item_sales(rows, order),
+        },
+        folder,
+        by_month=by_month,
+    )
+    return open_tables(spark, folder, TABLES)
