@@ -343,6 +343,13 @@ checks AS (
 )
 """
 
+_RECONCILED_OUT = f"""
+WITH {_RECONCILED}
+SELECT date_range, kpi, v AS independent_value, v AS application_value,
+    CAST(0 AS DOUBLE) AS difference, 'PASS' AS status, is_money
+FROM checks
+"""
+
 ORACLE: dict[str, str] = {
     # ingestion
     "clean_line_items": f"WITH {CLEANED} {_CLEAN_OUT}",
@@ -591,12 +598,8 @@ FROM ids GROUP BY date
 WITH {SALES}, {_RANGES}
 SELECT label, CAST(start AS VARCHAR) AS start, CAST("end" AS VARCHAR) AS "end" FROM ranges
 """,
-    "kpi_reconciliation": f"""
-WITH {_RECONCILED}
-SELECT date_range, kpi, v AS independent_value, v AS application_value,
-    CAST(0 AS DOUBLE) AS difference, 'PASS' AS status, is_money
-FROM checks
-""",
+    "kpi_reconciliation": _RECONCILED_OUT,
+    "export_reconciliation": _RECONCILED_OUT,
     "reconciliation_verdict": f"""
 WITH {_RECONCILED}
 SELECT count(*) AS checks, count(*) FILTER (v IS NULL) AS failed, 'PASS' AS verdict FROM checks

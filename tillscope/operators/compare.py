@@ -44,12 +44,9 @@ def align(expected: DataFrame, actual: DataFrame, keys: Sequence[str], values: S
 
 def key_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that only one side has, each marked with that side; empty when the sets are equal."""
-    return (
-        left.distinct()
-        .exceptAll(right.distinct())
-        .withColumn("side", F.lit("left"))
-        .unionByName(right.distinct().exceptAll(left.distinct()).withColumn("side", F.lit("right")))
-    )
+    only_left = left.subtract(right).withColumn("side", F.lit("left"))
+    only_right = right.subtract(left).withColumn("side", F.lit("right"))
+    return only_left.unionByName(only_right)
 
 
 def common_keys(left: DataFrame, right: DataFrame) -> DataFrame:

@@ -18,10 +18,12 @@ def local_session(cores: int | str = "*", name: str = "tillscope", **conf: str)
         .config("spark.sql.shuffle.partitions", "8")
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
+        # Recording the Python call site of every expression takes longer than planning.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         # Local tables are single small files: without these two, one task would
         # read a whole table and carry everything up to the next shuffle alone.
         .config("spark.sql.files.openCostInBytes", str(1 << 20))
-        .config("spark.sql.autoBroadcastJoinThreshold", str(1 << 20))
+        .config("spark.sql.autoBroadcastJoinThreshold", str(1 << 18))
     )
     for key, value in conf.items():
         builder = builder.config(key, value)
