@@ -163,3 +163,46 @@ def test_files_follow_each_other_by_path(spark, tmp_path, monkeypatch, limit):
     assert dict(cleaned.dtypes)["source_file"] == "int"
     rows = cleaned.orderBy("source_file", "source_row").collect()
     assert [int(r.net_sales) for r in rows] == [1, 2, 4, 5, 6, 7, 8]
+
+
+@pytest.mark.parametrize(
+    "header, names",
+    [
+        ("Tax,B,Tax,Tax", ["Tax", "B", "Tax.1", "Tax.2"]),
+        ("A,,C,", ["A", "Unnamed: 1", "C", "Unnamed: 3"]),
+        ("a,A,b,c", ["a", "A", "b", "c"]),
+        ("A.x,B`y,c d, e ", ["A.x", "B`y", "c d", " e "]),
+        ("﻿A,B,C,D", ["A", "B", "C", "D"]),
+    ],
+)
+def test_odd_headers(spark, export, header, names):
+    rows = read_sales_csv(spark, export(f"{header}\r\n1,2,3,4\r\n\r\n5,6,7,8\r\n"), keep_order=False)
+    assert rows.columns == names
+    assert [tuple(r) for r in rows.collect()] == [("1", "2", "3", "4"), ("5", "6", "7", "8")]
+
+
+def test_a_file_without_header_is_an_error(spark, export):
+    with pytest.raises(ValueError, match="no header"):
+        read_sales_csv(spark, export(""))
+
+
+def test_a_file_without_rows_gives_none(spark, export):
+    path = export(HEADER + "\n")
+    assert ingest_csv(spark, path).isEmpty()
+
+
+def test_rows_can_be_counted_without_reading_cells(spark, export):
+    path = export("\n".join([HEADER, sales_row(), "01/15/2025", sales_row()]) + "\n")
+    assert ingest_csv(spark, path).count() == 3
+    assert read_sales_csv(spark, path, ["Date"], keep_order=False).count() == 3
+    long = export("A,B\n1,2\n1,2,3\n", "long.csv")
+    with pytest.raises(Exception, match="more cells than the header"):
+        read_sales_csv(spark, long, ["A"], keep_order=False).count()
+
+
+def test_long_rows_fail_the_cleaned_scan_too(spark, export):
+    """Dropping the private columns at the end of a row must not hide surplus cells behind them."""
+    path = export("\n".join([HEADER, sales_row(), sales_row() + ",surplus"]) + "\n")
+    with pytest.raises(Exception, match="more cells than the header"):
+        ingest_csv(spark, path).select("sku").collect()
+    assert ingest_csv(spark, path, ragged="truncate").count() == 2

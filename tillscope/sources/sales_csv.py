@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -40,40 +41,56 @@ def read_sales_csv(
     """
     if ragged not in ("raise", "truncate"):
         raise ValueError(f"ragged must be 'raise' or 'truncate', not {ragged!r}")
-    options = {
-        "header": True,
-        "inferSchema": False,
-        "enforceSchema": False,
-        "quote": '"',
-        "escape": '"',
-        "multiLine": multiline,
-    }
     paths = [path] if isinstance(path, str) else list(path)
-    header = spark.read.options(**options).csv(paths).columns
-    schema = T.StructType([T.StructField(name, T.StringType()) for name in header])
+    options = {"inferSchema": False, "quote": '"', "escape": '"', "multiLine": multiline}
+    first = spark.read.options(**options).csv(paths).first()
+    if first is None:
+        raise ValueError(f"no header in {paths}")
+    header = _distinct_names(list(first))
     wanted = list(columns) if columns is not None else header
     missing = [name for name in wanted if name not in header]
     if missing:
         raise ValueError(f"columns not in the file: {missing}")
 
+    # With plain names Spark itself checks the header of every file against them.
+    # Repeated and blank ones it cannot tell apart, so those are read by position.
+    plain = header == list(first) and len({name.lower() for name in header}) == len(header)
+    cells = header if plain else [f"_c{i}" for i in range(len(header))]
+    options |= {"header": True, "enforceSchema": not plain}
+    schema = T.StructType([T.StructField(name, T.StringType()) for name in cells])
     if ragged == "raise":
+        # A parser that skips unread columns does not count cells, so it must not skip.
         checked = T.StructType(schema.fields + [T.StructField(_MALFORMED, T.StringType())])
-        rows = (
-            spark.read.schema(checked).options(**options, columnNameOfCorruptRecord=_MALFORMED).csv(paths)
-        )
+        reader = spark.read.schema(checked).options(**options, columnPruning=False)
+        rows = reader.option("columnNameOfCorruptRecord", _MALFORMED).csv(paths)
     else:
         rows = spark.read.schema(schema).options(**options).csv(paths)
+    chosen = [F.col(_quoted(cells[header.index(name)])).alias(name) for name in wanted]
     if keep_order:
         # The id grows along a file: its high bits are the split, its low bits the row.
         rows = rows.withColumn(_PATH, F.col("_metadata.file_path")).withColumn(
             "source_row", F.monotonically_increasing_id()
         )
-        wanted = wanted + list(ROW_ORDER)
+        chosen += [F.col(name) for name in ROW_ORDER]
     if ragged == "raise":
-        rows = rows.where(_not_overlong(schema, F.col(_MALFORMED)))
+        rows = rows.where(_not_overlong(schema))
     if keep_order:
         rows = lookup_join(rows, _numbered_files(spark, paths), [_PATH])
-    return rows.select(*(F.col(f"`{name}`") for name in wanted))
+    return rows.select(*chosen)
+
+
+def _quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def _distinct_names(header: Sequence[str | None]) -> list[str]:
+    """Blank headers named by position, repeated ones numbered: ``Tax``, ``Tax.1``, ``Tax.2``."""
+    names, seen = [], Counter()
+    for place, name in enumerate(header):
+        name = name or f"Unnamed: {place}"
+        names.append(f"{name}.{seen[name]}" if seen[name] else name)
+        seen[name] += 1
+    return names
 
 
 def _numbered_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
@@ -87,19 +104,19 @@ def _numbered_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return files.distinct().withColumn("source_file", number)
 
 
-def _not_overlong(schema: T.StructType, line: Column) -> Column:
+def _not_overlong(schema: T.StructType) -> Column:
     """True, or an error naming the line when it has more cells than the header.
 
     Spark keeps the text of every row whose cell count is off; only those few are
     parsed once more, with one column to spare.
     """
+    line = F.col(_MALFORMED)
     spare = ", ".join(f"c{i} STRING" for i in range(len(schema.fields))) + f", {_OVERFLOW} STRING"
-    cells = F.from_csv(line, spare, {"quote": '"', "escape": '"'})
-    return (
-        F.when(line.isNull(), True)
-        .when(cells[_OVERFLOW].isNull(), True)
-        .otherwise(F.raise_error(F.concat(F.lit("row has more cells than the header: "), line)).cast("boolean"))
-    )
+    surplus = F.from_csv(line, spare, {"quote": '"', "escape": '"'})[_OVERFLOW]
+    # Naming a cell keeps the scan legal when a query needs none, as a count does.
+    first = F.coalesce(F.col(_quoted(schema.fields[0].name)), F.lit(""))
+    message = F.concat(F.lit("row "), first, F.lit(" has more cells than the header: "), line)
+    return F.when(line.isNull() | surplus.isNull(), True).otherwise(F.raise_error(message).cast("boolean"))
 
 
 def ingest_csv(spark: SparkSession, path: str | Sequence[str], **read_options) -> DataFrame:
