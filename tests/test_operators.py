@@ -151,3 +151,40 @@ def test_grains_of_wrong_tables_differ(spark, folder):
     items, baskets, daily = build_line_items(lines, order), build_transactions(lines, order), build_daily_item_sales(lines, order)
     assert set(reconcile.grain_checks(items, baskets, daily).first()) == {0}
     assert reconcile.grain_checks(items, baskets.limit(5), daily).first().line_count_diff > 0
+
+
+@pytest.fixture
+def tight(spark):
+    """Thresholds at which a few thousand rows of one key count as skewed, and no broadcast."""
+    settings = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "64KB",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "2",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "32KB",
+    }
+    before = {key: spark.conf.get(key) for key in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    yield
+    for key, value in before.items():
+        spark.conf.set(key, value)
+
+
+def test_hot_keys_are_split_over_tasks(spark, windows, tight):
+    """Half of all rows share one sku, day and basket."""
+    rows = spark.range(0, 200_000, 1, 8).selectExpr(
+        "IF(id % 2 = 0, 'BEV-001', concat('P-', id % 5000)) AS sku",
+        "date_add(DATE '2025-01-01', IF(id % 2 = 0, 12, cast(id % 60 as int))) AS date",
+        "IF(id % 2 = 0, 'HOT', concat('T', id)) AS transaction_id",
+        "md5(cast(id as string)) AS payload",
+    )
+    joins = {
+        "flag": stockouts.flag_out_of_stock(rows, windows, broadcast_rows=1).where("out_of_stock"),
+        "inside": stockouts.sales_inside_windows(rows, windows),
+        "sample": sample_baskets(rows, 1.0, 1),
+    }
+    for name, joined in joins.items():
+        # The payload keeps the rows as wide as real ones; its lengths count the rows.
+        result = joined.agg(F.sum(F.length("payload")) / 32, F.max("payload"))
+        assert result.collect()[0][0] == (200_000 if name == "sample" else 100_000), name
+        assert "skew=true" in result._jdf.queryExecution().executedPlan().toString(), name
