@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import toxicity
+from tillscope.llm import bpe, language_id, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -15,8 +16,19 @@ def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op7_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    return language_id.identify_language(table(spark, folder, "documents"))
+
+
+def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary.read(public_tokenizers.path("word_bpe_49k.json"))
+    return bpe.encoding_digests(table(spark, folder, "documents"), vocabulary)
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
+    "op7_language_id": op7_language_id,
+    "op8_bpe": op8_bpe,
 }
 
 ORACLE: dict[str, str] = {}
