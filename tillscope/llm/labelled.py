@@ -11,6 +11,14 @@ def remainder(column: str, modulus: int) -> Column:
     return F.crc32(F.col(column).cast("string").cast("binary")) % modulus
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table does not have, whatever the case of its letters."""
+    taken = {column.lower() for column in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def held_out(modulus: int, rest: int) -> Column:
     return F.coalesce(remainder("doc_id", modulus) == rest, F.lit(False))
 
