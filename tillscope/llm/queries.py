@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import bpe, language_id, quality_rules, secrets, toxicity
+from tillscope.llm import bpe, decontaminate, language_id, quality_rules, secrets, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
@@ -33,12 +33,17 @@ def op8_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return bpe.encoding_digests(table(spark, folder, "documents"), vocabulary)
 
 
+def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontaminate.leaked_items(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 QUERIES = {
     "op3_toxicity": op3_toxicity,
     "op5_secrets": op5_secrets,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_bpe": op8_bpe,
+    "op9_decontaminate": op9_decontaminate,
 }
 
 ORACLE: dict[str, str] = {}
