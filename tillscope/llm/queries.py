@@ -5,13 +5,17 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tillscope.llm import bpe, decontaminate, language_id, quality_rules, secrets, toxicity
+from tillscope.llm import bpe, decontaminate, language_id, minhash, quality_rules, secrets, toxicity
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def op2_minhash(spark: SparkSession, folder: str) -> DataFrame:
+    return minhash.duplicate_classes(table(spark, folder, "documents"))
+
+
 def op3_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -38,6 +42,7 @@ def op9_decontaminate(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_minhash": op2_minhash,
     "op3_toxicity": op3_toxicity,
     "op5_secrets": op5_secrets,
     "op6_quality_rules": op6_quality_rules,
