@@ -12,8 +12,7 @@ item's windows.
 
 Only built-in functions are used.  Windows that met are written to the shared
 folder before the slots are looked up.  Documents are never shuffled by their
-windows as long as the benchmark has at most ``BROADCAST_ROWS`` of them (counted
-first); beyond that both sides are joined on the hash.  The same holds for the
+windows as long as the benchmark has at most a million of them (counted first); beyond that both sides are joined on the hash.  The same holds for the
 documents whose slots are looked up.
 
 Null texts have no words; a null or empty item is never found.  An item shorter
@@ -27,13 +26,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.labelled import small
 from tillscope.session import scratch_path
 
 WINDOW = 8
 SHARE = 0.5
-# Narrow rows of about 50 bytes.
-BROADCAST_ROWS = 1_000_000
-
 # Units that are placeholders after a number.
 UNITS = (
     "mm cm m km g kg mg t l ml s sec min h d % inch inches ft feet yard yards mile miles lb lbs oz "
@@ -91,10 +88,6 @@ def _pattern(slots: Column) -> Column:
     return F.transform(slots, lambda s: F.array_position(slots, s))
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, share): items that documents hold, one row per pair."""
     spark = documents.sparkSession
@@ -130,11 +123,11 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     for part in parts[1:]:
         every = every.unionByName(part)
     path = scratch_path(spark, "windows")
-    every.join(_small(wanted), ["width", "hash"]).drop("hash").write.parquet(path)
+    every.join(small(wanted), ["width", "hash"]).drop("hash").write.parquet(path)
     met = spark.read.parquet(path)
     return _consistent(met, texts).groupBy("doc_id", "text_hash", "item_id").agg(
         F.countDistinct("item_place").alias("n_windows")
-    ).join(_small(sizes), "item_id").withColumn("share", F.col("n_windows") / F.col("in_item")).where(
+    ).join(small(sizes), "item_id").withColumn("share", F.col("n_windows") / F.col("in_item")).where(
         F.col("share") >= share
     ).select("doc_id", "text_hash", "item_id", "n_windows", "share")
 
@@ -146,7 +139,7 @@ def _consistent(met: DataFrame, texts: DataFrame) -> DataFrame:
     met = met.withColumn("shift", F.col("place") - F.col("item_place"))
     without = met.where(F.size("item_slots") == 0)
     held = met.where(F.size("item_slots") > 0)
-    keys = _small(held.select(*document).distinct())
+    keys = small(held.select(*document).distinct())
     same = [texts[c].eqNullSafe(keys[c]) for c in document]
     words = (
         texts.join(keys, same, "left_semi")

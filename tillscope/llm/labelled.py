@@ -47,3 +47,8 @@ def labelled_sample(
     ids = F.broadcast(drawn[0].unionByName(drawn[1]))
     rows = documents.select("doc_id", "text").join(ids, "doc_id")
     return rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), counts
+
+
+def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """Marked for broadcast if it has at most so many (narrow) rows; they are counted first."""
+    return F.broadcast(df) if df.count() <= rows else df

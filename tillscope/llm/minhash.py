@@ -44,6 +44,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillscope.llm.labelled import small
 from tillscope.llm.style import row_of
 from tillscope.llm.texts import Words, bare, mix, split_words, text_slices, word_hashes
 from tillscope.session import scratch_path
@@ -60,9 +61,6 @@ BLOCK = 512
 # Text sketched at once, and bytes of a batch that a task works on.
 SKETCH_BYTES = 1 << 20
 BATCH_BYTES = 16 << 20
-# Narrow rows of about 50 bytes.
-BROADCAST_ROWS = 1_000_000
-
 # Chances of at most 0, 1, 2, ... darts in a cell.
 POISSON = np.cumsum(np.exp(-1.0) / np.cumprod([1.0, *range(1, 16)]))
 
@@ -246,10 +244,6 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def _small(df: DataFrame) -> DataFrame:
-    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-
-
 def sketch(documents: DataFrame) -> DataFrame:
     kind = documents.schema["doc_id"].dataType
     schema = T.StructType(
@@ -359,7 +353,7 @@ def _labels(documents: DataFrame, nodes: DataFrame) -> DataFrame:
 def _elements(documents: DataFrame, nodes: DataFrame, wanted: DataFrame) -> DataFrame:
     """Elements of the nodes that share a bucket, read again from one of their texts."""
     places = nodes.join(wanted, "node", "left_semi").select("node", "first.doc_id", "first.text_hash")
-    places = _small(places.withColumnRenamed("doc_id", "place"))
+    places = small(places.withColumnRenamed("doc_id", "place"))
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("own_hash"))
     same = texts["doc_id"].eqNullSafe(places["place"]) & (texts["own_hash"] == places["text_hash"])
     found = texts.join(places, same).select("node", "text").mapInArrow(element_batches, "node long, elements binary")
@@ -424,7 +418,7 @@ def keep_one(documents: DataFrame) -> DataFrame:
 
 
 def _keys(rows: DataFrame) -> DataFrame:
-    return _small(rows.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")).distinct())
+    return small(rows.select(F.col("doc_id").alias("key_id"), F.col("text_hash").alias("key_hash")).distinct())
 
 
 def _same(documents: DataFrame, keys: DataFrame):
