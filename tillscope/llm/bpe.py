@@ -343,3 +343,23 @@ def encoding_digests(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(
         lambda batches: digest_batches(encode_batches(batches, vocabulary)), schema
     )
+
+
+def encode_with_digests(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 and ids of every row."""
+    schema = _schema(
+        documents,
+        T.StructField("n_tokens", T.LongType()),
+        T.StructField("ids_sha256", T.StringType()),
+        T.StructField("decoded_sha256", T.StringType()),
+        T.StructField("ids", T.ArrayType(T.IntegerType())),
+    )
+
+    def encode(batches):
+        for batch in encode_batches(batches, vocabulary):
+            for digests in digest_batches(iter([batch])):
+                yield pa.RecordBatch.from_arrays(
+                    [*digests.columns, batch.column("ids")], names=[*digests.schema.names, "ids"]
+                )
+
+    return documents.select("doc_id", "text").mapInArrow(encode, schema)
