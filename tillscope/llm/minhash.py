@@ -27,7 +27,8 @@ A pair just at the limit shares no band with a chance of 1 in 10,000, less above
 Null and empty texts are copies of one another.  A text of fewer than five words has
 one shingle.  Rows that share an id keep a row each, by their texts; null ids are
 allowed; an empty table gives no rows; other columns are ignored, or kept as they are
-by ``keep_one``.  Ties go to the smallest id.  Intermediate tables are written to the
+by ``keep_one``.  Ties go to the smallest id;
+a null id is kept only in a class without others.  Intermediate tables are written to the
 shared folder, so a lost executor repeats only its own tasks.
 """
 
@@ -309,7 +310,11 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
     sketched = _stored(sketch(documents), "sketch")
     nodes = _stored(
         sketched.groupBy("digest")
-        .agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.first("bands").alias("bands"), F.first("short").alias("short"))
+        .agg(
+            F.min(F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "text_hash")).alias("first"),
+            F.first("bands").alias("bands"),
+            F.first("short").alias("short"),
+        )
         .withColumn("node", F.monotonically_increasing_id()),
         "nodes",
     )

@@ -119,13 +119,17 @@ def labelled_samples(documents: DataFrame, sample_documents: int = SAMPLE_DOCUME
 def fit_ratios(samples: DataFrame) -> list[float]:
     """Log-likelihood ratio of each step between characters of ``ALPHABET`` (row by row).
 
+    A step counts once per different token, so that no long or frequent token prevails.
     What is collected has at most one row per pair of characters and label.
     """
     steps = samples.select(
         "random", F.explode(F.sequence(F.lit(1), F.length("token") - 1)).alias("i"), "token"
     ).where(F.length("token") > 1)
     counted = (
-        steps.select("random", F.expr("substr(token, i, 1)").alias("a"), F.expr("substr(token, i + 1, 1)").alias("b"))
+        steps.select(
+            "random", "token", F.expr("substr(token, i, 1)").alias("a"), F.expr("substr(token, i + 1, 1)").alias("b")
+        )
+        .distinct()
         .groupBy("random", "a", "b")
         .agg(F.count("*").alias("n"))
         .where(F.lit(ALPHABET).contains(F.col("a")) & F.lit(ALPHABET).contains(F.col("b")))
