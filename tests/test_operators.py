@@ -29,10 +29,8 @@ def daily(spark):
     return spark.createDataFrame([(s, day(n)) for s, n in rows], "sku string, date date")
 
 
-@pytest.mark.parametrize("limit", [100, 3])
-def test_out_of_stock(daily, windows, limit):
-    """The same flags whether the windows are broadcast or too many for that."""
-    flagged = stockouts.flag_out_of_stock(daily, windows, broadcast_rows=limit)
+def test_out_of_stock(daily, windows):
+    flagged = stockouts.flag_out_of_stock(daily, windows)
     got = sorted((r.sku or "", (r.date - day(0)).days, r.out_of_stock) for r in flagged.collect())
     assert got == [
         ("", 15, False), ("BEV-001", 5, False), ("BEV-001", 10, True), ("BEV-001", 20, True), ("BEV-001", 26, False),
@@ -179,7 +177,7 @@ def test_hot_keys_are_split_over_tasks(spark, windows, tight):
         "md5(cast(id as string)) AS payload",
     )
     joins = {
-        "flag": stockouts.flag_out_of_stock(rows, windows, broadcast_rows=1).where("out_of_stock"),
+        "flag": stockouts.flag_out_of_stock(rows, windows).where("out_of_stock"),
         "inside": stockouts.sales_inside_windows(rows, windows),
         "sample": sample_baskets(rows, 1.0, 1),
     }
@@ -188,3 +186,23 @@ def test_hot_keys_are_split_over_tasks(spark, windows, tight):
         result = joined.agg(F.sum(F.length("payload")) / 32, F.max("payload"))
         assert result.collect()[0][0] == (200_000 if name == "sample" else 100_000), name
         assert "skew=true" in result._jdf.queryExecution().executedPlan().toString(), name
+
+
+def test_equal_and_touching_windows_count_once(spark):
+    days = "cast(a as date) as start_date, cast(b as date) as end_date"
+    rows = [("x", "2025-01-01", "2025-01-05")] * 2 + [("x", "2025-01-04", "2025-01-08"), ("x", "2025-01-09", "2025-01-10")]
+    rows += [("x", "2025-02-02", "2025-02-01"), ("y", "2025-01-01", "2025-01-01")]
+    windows = spark.createDataFrame(rows, "sku string, a string, b string").selectExpr("sku", days.split(", ")[0], days.split(", ")[1])
+    sales = spark.createDataFrame([("x", "2025-01-05"), ("x", "2025-01-11"), ("y", "2025-01-02")], "sku string, d string")
+    sales = sales.selectExpr("sku", "cast(d as date) as date")
+    counted = {(r.sku, str(r.start_date)): (r.window_days, r.sale_days) for r in stockouts.sale_days_in_windows(sales, windows).collect()}
+    assert counted == {
+        ("x", "2025-01-01"): (5, 1), ("x", "2025-01-04"): (5, 1), ("x", "2025-01-09"): (2, 0),
+        ("x", "2025-02-02"): (0, 0), ("y", "2025-01-01"): (1, 0),
+    }
+    merged = {(r.sku, str(r.start_date), str(r.end_date)) for r in stockouts.merged_windows(windows).collect()}
+    assert merged == {("x", "2025-01-01", "2025-01-10"), ("y", "2025-01-01", "2025-01-01")}
+    flagged = stockouts.flag_out_of_stock(sales, windows)
+    assert sorted((r.sku, str(r.date), r.out_of_stock) for r in flagged.collect()) == [
+        ("x", "2025-01-05", True), ("x", "2025-01-11", False), ("y", "2025-01-02", False),
+    ]

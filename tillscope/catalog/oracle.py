@@ -254,11 +254,11 @@ counts AS (SELECT weekday, hour, count(*) AS n FROM transactions WHERE {where} G
 """
 
 
-def _trend(where: str) -> str:
+def _trend(where: str, unit: str = "month") -> str:
     return f"""
 WITH {SALES},
 monthly AS (
-    SELECT CAST(date_trunc('month', date) AS DATE) AS month, sum(net_sales) AS net_sales
+    SELECT CAST(date_trunc('{unit}', date) AS DATE) AS month, sum(net_sales) AS net_sales
     FROM sales WHERE {where} GROUP BY 1
 ),
 lagged AS (SELECT *, lag(net_sales) OVER (ORDER BY month) AS before FROM monthly)
@@ -313,9 +313,9 @@ kept AS (
 _RANGES = """
 bounds AS (SELECT min(date) AS lo, max(date) AS hi FROM sales),
 ranges AS (
-    SELECT 'Full range' AS label, lo AS start, hi AS "end" FROM bounds
+    SELECT 'all days' AS label, lo AS start, hi AS "end" FROM bounds
     UNION ALL
-    SELECT 'Middle third (date-filter check)',
+    SELECT 'second of three parts',
            lo + CAST(date_diff('day', lo, hi) // 3 AS INTEGER),
            lo + CAST(2 * date_diff('day', lo, hi) // 3 AS INTEGER)
     FROM bounds
@@ -402,10 +402,13 @@ WITH {CLEANED}
 SELECT 'frame' AS scope, c AS "column", 'column_in_dataframe' AS "check", CAST(1 AS BIGINT) AS failures
 FROM (VALUES ('sku'), ('net_sales')) AS v(c)
 UNION ALL
+SELECT 'column', 'item', 'dtype(''string'')', 1
+UNION ALL
+SELECT 'column', 'date', 'dtype(''date'')', 1
+UNION ALL
 SELECT 'column', c, 'not_nullable', n
 FROM (
-    SELECT 'date' AS c, count(*) FILTER (date IS NULL) AS n FROM cleaned
-    UNION ALL SELECT 'transaction_ts', count(*) FILTER (transaction_ts IS NULL) FROM cleaned
+    SELECT 'transaction_ts' AS c, count(*) FILTER (transaction_ts IS NULL) AS n FROM cleaned
     UNION ALL SELECT 'qty', count(*) FILTER (qty IS NULL) FROM cleaned
     UNION ALL SELECT 'gross_sales', count(*) FILTER (gross_sales IS NULL) FROM cleaned
 ) AS nulls
@@ -501,7 +504,7 @@ SELECT weekday, {", ".join(f"CAST(sum(transactions) FILTER (hour = {h}) AS BIGIN
 FROM grid GROUP BY idx, weekday ORDER BY idx
 """,
     "month_over_month": _trend(FULL),
-    "month_over_month_gaps": _trend(f"{FULL} AND month(date) IN (6, 7, 8)"),
+    "month_over_month_gaps": _trend(FULL, "quarter"),
     "top_items_by_units": _top("qty", "units", "BIGINT"),
     "top_items_by_sales": _top("net_sales", "net_sales", "DOUBLE"),
     "top_skus_by_units": f"""
@@ -544,7 +547,11 @@ SELECT category,
 FROM sales GROUP BY category ORDER BY sum(net_sales) DESC, category
 """,
     "row_count_tolerance": f"""
-WITH {SALES} SELECT count(*) AS row_count, count(*) BETWEEN 54000 AND 66000 AS in_tolerance FROM sales
+WITH {CLEANED},
+whole AS (SELECT * FROM cleaned WHERE date IS NOT NULL AND qty IS NOT NULL AND gross_sales IS NOT NULL)
+SELECT count(*) AS row_count,
+       count(*) BETWEEN 0.9 * (SELECT count(*) FROM sales) AND 1.1 * (SELECT count(*) FROM sales) AS in_tolerance
+FROM whole
 """,
     # stockout windows
     "window_calendar": f"""
@@ -627,22 +634,37 @@ FROM l, b, d
 """,
     "basket_comparison": f"""
 WITH {BASKETS}
-SELECT value_name, CASE WHEN weekday = 'Sunday' THEN 'FAIL' ELSE 'PASS' END AS status, count(*) AS baskets
+SELECT value_name,
+       CASE WHEN weekday = 'Sunday' AND value_name = 'total_qty' THEN 'FAIL' ELSE 'PASS' END AS status,
+       count(*) AS baskets
 FROM transactions, (VALUES ('total_qty'), ('total_gross_sales')) AS v(value_name)
 GROUP BY 1, 2
 """,
     "key_set_differences": f"""
-WITH {DAILY},
-catalogue AS (SELECT DISTINCT concat('P-', p_partkey) AS sku FROM part),
-sold AS (SELECT DISTINCT sku FROM daily WHERE units_sold >= 40)
-SELECT sku, 'left' AS side FROM catalogue WHERE sku NOT IN (SELECT sku FROM sold)
+WITH {SALES},
+catalogue AS (SELECT DISTINCT concat('P-', p_partkey) AS sku, p_type AS category FROM part),
+sold AS (SELECT DISTINCT sku, CASE WHEN ord_part % 10 = 0 THEN 'OTHER' ELSE category END AS category FROM sales)
+SELECT sku, category, 'left' AS side FROM (SELECT * FROM catalogue EXCEPT SELECT * FROM sold)
 UNION ALL
-SELECT sku, 'right' FROM sold WHERE sku NOT IN (SELECT sku FROM catalogue)
+SELECT sku, category, 'right' FROM (SELECT * FROM sold EXCEPT SELECT * FROM catalogue)
 """,
     "common_key_set": f"""
 WITH {SALES}
-SELECT sku FROM sales WHERE date < DATE '1996-01-01'
+SELECT item, category FROM sales
 INTERSECT
-SELECT sku FROM sales WHERE date >= DATE '2001-01-01'
+SELECT p.p_name, n.p_type FROM part p JOIN part n ON n.p_partkey = p.p_partkey + 1
+""",
+    "opening_lines": f"""
+WITH {SALES}
+SELECT transaction_id, CAST(date AS VARCHAR) AS date, sku, {ORDER_OUT}
+FROM sales ORDER BY sales.date, transaction_ts, transaction_id, {ORDER} LIMIT 20
+""",
+    "month_change_check": f"""
+WITH {SALES},
+monthly AS (SELECT CAST(date_trunc('month', date) AS DATE) AS month, sum(net_sales) AS net FROM sales GROUP BY 1),
+lagged AS (SELECT *, lag(net) OVER (ORDER BY month) AS before FROM monthly)
+SELECT CAST(month AS VARCHAR) AS month, CAST(net AS DOUBLE) AS net_sales,
+       CASE WHEN before <> 0 THEN round(CAST((net - before) * 100 AS DOUBLE) / CAST(before * 100 AS DOUBLE) * 100, 6) END AS pct_change
+FROM lagged
 """,
 }

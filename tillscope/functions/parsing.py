@@ -21,6 +21,8 @@ _WHITE = (
 _DATE = r"^(0?[1-9]|1[0-2])/(3[01]|[12]\d|0[1-9]| ?[1-9])/(?!0000)\d{4}$"
 # Seconds 60 and 61 are leap seconds and run on into the next minute.
 _CLOCK = r"^(0?[1-9]|1[0-2]):[0-5]?\d:([0-5]?\d|6[01])\s+[AaPp][Mm]$"
+# The first and last microsecond of 64-bit nanoseconds.
+LIMITS = ("1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775")
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 
@@ -47,14 +49,20 @@ def parse_clock(text: Column) -> Column:
     return minutes + F.make_dt_interval(hours=afternoon - twelve, secs=seconds)
 
 
+def _within_limits(moment: Column) -> Column:
+    """Null outside the span that the contract's nanosecond timestamps know."""
+    first, last = (F.lit(text).cast("timestamp_ntz") for text in LIMITS)
+    return F.when(moment.between(first, last), moment)
+
+
 def parse_timestamp(date: Column, time: Column) -> Column:
     """``01/15/2025`` and ``02:30:00 PM`` -> 2025-01-15 14:30:00."""
-    return parse_day(date).cast("timestamp_ntz") + parse_clock(time)
+    return _within_limits(parse_day(date).cast("timestamp_ntz") + parse_clock(time))
 
 
 def parse_date(date: Column) -> Column:
     """Midnight of ``01/15/2025``, for exports without a time column."""
-    return parse_day(date).cast("timestamp_ntz")
+    return _within_limits(parse_day(date).cast("timestamp_ntz"))
 
 
 def parse_money(text: Column) -> Column:

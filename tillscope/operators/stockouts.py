@@ -1,16 +1,14 @@
 """Sales against stockout windows ``(sku, start_date, end_date)``, both days included.
 
-A window is laid out as the days it covers, which turns every range question
-into an equality on ``(sku, date)``: no range join, no pairs that fail.
+All comparisons are equality joins on the sku with the range as a further condition,
+so the partition of a hot sku can be split; equal windows count once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.operators.joins import lookup_join
-
 WINDOW = ("sku", "start_date", "end_date")
 
 
@@ -23,35 +21,58 @@ def window_days(windows: DataFrame) -> DataFrame:
     return windows.select(*WINDOW, F.explode_outer(days).alias("date"))
 
 
+def _inside(sales: DataFrame, windows: DataFrame) -> Column:
+    return (sales["sku"] == windows["sku"]) & sales["date"].between(windows["start_date"], windows["end_date"])
+
+
 def sale_days_in_windows(daily: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows of the daily rollup inside each window; windows without any stay, with 0."""
-    sold = daily.select("sku", "date", F.lit(1).alias("_sold"))
+    """Rows of the daily rollup inside each different window; windows without any stay, with 0."""
+    windows = windows.select(*WINDOW).distinct()
+    sold = daily.select("sku", "date")
     return (
-        window_days(windows)
-        .join(sold, ["sku", "date"], "left")
-        .groupBy(*WINDOW)
+        windows.join(sold, _inside(sold, windows), "left")
+        .groupBy(*(windows[name] for name in WINDOW))
         .agg(
             F.when(F.col("start_date") > F.col("end_date"), 0)
             .otherwise(F.datediff("end_date", "start_date") + 1)
             .cast("bigint")
             .alias("window_days"),
-            F.count("_sold").alias("sale_days"),
+            F.count("date").alias("sale_days"),
         )
     )
 
 
 def sales_inside_windows(sales: DataFrame, windows: DataFrame) -> DataFrame:
     """The sales that a stockout should have made impossible."""
-    return sales.join(window_days(windows), ["sku", "date"], "left_semi")
+    return sales.join(windows, _inside(sales, windows), "left_semi")
 
 
 def sales_outside_windows(sales: DataFrame, windows: DataFrame) -> DataFrame:
-    return sales.join(window_days(windows), ["sku", "date"], "left_anti")
+    return sales.join(windows, _inside(sales, windows), "left_anti")
 
 
-def flag_out_of_stock(rows: DataFrame, windows: DataFrame, name: str = "out_of_stock", **limits) -> DataFrame:
-    """Add whether the row's day lies in a window of its sku; a sku without window is in stock."""
-    covered = (
-        window_days(windows).where(F.col("date").isNotNull()).select("sku", "date").distinct().withColumn(name, F.lit(True))
+def merged_windows(windows: DataFrame) -> DataFrame:
+    """Windows that overlap or meet become one per sku; those without a day go."""
+    by_start = Window.partitionBy("sku").orderBy("start_date", "end_date")
+    before = F.max("end_date").over(by_start.rowsBetween(Window.unboundedPreceding, -1))
+    opens = F.when(before.isNull() | (F.col("start_date") > F.date_add(before, 1)), 1).otherwise(0)
+    return (
+        windows.select(*WINDOW)
+        .where(F.col("start_date") <= F.col("end_date"))
+        .distinct()
+        .withColumn("_opens", opens)
+        .withColumn("_island", F.sum("_opens").over(by_start.rowsBetween(Window.unboundedPreceding, 0)))
+        .groupBy("sku", "_island")
+        .agg(F.min("start_date").alias("start_date"), F.max("end_date").alias("end_date"))
+        .select(*WINDOW)
     )
-    return lookup_join(rows, covered, ["sku", "date"], **limits).withColumn(name, F.coalesce(name, F.lit(False)))
+
+
+def flag_out_of_stock(rows: DataFrame, windows: DataFrame, name: str = "out_of_stock") -> DataFrame:
+    """Add whether the row's day lies in a window of its sku; a sku without window is in stock.
+
+    Merged windows of a sku have no day in common, so no row is met twice.
+    """
+    merged = merged_windows(windows)
+    joined = rows.join(merged, _inside(rows, merged), "left")
+    return joined.select(*(rows[column] for column in rows.columns), merged["start_date"].isNotNull().alias(name))

@@ -6,6 +6,8 @@ pre-aggregated grouping; what follows works on the few grouped rows.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,11 @@ def _average_basket() -> Column:
     )
 
 
+def head(df: DataFrame, n: int, order: Sequence[str]) -> DataFrame:
+    """The first ``n`` rows in the given order; each task keeps no more than ``n``."""
+    return df.orderBy(*order).limit(n)
+
+
 def headline_kpis(lines: DataFrame, start: DateLike, end: DateLike) -> DataFrame:
     """One row of net sales, baskets, average basket, units and distinct item names; zeros when empty."""
     sums = between_dates(lines, start, end).agg(*_kpi_sums())
@@ -54,10 +61,10 @@ def headline_kpis_by_range(lines: DataFrame, ranges: DataFrame) -> DataFrame:
 def in_ranges(df: DataFrame, ranges: DataFrame) -> DataFrame:
     """Each row once per (label, start, end) range that its date lies in, with the label."""
     few = ranges.agg(F.collect_list(F.struct("label", "start", "end"))).scalar()
+    own = F.filter("_ranges", lambda r: F.col("date").between(r["start"], r["end"]))
     return (
         df.withColumn("_ranges", few)
-        .select("*", F.inline("_ranges"))
-        .where(F.col("date").between(F.col("start"), F.col("end")))
+        .select("*", F.inline(own))
         .drop("_ranges", "start", "end")
     )
 

@@ -79,10 +79,12 @@ def category_summer_lift(lines: DataFrame, category: str = "Beverages") -> DataF
     )
 
 
-def row_count_check(df: DataFrame, expected: int, tolerance: float = 0.10) -> DataFrame:
-    """One row: the row count and whether it lies within ``tolerance`` of the expected one."""
-    rows = F.count("*")
-    return df.agg(
-        rows.alias("row_count"),
-        rows.between(expected * (1 - tolerance), expected * (1 + tolerance)).alias("in_tolerance"),
-    )
+def row_count_check(df: DataFrame, expected: int | DataFrame, tolerance: float = 0.10) -> DataFrame:
+    """One row: the row count and whether it lies within ``tolerance`` of the expected one.
+
+    The expected count is a number, or that of the rows of another table.
+    """
+    wanted = expected.agg(F.count("*")).scalar() if isinstance(expected, DataFrame) else F.lit(expected)
+    counted = df.agg(F.count("*").alias("row_count")).withColumn("_wanted", wanted)
+    near = F.col("row_count").between(F.col("_wanted") * (1 - tolerance), F.col("_wanted") * (1 + tolerance))
+    return counted.select("row_count", near.alias("in_tolerance"))

@@ -31,6 +31,12 @@ def _first(column: str, order: Sequence[str]) -> Column:
     return F.min_by(column, F.when(F.col(column).isNotNull(), position)).alias(column)
 
 
+def _placed(column: str, order: Sequence[str]) -> Column:
+    """A value behind its place in row order, null where the value is."""
+    places = (F.col(name).alias(f"_{i}") for i, name in enumerate(order))
+    return F.when(F.col(column).isNotNull(), F.struct(*places, F.col(column).alias(column)))
+
+
 def _typed(cleaned: DataFrame) -> DataFrame:
     """Whole quantities, and discounts that are zero where absent."""
     discounts = F.coalesce(F.col("discounts"), F.lit(0)) if "discounts" in cleaned.columns else F.lit(0)
@@ -96,20 +102,23 @@ def build_transactions(cleaned: DataFrame, order: Sequence[str] | None = None) -
 def build_daily_item_sales(lines: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
     """One row per day and sku; takes cleaned rows or line items with their order columns.
 
-    Sums and first values shrink to one row per day and sku in each task.  The
-    distinct baskets cannot, so they are counted apart, on three narrow columns,
-    instead of dragging every sum through their shuffle.
+    One pass: sums, first values and the day's baskets come out of a grouping by day,
+    sku and basket, whose rows are then grouped by day and sku.  Both shrink in each
+    task before they are shuffled.
     """
     order = _order(lines, order)
     sales = _typed(lines).where(F.col("date").isNotNull() & F.col("sku").isNotNull())
-    sums = sales.groupBy("date", "sku").agg(
-        _first("item", order),
-        _first("category", order),
-        total(F.col("qty")).alias("units_sold"),
-        *(total(F.col(name)).alias(name) for name in MONEY_COLUMNS),
+    firsts = ["item", "category"]
+    sums = {"units_sold": "qty", **{name: name for name in MONEY_COLUMNS}}
+    baskets = sales.groupBy("date", "sku", "transaction_id").agg(
+        *(F.min(_placed(name, order)).alias(name) for name in firsts),
+        *(total(F.col(name)).alias(shown) for shown, name in sums.items()),
+    )
+    return baskets.groupBy("date", "sku").agg(
+        *(F.min(name)[name].alias(name) for name in firsts),
+        *(total(F.col(shown)).alias(shown) for shown in sums),
+        F.count("transaction_id").alias("transactions_count"),
     )
-    baskets = sales.groupBy("date", "sku").agg(F.count_distinct("transaction_id").alias("transactions_count"))
-    return sums.join(baskets, ["date", "sku"])
 
 
 def build_tables(cleaned: DataFrame, order: Sequence[str] | None = None) -> dict[str, DataFrame]:

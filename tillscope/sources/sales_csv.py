@@ -5,16 +5,14 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillscope.names import ROW_ORDER
 from tillscope.operators.cleaning import clean
-from tillscope.operators.joins import lookup_join
 
 _MALFORMED = "_malformed"
-_PATH = "_path"
 _OVERFLOW = "_overflow"
 
 
@@ -34,10 +32,11 @@ def read_sales_csv(
     surplus cells carry nothing and pass), ``"truncate"`` drops them (and lets the
     parser skip unread columns).  Short rows are filled with nulls.  Several files must share one
     header.  Quoted line breaks need ``multiline=True``, which stops Spark from
-    splitting a file over tasks.
+    splitting a file over tasks.  Headers with blank or repeated names are compared
+    by one more pass over the lines, if there are several files.
 
-    ``keep_order`` adds ``source_file`` and ``source_row``, which sort the rows
-    as they stand in their files, the files in the order of their paths.
+    ``keep_order`` adds ``source_file`` (the path) and ``source_row``, which sort the
+    rows as they stand in their files, the files in the order of their paths.
     """
     if ragged not in ("raise", "truncate"):
         raise ValueError(f"ragged must be 'raise' or 'truncate', not {ragged!r}")
@@ -55,6 +54,8 @@ def read_sales_csv(
     # With plain names Spark itself checks the header of every file against them.
     # Repeated and blank ones it cannot tell apart, so those are read by position.
     plain = header == list(first) and len({name.lower() for name in header}) == len(header)
+    if not plain:
+        _require_one_header(spark, paths, list(first))
     cells = header if plain else [f"_c{i}" for i in range(len(header))]
     options |= {"header": True, "enforceSchema": not plain}
     schema = T.StructType([T.StructField(name, T.StringType()) for name in cells])
@@ -68,14 +69,12 @@ def read_sales_csv(
     chosen = [F.col(_quoted(cells[header.index(name)])).alias(name) for name in wanted]
     if keep_order:
         # The id grows along a file: its high bits are the split, its low bits the row.
-        rows = rows.withColumn(_PATH, F.col("_metadata.file_path")).withColumn(
+        rows = rows.withColumn("source_file", F.col("_metadata.file_path")).withColumn(
             "source_row", F.monotonically_increasing_id()
         )
         chosen += [F.col(name) for name in ROW_ORDER]
     if ragged == "raise":
         rows = rows.where(_not_overlong(schema))
-    if keep_order:
-        rows = lookup_join(rows, _numbered_files(spark, paths), [_PATH])
     return rows.select(*chosen)
 
 
@@ -93,15 +92,24 @@ def _distinct_names(header: Sequence[str | None]) -> list[str]:
     return names
 
 
-def _numbered_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Each input file with its place in path order, from the listing alone; contents stay unread.
+def _require_one_header(spark: SparkSession, paths: Sequence[str], header: Sequence[str | None]) -> None:
+    """ValueError unless the first line of every file has the same cells.
 
-    Rows then carry a small number instead of a long path.  The window holds one
-    row per file, no more than the listing that Spark makes for every scan.
+    Lines shrink to the first of each file in every task, so one row per file is shuffled.
     """
-    files = spark.read.format("binaryFile").load(list(paths)).select(F.col("_metadata.file_path").alias(_PATH))
-    number = F.row_number().over(Window.orderBy(_PATH))
-    return files.distinct().withColumn("source_file", number)
+    lines = spark.read.text(list(paths)).select(
+        "value", F.col("_metadata.file_path").alias("path"), F.monotonically_increasing_id().alias("place")
+    )
+    firsts = lines.groupBy("path").agg(F.min_by("value", "place").alias("line")).select("line").distinct()
+    spare = ", ".join(f"c{i} STRING" for i in range(len(header) + 1))
+    line = F.regexp_replace("line", "^\ufeff", "")
+    cells = F.from_csv(line, spare, {"quote": '"', "escape": '"'})
+    same = F.lit(True)
+    for i, name in enumerate([*header, None]):
+        same = same & cells[f"c{i}"].eqNullSafe(F.lit(name).cast("string"))
+    other = firsts.where(~same).first()
+    if other is not None:
+        raise ValueError(f"files with different headers: {list(header)} and {other['line']!r}")
 
 
 def _not_overlong(schema: T.StructType) -> Column:

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Mapping, Sequence
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from tillscope.operators.contract import require_valid, write_valid
 from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_tables, build_transactions
 
 
+LOADS = "load string, number int"
+
+
 def load_views(tables: Mapping[str, DataFrame]) -> None:
     """Create or replace one temporary view per table, ready for ``spark.sql``."""
     for name, df in tables.items():
@@ -38,12 +43,36 @@ def save_tables(
 
 
 def open_tables(spark: SparkSession, folder: str, names: Sequence[str]) -> dict[str, DataFrame]:
-    """Read saved tables back and register them as views of the same names."""
-    tables = {name: spark.read.parquet(f"{folder}/{name}") for name in names}
+    """Read saved tables back and register them as views of the same names.
+
+    In a folder that ``build_and_load`` keeps, these are the tables of the last
+    complete load.
+    """
+    load = current_load(spark, folder)
+    tables = {name: spark.read.parquet(f"{load or folder}/{name}") for name in names}
     load_views(tables)
     return tables
 
 
+def current_load(spark: SparkSession, folder: str) -> str | None:
+    """Folder of the last load that was finished; None if the folder has no list of loads."""
+    try:
+        loads = spark.read.schema(LOADS).parquet(f"{folder}/loads")
+        last = loads.orderBy(F.desc("number"), "load").first()
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+    return f"{folder}/{last['load']}" if last else None
+
+
+def _finish_load(spark: SparkSession, folder: str, load: str) -> None:
+    """One row appended to the list of loads makes a load the current one."""
+    done = spark.read.schema(LOADS).parquet(f"{folder}/loads").count() if current_load(spark, folder) else 0
+    row = spark.createDataFrame([(load, done + 1)], LOADS)
+    row.coalesce(1).write.mode("append").parquet(f"{folder}/loads")
+
+
 def query_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
@@ -58,9 +87,12 @@ def build_and_load(
 ) -> dict[str, DataFrame]:
     """Check the contract, build the three tables and make them available by name.
 
-    With ``folder`` the cleaned rows and the tables are written there, so the
-    text is parsed once and each table is computed once; without it the views
-    are lazy and each query computes what it needs.
+    With ``folder`` the cleaned rows and the tables are written to a fresh folder
+    below it, so the text is parsed once and each table is computed once.  When all
+    of them are there, the load becomes the current one; a load that is rejected or
+    fails leaves the tables before it as they were.  Earlier loads stay on disk for
+    readers that still use them.  Without ``folder`` the views are lazy and each query
+    computes what it needs.
     """
     if folder is None:
         if check:
@@ -69,20 +101,23 @@ def build_and_load(
         load_views(tables)
         return tables
 
-    spark, staged = cleaned.sparkSession, f"{folder}/cleaned"
+    spark, load = cleaned.sparkSession, f"load-{uuid.uuid4().hex}"
+    target = f"{folder}/{load}"
+    staged = f"{target}/cleaned"
     if check:
         rows = write_valid(cleaned, staged)
     else:
         cleaned.write.mode("overwrite").parquet(staged)
         rows = spark.read.parquet(staged)
-    save_tables({"transactions": build_transactions(rows, order)}, folder, by_month=by_month)
-    stored = open_tables(spark, folder, ["transactions"])["transactions"]
+    save_tables({"transactions": build_transactions(rows, order)}, target, by_month=by_month)
+    stored = spark.read.parquet(f"{target}/transactions")
     save_tables(
         {
             "line_items": build_line_items(rows, order, transactions=stored),
             "daily_item_sales": build_daily_item_sales(rows, order),
         },
-        folder,
+        target,
         by_month=by_month,
     )
+    _finish_load(spark, folder, load)
     return open_tables(spark, folder, TABLES)
