@@ -119,9 +119,18 @@ def test_shingles_count_repeats():
     assert row.tolist() == [0, 1, 3] and count.tolist() == [3, 1, 1] and len(set(key.tolist())) == 3
 
 
-def test_blocks_keep_pairs_that_distances_allow():
-    line = bytes(range(minhash.COORDINATES))
-    frame = pd.DataFrame(
-        {"node": [1, 2, 3], "label": [1, 2, 2], "distance": [0.3, 0.25, 0.9], "side": 0, "short": [line] * 3}
-    )
-    assert minhash.compare_block(frame).to_numpy().tolist() == [[1, 2]]
+def block(rows):
+    line, names = bytes(range(minhash.COORDINATES)), ["node", "label", "distance", "elements"]
+    frame = pd.DataFrame(rows, columns=names).assign(side=0, band=0, short=[line] * len(rows))
+    return sorted(minhash.compare_block(frame).itertuples(index=False, name=None))
+
+
+def test_blocks_give_links_that_distances_and_elements_allow():
+    many = np.arange(100, dtype="<u4")
+    same, near, other = many.tobytes(), many[:85].tobytes(), (many + 50).tobytes()
+    # The distances of 3 rule it out, the elements of 4 are too few in common, 5 is of the class of 1.
+    rows = [(1, 1, 0.3, same), (2, 2, 0.25, near), (3, 3, 0.9, same), (4, 4, 0.3, other), (5, 1, 0.3, same)]
+    assert len(block(rows)) == 1 and set(block(rows)[0]) in ({1, 2}, {2, 5})
+    # What is joined already needs no more links.
+    assert len(block([(i, i, 0.3, same) for i in range(30)])) == 29
+    assert block([(1, 1, 0.3, same)]) == []

@@ -17,10 +17,12 @@ classes are the connected groups of near duplicates.
    from the shingles.  Members linked to the hub are in one class and need no
    comparison among themselves.
 4. The rest is exact: in buckets that still hold several classes, members of
-   different classes are compared in blocks of bounded size.  The distances to the hub
-   rule out pairs by the triangle inequality, signatures rule out those whose agreement
-   is far from the limit (more than four standard deviations), and what remains is
-   again worked out exactly.
+   different classes are compared in blocks of bounded size, each pair in the first band
+   that it shares.  The distances to the hub rule out pairs by the triangle inequality,
+   signatures rule out those whose agreement is far from the limit (more than four
+   standard deviations), and what remains is again worked out exactly.  A block gives
+   the links that join its classes; a link inside a class that is already joined adds
+   nothing to it and is not given.
 5. Classes are found by passing on the smallest node and jumping along the labels.
 
 A pair just at the limit shares no band with a chance of 1 in 10,000, less above it.
@@ -192,37 +194,64 @@ def element_batches(batches) -> Iterator[pa.RecordBatch]:
         )
 
 
+def _jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sorted arrays of elements."""
+    if not len(a) or not len(b):
+        return 0.0
+    both = int((a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b).sum())
+    return both / (len(a) + len(b) - both)
+
+
 def similarity_batches(batches) -> Iterator[pa.RecordBatch]:
     """a, b and their exact similarity, from the elements of both."""
     for batch in batches:
         values = np.zeros(batch.num_rows)
         for i, (a, b) in enumerate(zip(batch.column("left"), batch.column("right"), strict=True)):
-            a, b = np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4")
-            both = len(np.intersect1d(a, b, assume_unique=True))
-            values[i] = both / max(1, len(a) + len(b) - both)
+            values[i] = _jaccard(np.frombuffer(a.as_buffer(), "<u4"), np.frombuffer(b.as_buffer(), "<u4"))
         yield pa.RecordBatch.from_arrays(
             [batch.column("a"), batch.column("b"), pa.array(values)], names=["a", "b", "similarity"]
         )
 
 
 def compare_block(members: pd.DataFrame) -> pd.DataFrame:
-    """Pairs of a block (or of two blocks) that are of different classes and may be similar enough."""
+    """Links between the classes of a block (or of two blocks), as few as join what belongs together."""
     sides = [members[members.side == 0], members[members.side == 1]]
-    one = sides[0] if len(sides[0]) else sides[1]
-    two = sides[1] if len(sides[0]) and len(sides[1]) else one
+    alone = not (len(sides[0]) and len(sides[1]))
+    one, two = (members, members) if alone else sides
     left, right = (np.frombuffer(b"".join(s.short), np.uint8).reshape(len(s), COORDINATES) for s in (one, two))
-    node, label, far = ([s[c].to_numpy() for s in (one, two)] for c in ("node", "label", "distance"))
-    a, b = [], []
+    label, far = ([s[c].to_numpy() for s in (one, two)] for c in ("label", "distance"))
+    size = [s.elements.map(len).to_numpy() for s in (one, two)]
+    band = int(members.band.iloc[0])
+    found = []
     for i in range(len(one)):
-        same = (left[i] == right).mean(axis=1)
+        equal = left[i] == right
+        same = equal.mean(axis=1)
         fits = (same >= AGREEMENT) & (label[1] != label[0][i])
-        gap = np.abs(far[1] - far[0][i])
         # Unknown distances (NaN) rule nothing out.
-        fits &= ~(gap > 1 - SIMILARITY + 1e-9)
-        a += [node[0][i]] * int(fits.sum())
-        b += node[1][fits].tolist()
-    low, high = np.minimum(a, b).astype(np.int64), np.maximum(a, b).astype(np.int64)
-    return pd.DataFrame({"a": low, "b": high}).drop_duplicates()
+        fits &= ~(np.abs(far[1] - far[0][i]) > 1 - SIMILARITY + 1e-9)
+        fits &= np.minimum(size[1], size[0][i]) >= SIMILARITY * np.maximum(size[1], size[0][i])
+        if alone:
+            fits[: i + 1] = False
+        at = np.flatnonzero(fits)
+        # In an earlier band that they share, the pair is compared there.
+        at = at[equal[at].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        found += zip(-same[at], [i] * len(at), at.tolist(), strict=True)
+    above: dict[int, int] = {}
+
+    def top(name: int) -> int:
+        while name in above:
+            name = above[name]
+        return name
+
+    elements = [[np.frombuffer(e, "<u4") for e in s.elements] for s in (one, two)]
+    node = [s.node.tolist() for s in (one, two)]
+    links = []
+    for _, i, j in sorted(found):
+        a, b = top(label[0][i]), top(label[1][j])
+        if a != b and _jaccard(elements[0][i], elements[1][j]) >= SIMILARITY:
+            above[max(a, b)] = min(a, b)
+            links.append((node[0][i], node[1][j]))
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 @contextmanager
@@ -334,7 +363,7 @@ def near_duplicates(documents: DataFrame) -> DataFrame:
 
 def _labels(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     """(node, label) of the nodes that are linked to others."""
-    entries = nodes.select("node", F.explode(F.array_distinct("bands")).alias("key"))
+    entries = nodes.select("node", F.posexplode("bands").alias("band", "key"))
     sizes = entries.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > 1)
     shared = _stored(entries.join(sizes, "key"), "buckets")
     # The hub of a bucket shares most with others in all its buckets; equals by number.
@@ -348,8 +377,7 @@ def _labels(documents: DataFrame, nodes: DataFrame) -> DataFrame:
     links = known.where(F.col("similarity") >= SIMILARITY).select("a", "b")
     labels = components(links)
 
-    more = _similar(_rest(rays, known, labels, nodes), elements, "similar")
-    more = more.where(F.col("similarity") >= SIMILARITY).select("a", "b")
+    more = _rest(rays, known, labels, nodes, elements)
     if more.isEmpty():
         return labels
     return components(links.unionByName(more))
@@ -366,25 +394,25 @@ def _elements(documents: DataFrame, nodes: DataFrame, wanted: DataFrame) -> Data
     return _stored(found.groupBy("node").agg(F.min("elements").alias("elements")), "elements")
 
 
-def _rest(rays: DataFrame, known: DataFrame, labels: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs that may still be similar: members of a bucket that are in different classes."""
+def _rest(rays: DataFrame, known: DataFrame, labels: DataFrame, nodes: DataFrame, elements: DataFrame) -> DataFrame:
+    """Links between members of a bucket that are in different classes after the hubs."""
     distance = known.select(F.col("a").alias("node"), F.col("b").alias("hub"), (1 - F.col("similarity")).alias("distance"))
     members = (
-        rays.where(F.col("size") > 2)
+        rays.where((F.col("size") > 2) & (F.col("node") != F.col("hub")))
         .join(labels, "node", "left")
         .withColumn("label", F.coalesce("label", "node"))
         .join(distance, ["node", "hub"], "left")
-        .withColumn("distance", F.when(F.col("node") == F.col("hub"), 0.0).otherwise(F.col("distance")))
-        .where(F.col("node") != F.col("hub"))
+        .join(elements.select("node", F.length("elements").alias("bytes")), "node")
     )
-    members = _stored(members.select("key", "node", "label", "distance"), "members")
+    members = _stored(members.select("key", "band", "node", "label", "distance", "bytes"), "members")
+    blocks = F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BATCH_BYTES)).cast("int")
     mixed = (
         members.groupBy("key")
-        .agg(F.min("label").alias("low"), F.max("label").alias("high"), F.count("*").alias("size"))
+        .agg(F.min("label").alias("low"), F.max("label").alias("high"), blocks.alias("blocks"))
         .where(F.col("low") != F.col("high"))
-        .select("key", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks"))
+        .select("key", "blocks")
     )
-    rest = members.join(mixed, "key").join(nodes.select("node", "short"), "node")
+    rest = members.join(mixed, "key").join(nodes.select("node", "short"), "node").join(elements, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A block meets itself and every other block of its bucket, each in a task of its own.
     dealt = (
@@ -395,10 +423,12 @@ def _rest(rays: DataFrame, known: DataFrame, labels: DataFrame, nodes: DataFrame
             F.least("own", "other").alias("low"),
             F.greatest("own", "other").alias("high"),
             (F.col("own") > F.col("other")).cast("int").alias("side"),
+            "band",
             "node",
             "label",
             F.coalesce("distance", F.lit(float("nan"))).alias("distance"),
             "short",
+            "elements",
         )
     )
     found = dealt.groupBy("key", "low", "high").applyInPandas(compare_block, "a long, b long")
