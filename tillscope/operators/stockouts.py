@@ -73,6 +73,7 @@ def flag_out_of_stock(rows: DataFrame, windows: DataFrame, name: str = "out_of_s
 
     Merged windows of a sku have no day in common, so no row is met twice.
     """
-    merged = merged_windows(windows)
+    # Dealt anew, so that the join has a shuffle of its own whose hot skus can be split.
+    merged = merged_windows(windows).repartition("start_date")
     joined = rows.join(merged, _inside(rows, merged), "left")
     return joined.select(*(rows[column] for column in rows.columns), merged["start_date"].isNotNull().alias(name))
