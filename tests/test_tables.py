@@ -44,15 +44,14 @@ def test_order_is_required(spark):
         build_line_items(cleaned(spark, [line(1, "A")]))
 
 
-@pytest.mark.parametrize("group_rows", [None, 10, 100, 5_000])
-def test_large_groups_are_numbered_in_slices(spark, group_rows):
-    """A basket with most of the rows gets the same numbers however it is cut."""
+def test_groups_of_any_size_are_numbered_in_slices(spark):
+    """A basket with most of the rows lies in several slices and is numbered like the small ones."""
     rows = spark.range(3000).selectExpr(
         "CASE WHEN id % 3 <> 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('k', id % 50) END AS k",
         "(id * 7919) % 3000 AS a",
         "id AS b",
     )
-    numbered = number_rows(rows.repartition(6), "k", ["a", "b"], "n", group_rows=group_rows)
+    numbered = number_rows(rows.repartition(6), "k", ["a", "b"], "n")
     expected = {}
     for k, a, b in sorted(((r.k, r.a, r.b) for r in rows.collect()), key=lambda r: r[1:]):
         expected.setdefault(k, []).append((a, b))
@@ -63,14 +62,6 @@ def test_large_groups_are_numbered_in_slices(spark, group_rows):
     assert got == want
 
 
-def test_stored_baskets_tell_which_are_large(spark):
-    rows = cleaned(spark, [line(n, "A" if n % 4 else "B") for n in range(1, 41)])
-    baskets = build_transactions(rows, ["n"])
-    items = build_line_items(rows, ["n"], basket_rows=20, transactions=baskets)
-    plain = build_line_items(rows, ["n"], basket_rows=None)
-    assert items.exceptAll(plain).isEmpty() and plain.exceptAll(items).isEmpty()
-
-
 def test_baskets_take_the_first_value_that_is_there(spark):
     rows = [
         line(1, "A", hour=9, qty=2.0, payment=None, device="d1"),

@@ -18,12 +18,12 @@ from tillscope.names import MONEY, PRIVATE_COLUMNS
 from tillscope.operators import compare, contract, sampling, stockouts
 from tillscope.operators.cleaning import clean, normalize_headers, parse_datetime
 from tillscope.plans import metrics, profile, reconcile
-from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_transactions
+from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_tables, build_transactions, line_values
 from tillscope.session import scratch_path
 from tillscope.sources import order_lines
 from tillscope.sources.order_lines import LINE_ORDER
 from tillscope.sources.sales_csv import ingest_csv, read_sales_csv, write_sales_csv
-from tillscope.sources.tables import build_and_load, load_views, query_table
+from tillscope.sources.tables import build_and_load, load_views, query_table, save_tables
 
 # The whole span of the order dates, a part of it, and a day before it.
 FULL = ("1995-01-01", "2001-12-31")
@@ -447,8 +447,10 @@ def sample_whole_baskets(spark, folder):
 @query
 def sample_completeness(spark, folder):
     """Baskets per day before and after the draw, and sampled baskets that are not whole (none)."""
-    lines = _lines(spark, folder)
-    sample = sampling.sample_baskets(lines, 0.1, seed=42)
+    path = scratch_path(spark, "sample")
+    lines = _lines(spark, folder).select("transaction_id", "date")
+    sampling.sample_baskets(lines, 0.1, seed=42).write.parquet(path)
+    sample = spark.read.parquet(path)
     broken = reconcile.whole_baskets(lines, sample).agg(F.count("*")).scalar()
     per_day = lines.groupBy("date").agg(F.count_distinct("transaction_id").alias("baskets"))
     kept = sample.groupBy("date").agg(F.count_distinct("transaction_id").alias("kept"))
@@ -461,9 +463,11 @@ def check_ranges(spark, folder):
 
 
 def _reconciliation(spark, folder):
-    raw = order_lines.raw_export(spark, folder)
-    # The KPIs use no line numbers, so nothing needs to look for oversized baskets.
-    return reconcile.reconcile_kpis(raw, build_line_items(clean(raw), LINE_ORDER, basket_rows=None))
+    """KPIs use no line numbers; the text is rendered once and read twice, by either side."""
+    path = scratch_path(spark, "raw")
+    order_lines.raw_export(spark, folder).drop(*LINE_ORDER).write.parquet(path)
+    raw = spark.read.parquet(path)
+    return reconcile.reconcile_kpis(raw, line_values(clean(raw)))
 
 
 @query
@@ -487,12 +491,12 @@ def reconciliation_verdict(spark, folder):
 
 @query
 def grain_consistency(spark, folder):
-    lines = _lines(spark, folder)
-    return reconcile.grain_checks(
-        build_line_items(lines, LINE_ORDER),
-        build_transactions(lines, LINE_ORDER),
-        build_daily_item_sales(lines, LINE_ORDER),
-    )
+    """Over stored tables: each is built once."""
+    path = scratch_path(spark, "grains")
+    tables = build_tables(_lines(spark, folder), LINE_ORDER)
+    save_tables(tables, path)
+    names = ["line_items", "transactions", "daily_item_sales"]
+    return reconcile.grain_checks(*(spark.read.parquet(f"{path}/{name}") for name in names))
 
 
 @query

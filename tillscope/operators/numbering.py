@@ -1,4 +1,4 @@
-"""Running numbers inside groups that may be too large for one task."""
+"""Running numbers inside groups of any size."""
 
 from __future__ import annotations
 
@@ -7,78 +7,49 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.session import checkpoint_folder
+from tillscope.session import scratch_path
 
-# A group up to this size is sorted inside one task.
-GROUP_ROWS = 5_000_000
 
+def number_rows(df: DataFrame, key: str, order: Sequence[str], name: str = "row_no") -> DataFrame:
+    """Add ``name`` = 1, 2, 3, ... within ``key``, following ``order``; rows without a key get none.
 
-def number_rows(
-    df: DataFrame,
-    key: str,
-    order: Sequence[str],
-    name: str = "row_no",
-    *,
-    group_rows: int | None = GROUP_ROWS,
-    sizes: DataFrame | None = None,
-) -> DataFrame:
-    """Add ``name`` = 1, 2, 3, ... within ``key``, following ``order``.
-
-    Rows without a key get no number.  A group of more than ``group_rows`` rows
-    is cut into consecutive slices that are numbered in parallel, each continuing
-    after the rows of the slices before it.  Finding such groups costs one
-    pre-aggregated pass over the key column, unless ``sizes`` brings the rows per
-    key (key column first, count second); ``group_rows=None`` skips it for
-    sources whose groups are known to be small.
+    All rows are cut into consecutive slices by key and order, so a slice is as large
+    as any other whatever the groups.  Rows are numbered within their slice, and a
+    group that reaches over a border goes on after its rows in the slices before.
+    Both the rows and their slices are stored in the shared folder first: the rows
+    are worked out once, and a slice stays what it is when an executor is lost.
     """
-    if group_rows is not None:
-        if sizes is None:
-            sizes = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*"))
-        large = sizes.toDF(key, "_rows").where(F.col("_rows") > group_rows)
-        if not large.isEmpty():
-            return _number_with_slices(df, large, key, order, name, group_rows)
-    return _number_in_tasks(df, key, order, name)
-
-
-def _number_in_tasks(df: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
-    # Rows without a key would all meet in one task; their own order spreads them.
-    spread = F.when(F.col(key).isNull(), F.xxhash64(*order))
-    group = Window.partitionBy(key, spread).orderBy(*order)
-    return df.withColumn(name, F.when(F.col(key).isNotNull(), F.row_number().over(group).cast("bigint")))
-
-
-def _number_with_slices(
-    df: DataFrame, large: DataFrame, key: str, order: Sequence[str], name: str, group_rows: int
-) -> DataFrame:
-    checkpoint_folder(df.sparkSession)
-    # Fixed once, so that the two halves below can never disagree on a key.
-    large = large.checkpoint()
-    rows = large.agg(F.sum("_rows")).first()[0]
-    slices = max(int(rows // group_rows) + 1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    # At most (all rows / group_rows) keys, so a small table at any scale.
-    keys = F.broadcast(large.select(key))
-
-    small = _number_in_tasks(df.join(keys, key, "left_anti"), key, order, name)
-
-    # A range partitioning cuts a group at fixed places in its order.  The slice
-    # number must survive a lost executor, hence the checkpoint.
-    sliced = (
-        df.join(keys, key, "left_semi")
-        .repartitionByRange(slices, key, *order)
-        .withColumn("_slice", F.spark_partition_id())
-        .checkpoint()
+    spark = df.sparkSession
+    taken = {column.lower() for column in df.columns}
+    part = next(c for c in (f"_slice{i}" for i in range(len(taken) + 1)) if c not in taken)
+    rows = _stored(df, "unnumbered")
+    # Rows without a key would sort into few slices; they have a place of their own instead.
+    keyed = rows.where(F.col(key).isNotNull())
+    slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    sliced = _stored(
+        keyed.repartitionByRange(slices, key, *order).withColumn(part, F.spark_partition_id()), "slices"
     )
-    earlier = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+    # Only a group at a border lies in several slices: at most two rows per slice are left.
+    earlier = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     before = (
-        sliced.groupBy(key, "_slice")
+        sliced.groupBy(key, part)
         .agg(F.count("*").alias("_rows"))
-        .select(key, "_slice", F.coalesce(F.sum("_rows").over(earlier), F.lit(0)).alias("_before"))
+        .withColumn("_before", F.sum("_rows").over(earlier))
+        .where(F.col("_before").isNotNull())
+        .select(F.col(key).alias("_key"), F.col(part).alias("_part"), "_before")
     )
-    in_slice = Window.partitionBy(key, "_slice").orderBy(*order)
+    place = F.row_number().over(Window.partitionBy(key, part).orderBy(*order)).cast("bigint")
     numbered = (
-        sliced.withColumn(name, F.row_number().over(in_slice).cast("bigint"))
-        .join(before, [key, "_slice"])
-        .withColumn(name, F.col(name) + F.col("_before"))
+        sliced.withColumn(name, place)
+        .join(F.broadcast(before), (F.col(key) == F.col("_key")) & (F.col(part) == F.col("_part")), "left")
+        .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
         .select(*df.columns, name)
     )
-    return small.select(*df.columns, name).unionByName(numbered)
+    without = rows.where(F.col(key).isNull()).withColumn(name, F.lit(None).cast("bigint"))
+    return numbered.unionByName(without)
+
+
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

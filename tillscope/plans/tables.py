@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tillscope.functions.calendar import weekday_name
 from tillscope.functions.numbers import total
 from tillscope.names import HEADER_COLUMNS, LINE_ITEM_COLUMNS, MONEY, MONEY_COLUMNS, ROW_ORDER
-from tillscope.operators.numbering import GROUP_ROWS, number_rows
+from tillscope.operators.numbering import number_rows
 
 
 def _order(df: DataFrame, order: Sequence[str] | None) -> list[str]:
@@ -37,6 +37,11 @@ def _placed(column: str, order: Sequence[str]) -> Column:
     return F.when(F.col(column).isNotNull(), F.struct(*places, F.col(column).alias(column)))
 
 
+def line_values(cleaned: DataFrame) -> DataFrame:
+    """The cleaned rows with the values of line items but without their numbers, for sums over lines."""
+    return _typed(cleaned)
+
+
 def _typed(cleaned: DataFrame) -> DataFrame:
     """Whole quantities, and discounts that are zero where absent."""
     discounts = F.coalesce(F.col("discounts"), F.lit(0)) if "discounts" in cleaned.columns else F.lit(0)
@@ -48,21 +53,17 @@ def build_line_items(
     order: Sequence[str] | None = None,
     *,
     keep_order: bool = False,
-    basket_rows: int | None = GROUP_ROWS,
-    transactions: DataFrame | None = None,
 ) -> DataFrame:
     """One row per exported line, numbered ``<transaction_id>-<n>`` in row order.
 
-    ``keep_order`` keeps the order columns behind the table's own.  Baskets of
-    more than ``basket_rows`` lines are numbered in parallel; a stored
-    ``transactions`` table of the same rows tells which those are without a pass
-    over the lines.
+    ``keep_order`` keeps the order columns behind the table's own.  Baskets of any
+    size are numbered the same way, slice by slice.
     """
     order = _order(cleaned, order)
-    sizes = transactions.select("transaction_id", "num_line_items") if transactions is not None else None
-    numbered = number_rows(
-        _typed(cleaned), "transaction_id", order, "_n", group_rows=basket_rows, sizes=sizes
-    )
+    columns = [*LINE_ITEM_COLUMNS, *order]
+    values = line_values(cleaned)
+    needed = [name for name in dict.fromkeys(columns) if name in values.columns]
+    numbered = number_rows(values.select(*needed), "transaction_id", order, "_n")
     numbered = numbered.withColumn(
         "line_item_id", F.concat(F.col("transaction_id"), F.lit("-"), F.col("_n").cast("string"))
     )

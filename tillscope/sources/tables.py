@@ -68,7 +68,8 @@ def current_load(spark: SparkSession, folder: str) -> str | None:
 
 def _finish_load(spark: SparkSession, folder: str, load: str) -> None:
     """One row appended to the list of loads makes a load the current one."""
-    done = spark.read.schema(LOADS).parquet(f"{folder}/loads").count() if current_load(spark, folder) else 0
+    spark.createDataFrame([], LOADS).coalesce(1).write.mode("ignore").parquet(f"{folder}/loads")
+    done = spark.read.schema(LOADS).parquet(f"{folder}/loads").count()
     row = spark.createDataFrame([(load, done + 1)], LOADS)
     row.coalesce(1).write.mode("append").parquet(f"{folder}/loads")
 
@@ -110,10 +111,9 @@ def build_and_load(
         cleaned.write.mode("overwrite").parquet(staged)
         rows = spark.read.parquet(staged)
     save_tables({"transactions": build_transactions(rows, order)}, target, by_month=by_month)
-    stored = spark.read.parquet(f"{target}/transactions")
     save_tables(
         {
-            "line_items": build_line_items(rows, order, transactions=stored),
+            "line_items": build_line_items(rows, order),
             "daily_item_sales": build_daily_item_sales(rows, order),
         },
         target,
