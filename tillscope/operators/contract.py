@@ -76,10 +76,10 @@ def _failure(scope: str, column: str, check: str, case: Column) -> Column:
     )
 
 
-def _cell_failures(df: DataFrame, contract: Sequence[Field]) -> Column:
-    """Per row, the array of its failing cells."""
+def _cell_rules(df: DataFrame, contract: Sequence[Field]) -> list[tuple[Column, Column]]:
+    """When each rule is broken in a row, and the failure to report then."""
     types = {f.name: f.dataType for f in df.schema.fields}
-    found = []
+    rules = []
     for field in contract:
         if field.name not in types or not isinstance(types[field.name], _KINDS[field.kind]):
             continue
@@ -90,23 +90,37 @@ def _cell_failures(df: DataFrame, contract: Sequence[Field]) -> Column:
             if isinstance(types[field.name], T.StringType):
                 value = cell.try_cast("double")
                 check = _failure("column", field.name, "coerce_dtype('double')", cell)
-                found.append(F.when(cell.isNotNull() & value.isNull(), check))
+                rules.append((cell.isNotNull() & value.isNull(), check))
             if not isinstance(types[field.name], (T.DecimalType, T.IntegralType)):
                 # NaN is a missing number here, and it would pass any lower bound.
                 missing = missing | F.isnan(value)
                 value = F.when(~F.isnan(value), value)
             if field.above is not None:
                 check = _failure("column", field.name, f"greater_than({field.above})", cell)
-                found.append(F.when(value <= field.above, check))
+                rules.append((value <= field.above, check))
             if field.at_least is not None:
                 check = _failure("column", field.name, f"greater_than_or_equal_to({field.at_least})", cell)
-                found.append(F.when(value < field.at_least, check))
-        found.append(F.when(missing, _failure("column", field.name, "not_nullable", F.lit(None))))
+                rules.append((value < field.at_least, check))
+        rules.append((missing, _failure("column", field.name, "not_nullable", F.lit(None))))
+    return rules
+
+
+def _cell_failures(df: DataFrame, contract: Sequence[Field]) -> Column:
+    """Per row, the array of its failing cells."""
+    found = [F.when(broken, failure) for broken, failure in _cell_rules(df, contract)]
     if not found:
         return F.array().cast(T.ArrayType(FAILURE))
     return F.array_compact(F.array(*found))
 
 
+def _error_count(df: DataFrame, contract: Sequence[Field]) -> Column:
+    """Failing cells over all rows, counted without making their texts."""
+    errors = F.lit(0)
+    for broken, _ in _cell_rules(df, contract):
+        errors = errors + F.when(broken, 1).otherwise(0)
+    return F.coalesce(F.sum(errors), F.lit(0))
+
+
 def _schema_failures(df: DataFrame, contract: Sequence[Field]) -> list[tuple[str, str, str, str]]:
     """Missing columns and columns of the wrong type, from the schema alone."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -136,7 +150,7 @@ def failures(df: DataFrame, row_id: Sequence[str] = (), contract: Sequence[Field
 def summary(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFrame:
     """One row: is_valid, row_count, error_count."""
     of_frame = len(_schema_failures(df, contract))
-    errors = F.coalesce(F.sum(F.size(_cell_failures(df, contract))), F.lit(0)) + F.lit(of_frame)
+    errors = _error_count(df, contract) + F.lit(of_frame)
     return df.agg(
         (errors == 0).alias("is_valid"),
         F.count("*").alias("row_count"),
@@ -161,7 +175,7 @@ def write_valid(df: DataFrame, path: str, contract: Sequence[Field] = CONTRACT)
     if _schema_failures(df, contract):
         require_valid(df, contract)
     watch = Observation("contract")
-    errors = F.coalesce(F.sum(F.size(_cell_failures(df, contract))), F.lit(0))
+    errors = _error_count(df, contract)
     watched = df.observe(watch, F.count(F.lit(1)).alias("row_count"), errors.cast("bigint").alias("error_count"))
     watched.write.mode("overwrite").parquet(path)
     if watch.get["error_count"]:
