@@ -113,7 +113,7 @@ class AttentionModel:
         size = np.maximum(np.bincount(passage, minlength=total), 1)
         # One dimension at a time, so that a very long text needs a few numbers per word.
         mean = np.stack([np.bincount(passage, c[slots], total) for c in np.ascontiguousarray(self.table.T)], axis=1)
-        mean /= size[:, None]
+        mean = mean / size[:, None]
         return np.tanh(mean + style @ self.style + self.bias), size
 
     def attend(self, hidden, starts):
