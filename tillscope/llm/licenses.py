@@ -26,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.labelled import small
+from tillscope.session import scratch_path
 
 LIKE = 0.6
 SIGNAL = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut"
@@ -102,6 +103,13 @@ def _directory(path: Column) -> Column:
     return F.regexp_extract(path, r"^(.*)/[^/]*$", 1)
 
 
+def _stored(df: DataFrame, name: str) -> DataFrame:
+    """Written to the shared folder and read again, so that texts are scanned once for it."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
     """path, license, origin, cosine, from_directory, with doc_id, for files (doc_id, path, text).
 
@@ -115,8 +123,10 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None) ->
         .select("row", F.explode(F.split("text", "\n")).alias("line"))
         .where(F.col("line").rlike(SIGNAL))
     )
+    lines = _stored(lines, "lines")
     own = lines.join(match_lines(lines, templates), "line").groupBy("row").agg(F.max("best").alias("own"))
-    known = named.select("doc_id", "path", "row", _directory(F.col("path")).alias("directory")).join(own, "row", "left")
+    placed = named.select("doc_id", "path", "row", _directory(F.col("path")).alias("directory"))
+    known = _stored(placed.join(own, "row", "left").drop("row"), "files")
 
     speaking = (
         known.where(F.col("own").isNotNull() & F.col("path").rlike(LICENSE_FILE))
