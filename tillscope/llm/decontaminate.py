@@ -44,8 +44,12 @@ BODY = r"[\p{L}\p{N}]+(?:[.,'’-][\p{L}\p{N}]+)*"
 WORD = f"[{NAME}{UNIT}]?{BODY}"
 # A capital after a blank that ends no sentence.
 WITHIN = r"(?<=[\p{L}\p{N},;)] )(?=\p{Lu}\p{Ll})"
-NUMBER = rf"(?<![\p{{L}}\p{{N}}{NAME}]|[\p{{L}}\p{{N}}][.,'’-])[0-9][\p{{L}}\p{{N}}]*(?:[.,'’-][\p{{L}}\p{{N}}]+)*"
-MEASURED = rf"(?<![\p{{L}}\p{{N}}{NAME}]|[\p{{L}}\p{{N}}][.,'’-])0([^\p{{L}}\p{{N}}{NAME}]{{1,3}})(?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]|[.,'’-][\p{{L}}\p{{N}}])"
+LETTER = r"[\p{L}\p{N}]"
+# Where a word may begin and end.
+OPENS = rf"(?<!{LETTER}|{NAME}|{LETTER}[.,'’-])"
+CLOSES = rf"(?!{LETTER}|[.,'’-]{LETTER})"
+NUMBER = rf"{OPENS}[0-9]{LETTER}*(?:[.,'’-]{LETTER}+)*"
+MEASURED = rf"{OPENS}0([^\p{{L}}\p{{N}}{NAME}]{{1,3}})(?:{'|'.join(UNITS)}){CLOSES}"
 
 
 def marked_text(text: Column) -> Column:

@@ -49,6 +49,16 @@ def labelled_sample(
     return rows.groupBy("doc_id", "label").agg(F.min(F.coalesce("text", F.lit(""))).alias("text")), counts
 
 
+# Parts of the range of a hash: fine enough to draw a few documents of many billions.
+PARTS = 1 << 50
+
+
+def drawn_by_hash(share: float | Column, *columns: str) -> Column:
+    """Whether a row belongs to a ``share`` of all rows, by a hash of its columns."""
+    share = share if isinstance(share, Column) else F.lit(float(share))
+    return F.pmod(F.xxhash64(*columns), F.lit(PARTS)) < share * PARTS
+
+
 def small(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """Marked for broadcast if it has at most so many (narrow) rows; they are counted first."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillscope.llm.labelled import held_out, remainder
+from tillscope.llm.labelled import drawn_by_hash, held_out, remainder
 from tillscope.llm.texts import bare, split_words, sums, text_slices
 
 DOCUMENTS = 400
@@ -187,8 +187,8 @@ def fit_languages(documents: DataFrame, pieces: list[str], per_language: int = D
     sizes = {row["lang"]: row["n"] for row in known.groupBy("lang").agg(F.count("*").alias("n")).collect()}
     if not sizes:
         return [], np.zeros((len(pieces) + 1, 0))
-    pairs = [F.lit(x) for name, n in sorted(sizes.items()) for x in (name, int(min(1.0, per_language / n) * 1_000_000))]
-    drawn = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < F.create_map(*pairs)[F.col("lang")])
+    pairs = [F.lit(x) for name, n in sorted(sizes.items()) for x in (name, min(1.0, per_language / n))]
+    drawn = known.where(drawn_by_hash(F.create_map(*pairs)[F.col("lang")], "doc_id"))
     counted = count_words(drawn).where(F.col("word") != "").groupBy("lang", "word").agg(F.sum("n").alias("n"))
     best = Window.partitionBy("lang").orderBy(F.desc("n"), "word")
     kept = counted.withColumn("place", F.row_number().over(best)).where(F.col("place") <= words).collect()

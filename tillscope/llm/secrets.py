@@ -23,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tillscope.llm.labelled import free_name
+from tillscope.llm.labelled import drawn_by_hash, free_name
 
 # The base patterns and the least length of what counts.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -90,11 +90,12 @@ def labelled_samples(documents: DataFrame, sample_documents: int = SAMPLE_DOCUME
     spark = documents.sparkSession
     rows = documents.count()
     share = min(1.0, sample_documents / max(1, rows))
-    drawn = documents.where(
-        F.pmod(F.xxhash64("doc_id", "text"), F.lit(1_000_000)) < F.lit(int(share * 1_000_000))
-    ).select(F.coalesce("text", F.lit("")).alias("text"))
+    drawn = documents.where(drawn_by_hash(share, "doc_id", "text")).select(
+        F.coalesce("text", F.lit("")).alias("text")
+    )
+    ordinary = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
     plain = drawn.select(
-        F.explode(F.regexp_extract_all(F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " "), F.lit(r"[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("token"),
+        F.explode(F.regexp_extract_all(ordinary, F.lit(r"[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("token"),
         F.lit(False).alias("random"),
     )
     values = drawn.select(
