@@ -148,7 +148,7 @@ def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None) ->
         .groupBy("directory")
         .agg(F.max(F.struct("depth", "above", "spoken")).alias("nearest"))
     )
-    decided = known.join(small(nearest), "directory", "left")
+    decided = known.join(small(nearest, 200_000), "directory", "left")
     inherited = F.col("own").isNull() & F.col("nearest").isNotNull()
     choice = F.coalesce("own", "nearest.spoken")
     return decided.select(
