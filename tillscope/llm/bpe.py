@@ -34,7 +34,7 @@ from tillscope.llm.texts import split_words, text_slices
 
 WORD_END = "</w>"
 # Pairs whose compatibility, and words whose tokens, a task remembers before it starts afresh.
-REMEMBERED = 1 << 19
+REMEMBERED = 1 << 17
 
 # The splitter's pattern and the white space of Unicode.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -35,6 +36,18 @@ def text_slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.R
             stop = max(start + 1, int(np.searchsorted(ends, before + limit, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+        del batch
+    release()
+
+
+def release() -> None:
+    """Give memory that a task no longer needs back to the system: its worker process goes on to other stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        # Not every C library can; memory is then kept for reuse.
+        return
 
 
 def split_words(texts: pa.Array) -> Words:
