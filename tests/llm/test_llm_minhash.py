@@ -134,3 +134,29 @@ def test_blocks_give_links_that_distances_and_elements_allow():
     # What is joined already needs no more links.
     assert len(block([(i, i, 0.3, same) for i in range(30)])) == 29
     assert block([(1, 1, 0.3, same)]) == []
+
+
+def test_pairs_are_compared_in_the_first_band_whose_key_they_share():
+    # The short signatures agree in band 0 by a clash; the bucket is that of band 1.
+    short = bytes(minhash.COORDINATES)
+    elements = np.arange(50, dtype="<u4").tobytes()
+    bands = [np.arange(minhash.BANDS) + 100, np.arange(minhash.BANDS) + 200]
+    bands[1][[1, 3]] = bands[0][[1, 3]]
+    rows = [(0, k, k, np.nan, short, bands[k], elements) for k in (0, 1)]
+    columns = ["side", "node", "label", "distance", "short", "bands", "elements"]
+    found = {}
+    for band in (0, 1, 3):
+        block = pd.DataFrame(rows, columns=columns).assign(band=band)
+        found[band] = [sorted(p) for p in minhash.compare_block(block).to_numpy().tolist()]
+    assert found == {0: [], 1: [[0, 1]], 3: []}
+
+
+def test_short_signatures_do_not_follow_the_coordinate():
+    draw = random.Random(11)
+    texts = [" ".join(words(draw, 60)) for _ in range(64)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(64)), "text": texts, "text_hash": list(range(64))})
+    lines = [line.as_py() for part in minhash.sketch_batches([batch]) for line in part.column("short")]
+    short = np.frombuffer(b"".join(lines), np.uint8).reshape(64, minhash.COORDINATES)
+    assert (np.array([len(np.unique(c % 8)) for c in short.T]) > 4).all()
+    clash = np.mean([(short[i] == short[j]).mean() for i in range(64) for j in range(i)])
+    assert clash < 0.01

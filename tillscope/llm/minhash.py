@@ -18,7 +18,7 @@ classes are the connected groups of near duplicates.
    comparison among themselves.
 4. The rest is exact: in buckets that still hold several classes, members of
    different classes are compared in blocks of bounded size, each pair in the first band
-   that it shares.  The distances to the hub rule out pairs by the triangle inequality,
+   whose key it shares.  The distances to the hub rule out pairs by the triangle inequality,
    signatures rule out those whose agreement is far from the limit (more than four
    standard deviations), and what remains is again worked out exactly.  A block gives
    the links that join its classes; a link inside a class that is already joined adds
@@ -170,7 +170,8 @@ def sketch_batches(batches) -> Iterator[pa.RecordBatch]:
         lists = pa.ListArray.from_arrays(
             pa.array(np.arange(batch.num_rows + 1) * BANDS, pa.int32()), pa.array(keys.ravel(), pa.int64())
         )
-        short = [line.tobytes() for line in (signature & np.uint64(255)).astype(np.uint8)]
+        # Bits that do not fix the coordinate, which is the lower half modulo COORDINATES.
+        short = [line.tobytes() for line in (signature >> np.uint64(32) & np.uint64(255)).astype(np.uint8)]
         yield pa.RecordBatch.from_arrays(
             [batch.column("doc_id"), batch.column("text_hash"), pa.array(digests), lists, pa.array(short)],
             names=["doc_id", "text_hash", "digest", "bands", "short"],
@@ -219,13 +220,15 @@ def compare_block(members: pd.DataFrame) -> pd.DataFrame:
     alone = not (len(sides[0]) and len(sides[1]))
     one, two = (members, members) if alone else sides
     left, right = (np.frombuffer(b"".join(s.short), np.uint8).reshape(len(s), COORDINATES) for s in (one, two))
+    # Without band keys every pair is compared here, also those that share an earlier band.
+    keyed = "bands" in members
+    keys = [np.array(s.bands.tolist(), np.int64).reshape(len(s), BANDS) for s in (one, two)] if keyed else []
     label, far = ([s[c].to_numpy() for s in (one, two)] for c in ("label", "distance"))
     size = [s.elements.map(len).to_numpy() for s in (one, two)]
     band = int(members.band.iloc[0])
     found = []
     for i in range(len(one)):
-        equal = left[i] == right
-        same = equal.mean(axis=1)
+        same = (left[i] == right).mean(axis=1)
         fits = (same >= AGREEMENT) & (label[1] != label[0][i])
         # Unknown distances (NaN) rule nothing out.
         fits &= ~(np.abs(far[1] - far[0][i]) > 1 - SIMILARITY + 1e-9)
@@ -233,8 +236,9 @@ def compare_block(members: pd.DataFrame) -> pd.DataFrame:
         if alone:
             fits[: i + 1] = False
         at = np.flatnonzero(fits)
-        # In an earlier band that they share, the pair is compared there.
-        at = at[equal[at].reshape(len(at), BANDS, ROWS).all(axis=2).argmax(axis=1) == band]
+        # In an earlier band that they share, the pair is compared there; only the keys tell, as short signatures clash.
+        if keyed:
+            at = at[(keys[1][at] == keys[0][i]).argmax(axis=1) == band]
         found += zip(-same[at], [i] * len(at), at.tolist(), strict=True)
     above: dict[int, int] = {}
 
@@ -412,7 +416,7 @@ def _rest(rays: DataFrame, known: DataFrame, labels: DataFrame, nodes: DataFrame
         .where(F.col("low") != F.col("high"))
         .select("key", "blocks")
     )
-    rest = members.join(mixed, "key").join(nodes.select("node", "short"), "node").join(elements, "node")
+    rest = members.join(mixed, "key").join(nodes.select("node", "short", "bands"), "node").join(elements, "node")
     own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
     # A block meets itself and every other block of its bucket, each in a task of its own.
     dealt = (
@@ -428,6 +432,7 @@ def _rest(rays: DataFrame, known: DataFrame, labels: DataFrame, nodes: DataFrame
             "label",
             F.coalesce("distance", F.lit(float("nan"))).alias("distance"),
             "short",
+            "bands",
             "elements",
         )
     )
