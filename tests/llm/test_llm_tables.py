@@ -109,6 +109,25 @@ def test_questions_with_other_numbers_and_names(spark):
     assert decontaminate.leaked_items(documents, items.limit(0)).collect() == []
 
 
+STARTS = (
+    "Maria has 5 red apples in her basket today. Maria buys 7 more apples at the market. "
+    "Maria gives 3 of the apples to a friend. Maria wants to know how many are left."
+)
+NAMED = "On Monday the teacher Alice met with Bob and Carol near Paris to count 14 coins for the school fair."
+
+
+def test_names_at_sentence_starts_and_copies_in_other_case(spark):
+    other = STARTS.replace("Maria", "Carla").replace("5", "8").replace("7", "2").replace("3", "6")
+    texts = [
+        other, NAMED.lower(), NAMED.upper(), NAMED.replace(" ", "\n"), NAMED.replace(" ", "  "), NAMED.replace(" ", "\u00a0\t"),
+        NAMED.lower().replace("14", "15"), "Nothing of the kind stands in this text of more than eight words.",
+    ]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    items = spark.createDataFrame([(1, STARTS), (2, NAMED)], "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r["share"] for r in decontaminate.leaked_items(documents, items).collect()}
+    assert found == {(0, 1): 1.0} | {(i, 2): 1.0 for i in range(1, 7)}
+
+
 def plain_leaks(documents, items, width=8):
     def words(text):
         return [w.lower() for w in re.findall(r"[^\W_]+(?:[.,'’-][^\W_]+)*", text or "")]

@@ -1,10 +1,13 @@
 """Benchmark decontamination by canonical templates.
 
-Words of documents and benchmark items are made canonical: numbers, names (a
-capital within a sentence) and units after a number become typed placeholders, all
-else is lower case without punctuation.  Windows of ``WINDOW`` canonical words are
-hashed and joined, so a question that was given other numbers or names still meets
-its item.  Where windows met, the values that stand in the placeholders (slots) are
+Words of documents and benchmark items are made canonical: numbers, names and units
+after a number become typed placeholders, all else is lower case without punctuation;
+white space of any kind and length is one blank.  Nothing tells a name from another
+capital at the start of a sentence, so there are three forms: no word is a name, those
+with a capital within a sentence are, and all with a capital are.  Windows of
+``WINDOW`` canonical words of each form are hashed and joined, so a question that was
+given other numbers or names still meets its item, and one in other case too as long
+as its names are the same.  Where windows met, the values that stand in the placeholders (slots) are
 looked up and checked: along one alignment of item and document, equal values of the
 item must have equal values in the document and different ones different values.  A
 document leaks an item when its consistent windows are at least ``SHARE`` of the
@@ -38,53 +41,91 @@ UNITS = (
     "day days week weeks month months year years dollar dollars euro euros cent cents usd eur degree degrees"
 ).split()
 
-# Marks in front of a name and of a unit; no letter, digit or punctuation.
-NAME, UNIT = "\x04", "\x05"
+# Marks in front of a name, of a unit and of any other capital; no letter, digit or punctuation.
+NAME, UNIT, CAPITAL = "\x04", "\x05", "\x06"
 BODY = r"[\p{L}\p{N}]+(?:[.,'’-][\p{L}\p{N}]+)*"
-WORD = f"[{NAME}{UNIT}]?{BODY}"
+WORD = f"[{NAME}{UNIT}{CAPITAL}]?{BODY}"
+# What becomes one blank; marks that a text holds itself are blanks too.
+SPACE = r"\s\x85\p{Z}\x04-\x06"
+SPACES = rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]"
 # A capital after a blank that ends no sentence.
 WITHIN = r"(?<=[\p{L}\p{N},;)] )(?=\p{Lu}\p{Ll})"
 LETTER = r"[\p{L}\p{N}]"
 # Where a word may begin and end.
-OPENS = rf"(?<!{LETTER}|{NAME}|{LETTER}[.,'’-])"
+OPENS = rf"(?<!{LETTER}|{NAME}|{CAPITAL}|{LETTER}[.,'’-])"
 CLOSES = rf"(?!{LETTER}|[.,'’-]{LETTER})"
+# A capital at the start of any other word.
+OTHER = rf"{OPENS}(?=\p{{Lu}}\p{{Ll}})"
 NUMBER = rf"{OPENS}[0-9]{LETTER}*(?:[.,'’-]{LETTER}+)*"
 MEASURED = rf"{OPENS}0([^\p{{L}}\p{{N}}{NAME}]{{1,3}})(?:{'|'.join(UNITS)}){CLOSES}"
 
 
 def marked_text(text: Column) -> Column:
-    """Lower case, with a mark before every name."""
-    return F.lower(F.regexp_replace(F.coalesce(text, F.lit("")), WITHIN, NAME))
+    """Lower case and single blanks, with a mark before every name and every other capital."""
+    text = F.regexp_replace(F.coalesce(text, F.lit("")), SPACES, " ")
+    return F.lower(F.regexp_replace(F.regexp_replace(text, WITHIN, NAME), OTHER, CAPITAL))
 
 
 def canonical_text(marked: Column) -> Column:
-    """The same words, with placeholders for names, numbers and units after a number."""
-    names = F.regexp_replace(marked, f"{NAME}{BODY}", f"{NAME}x")
-    numbers = F.regexp_replace(names, NUMBER, "0")
+    """The same words, marks kept, with placeholders for numbers and units after a number."""
+    numbers = F.regexp_replace(marked, NUMBER, "0")
     units = F.regexp_replace(numbers, MEASURED, f"0$1{UNIT}u")
-    return F.when(marked.rlike(f"[0-9{NAME}]"), units).otherwise(marked)
+    return F.when(marked.rlike("[0-9]"), units).otherwise(marked)
+
+
+def _form(word: Column, form: int) -> Column:
+    """A canonical word where nothing is a name (0), those within a sentence are (1), or all capitals (2)."""
+    names = [F.lit(False), word.startswith(NAME), word.startswith(NAME) | word.startswith(CAPITAL)][form]
+    return F.when(names, F.lit(f"{NAME}x")).otherwise(F.translate(word, NAME + CAPITAL, ""))
 
 
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def _windows(hashes: Column, width: Column | int) -> Column:
-    """Hash of every window of word hashes; none of a text that is too short."""
+def _windows(forms: list[Column], width: Column | int) -> Column:
+    """Hashes of every window of word hashes, one per form; none of a text that is too short."""
     width = F.lit(width) if isinstance(width, int) else width
+    hashes = forms[0]
     starts = F.sequence(F.lit(1), F.size(hashes) - width + 1)
     # No filter on the number of words: it would move below and work the words out a second time.
     enough = (F.size(hashes) >= width) & (width > 0)
-    return F.transform(F.when(enough, starts), lambda i: F.xxhash64(F.slice(hashes, i, width)))
+    return F.transform(
+        F.when(enough, starts),
+        lambda i: F.struct(*(F.xxhash64(F.slice(own, i, width)).alias(f"w{k}") for k, own in enumerate(forms))),
+    )
+
+
+def _word_hashes(forms: list[int]) -> list[Column]:
+    """The hashes of the words of ``canon`` in each form."""
+
+    def hashed(form: int) -> Column:
+        return F.transform("canon", lambda w: F.xxhash64(_form(w, form))).alias(f"form{form}")
 
+    return [hashed(form) for form in forms]
 
-def _slots(width: Column) -> Column:
-    """Values in the placeholders of the window at ``place``, from columns ``canon`` and ``plain``."""
-    pairs = F.arrays_zip(
-        F.slice("canon", F.col("place") + 1, width).alias("canon"), F.slice("plain", F.col("place") + 1, width).alias("plain")
+
+def _offsets(canon: Column, form: Column) -> Column:
+    """Where placeholders stand in a window of canonical words, from its start."""
+    every = F.transform(
+        canon,
+        lambda w, i: F.when(
+            w.isin("0", f"{UNIT}u")
+            | (w.startswith(NAME) & (form > 0))
+            | (w.startswith(CAPITAL) & (form > 1)),
+            i,
+        ),
     )
-    held = F.filter(pairs, lambda p: p["canon"].isin("0", f"{NAME}x", f"{UNIT}u"))
-    return F.transform(held, lambda p: p["plain"])
+    return F.filter(every, lambda i: i.isNotNull())
+
+
+def _slots(plain: Column, place: Column, offsets: Column) -> Column:
+    """Values in the placeholders of the window at ``place``."""
+    return F.transform(offsets, lambda i: F.get(plain, place + i))
+
+
+def _bare_words(marked: Column) -> Column:
+    return words_of(F.translate(marked, NAME + CAPITAL, ""))
 
 
 def _pattern(slots: Column) -> Column:
@@ -97,35 +138,48 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     spark = documents.sparkSession
     items = (
         benchmark.select("item_id", marked_text(F.col("text")).alias("marked"))
-        .select("item_id", canonical_text(F.col("marked")).alias("text"), words_of(F.col("marked")).alias("plain"))
-        .select("item_id", "plain", words_of(F.col("text")).alias("canon"))
+        .select("item_id", _bare_words(F.col("marked")).alias("plain"), words_of(canonical_text(F.col("marked"))).alias("canon"))
         .withColumn("width", F.least(F.size("canon"), F.lit(window)))
-        .withColumn("hashes", F.transform("canon", lambda w: F.xxhash64(w)))
+        .select("*", *_word_hashes([0, 1, 2]))
     )
     widths = [row[0] for row in items.where("width > 0").select("width").distinct().collect()] or [window]
+    hashes = _windows([F.col(f"form{k}") for k in range(3)], F.col("width"))
+    placed = items.select("*", F.posexplode(hashes).alias("item_place", "window"))
+    canon = F.slice("canon", F.col("item_place") + 1, F.col("width"))
     wanted = (
-        items.select("*", F.posexplode(_windows(F.col("hashes"), F.col("width"))).alias("place", "hash"))
-        .select("item_id", "width", "hash", F.col("place").alias("item_place"), _slots(F.col("width")).alias("item_slots"))
-        .distinct()
+        placed.select("*", F.posexplode(F.array(*(F.col(f"window.w{k}") for k in range(3)))).alias("form", "hash"))
+        .withColumn("offsets", _offsets(canon, F.col("form")))
+        .withColumn("item_slots", _slots(F.col("plain"), F.col("item_place"), F.col("offsets")))
+        .select("item_id", "width", "hash", "item_place", "offsets", "item_slots", "form")
+        # A window without names is the same in several forms.
+        .groupBy("item_id", "width", "hash", "item_place", "offsets", "item_slots")
+        .agg(F.min("form").alias("form"))
     )
+    forms = sorted({0} | {row[0] for row in wanted.select("form").distinct().collect()})
+    wanted = wanted.drop("form")
     sizes = wanted.groupBy("item_id").agg(F.countDistinct("item_place").alias("in_item"))
 
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     hashed = texts.select(
         "doc_id", "text_hash", words_of(canonical_text(marked_text(F.col("text")))).alias("canon")
-    ).select("doc_id", "text_hash", F.transform("canon", lambda w: F.xxhash64(w)).alias("hashes"))
+    ).select("doc_id", "text_hash", *_word_hashes(forms))
     parts = [
         hashed.select(
             "doc_id",
             "text_hash",
             F.lit(width).alias("width"),
-            F.posexplode(_windows(F.col("hashes"), width)).alias("place", "hash"),
+            F.posexplode(_windows([F.col(f"form{k}") for k in forms], width)).alias("place", "window"),
         )
         for width in sorted(widths)
     ]
     every = parts[0]
     for part in parts[1:]:
         every = every.unionByName(part)
+    own = [F.col(f"window.w{k}") for k in range(len(forms))]
+    # A form that gives the same window as the one before adds nothing.
+    different = [own[0], *(F.when(b != a, b) for a, b in zip(own[:-1], own[1:], strict=True))]
+    hashes = F.explode(F.array(*different)) if len(own) > 1 else own[0]
+    every = every.select("doc_id", "text_hash", "width", "place", hashes.alias("hash"))
     path = scratch_path(spark, "windows")
     every.join(small(wanted), ["width", "hash"]).drop("hash").write.parquet(path)
     met = spark.read.parquet(path)
@@ -145,17 +199,13 @@ def _consistent(met: DataFrame, texts: DataFrame) -> DataFrame:
     held = met.where(F.size("item_slots") > 0)
     keys = small(held.select(*document).distinct())
     same = [texts[c].eqNullSafe(keys[c]) for c in document]
-    words = (
-        texts.join(keys, same, "left_semi")
-        .select(*document, marked_text(F.col("text")).alias("marked"))
-        .select(*document, words_of(F.col("marked")).alias("plain"), words_of(canonical_text(F.col("marked"))).alias("canon"))
-    )
+    words = texts.join(keys, same, "left_semi").select(*document, _bare_words(marked_text(F.col("text"))).alias("plain"))
     same = [held[c].eqNullSafe(words[c]) for c in document]
     filled = (
         held.join(words, same)
-        .select(*(held[c] for c in held.columns), "plain", "canon")
-        .withColumn("slots", _slots(F.col("width")))
-        .drop("plain", "canon")
+        .select(*(held[c] for c in held.columns), "plain")
+        .withColumn("slots", _slots(F.col("plain"), F.col("place"), F.col("offsets")))
+        .drop("plain", "offsets")
         .where(_pattern(F.col("slots")) == _pattern(F.col("item_slots")))
     )
     broken = (
