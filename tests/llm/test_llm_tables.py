@@ -128,6 +128,21 @@ def test_names_at_sentence_starts_and_copies_in_other_case(spark):
     assert found == {(0, 1): 1.0} | {(i, 2): 1.0 for i in range(1, 7)}
 
 
+def test_values_that_coincide_and_one_that_was_changed(spark):
+    item = (
+        "a farmer has 3 apples and 5 pears in one box and sells 3 apples to a man who then walks away over "
+        "the long hill and down to the small town where he eats 5 pears under a tree before he goes home"
+    )
+    coincide = item.replace("3", "4").replace("5", "4")
+    changed = item.replace("sells 3", "sells 9")
+    documents = spark.createDataFrame([(1, coincide), (2, changed)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    found = {r["doc_id"]: (r["n_windows"], r["share"]) for r in decontaminate.leaked_items(documents, items).collect()}
+    # Only the 8 windows that hold the changed number are lost.
+    windows = len(item.split()) - 7
+    assert found == {1: (windows, 1.0), 2: (windows - 8, pytest.approx((windows - 8) / windows))}
+
+
 def plain_leaks(documents, items, width=8):
     def words(text):
         return [w.lower() for w in re.findall(r"[^\W_]+(?:[.,'’-][^\W_]+)*", text or "")]

@@ -9,7 +9,9 @@ with a capital within a sentence are, and all with a capital are.  Windows of
 given other numbers or names still meets its item, and one in other case too as long
 as its names are the same.  Where windows met, the values that stand in the placeholders (slots) are
 looked up and checked: along one alignment of item and document, equal values of the
-item must have equal values in the document and different ones different values.  A
+item must have equal values in the document (different ones may have equal values too,
+as new numbers coincide).  Windows that hold an item value with several values in the
+document are left out, but a window whose values are the item's own always counts.  A
 document leaks an item when its consistent windows are at least ``SHARE`` of the
 item's windows.
 
@@ -128,11 +130,6 @@ def _bare_words(marked: Column) -> Column:
     return words_of(F.translate(marked, NAME + CAPITAL, ""))
 
 
-def _pattern(slots: Column) -> Column:
-    """Which slots of a window hold equal values: the place of each value's first use."""
-    return F.transform(slots, lambda s: F.array_position(slots, s))
-
-
 def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, share): items that documents hold, one row per pair."""
     spark = documents.sparkSession
@@ -191,7 +188,7 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
 
 
 def _consistent(met: DataFrame, texts: DataFrame) -> DataFrame:
-    """The windows whose slots, along their alignment, map one to one to those of the item."""
+    """The windows whose slots are the item's, or whose item values have one value each along their alignment."""
     document = ["doc_id", "text_hash"]
     along = [*document, "item_id", "shift"]
     met = met.withColumn("shift", F.col("place") - F.col("item_place"))
@@ -206,22 +203,21 @@ def _consistent(met: DataFrame, texts: DataFrame) -> DataFrame:
         .select(*(held[c] for c in held.columns), "plain")
         .withColumn("slots", _slots(F.col("plain"), F.col("place"), F.col("offsets")))
         .drop("plain", "offsets")
-        .where(_pattern(F.col("slots")) == _pattern(F.col("item_slots")))
     )
+    same_values = F.col("slots") == F.col("item_slots")
+    verbatim, other = filled.where(same_values), filled.where(~same_values)
     broken = (
         filled.select(*along, F.explode(F.arrays_zip("item_slots", "slots")).alias("pair"))
+        .groupBy(*along, F.col("pair.item_slots").alias("value"))
+        .agg(F.min("pair.slots").alias("least"), F.max("pair.slots").alias("most"))
+        .where(F.col("least") != F.col("most"))
         .groupBy(*along)
-        .agg(
-            F.countDistinct("pair.item_slots").alias("left"),
-            F.countDistinct("pair.slots").alias("right"),
-            F.countDistinct("pair").alias("both"),
-        )
-        .where((F.col("left") != F.col("both")) | (F.col("right") != F.col("both")))
+        .agg(F.collect_set("value").alias("values"))
     )
-    same = [filled[c].eqNullSafe(broken[c]) for c in along]
-    kept = filled.join(broken, same, "left_anti")
+    same = [other[c].eqNullSafe(broken[c]) for c in along]
+    kept = other.join(broken, [*same, F.arrays_overlap(other["item_slots"], broken["values"])], "left_anti")
     columns = [*document, "item_id", "item_place"]
-    return without.select(*columns).unionByName(kept.select(*columns))
+    return without.select(*columns).unionByName(verbatim.select(*columns)).unionByName(kept.select(*columns))
 
 
 def leaked_items(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
