@@ -84,3 +84,18 @@ def test_redaction_keeps_rows_and_columns(spark):
 def test_empty_table(spark):
     table = spark.createDataFrame([], "doc_id long, text string")
     assert secrets.find_secrets(table).collect() == []
+
+
+PLAIN = [
+    "=" * 20, "/" * 20, "-" * 20, "_" * 40, "+" * 24, "12345678901234567890", "path/to/some/resource/index",
+    "/usr/local/share/python/site-packages", "2024-01-15/2024-02-20", "31415926535897932384626433832795",
+]
+
+
+def test_rules_numbers_and_paths_are_ordinary(spark, folder):
+    documents = spark.read.parquet(f"{folder}/documents.parquet")
+    cases = spark.createDataFrame([(i, f"see {t} here") for i, t in enumerate([*PLAIN, RANDOM])], "doc_id long, text string")
+    found = {r["doc_id"]: r for r in secrets.find_secrets(cases, secrets.fit_secrets(documents)).collect()}
+    # The long decimal is a run of 24 and more hexadecimal digits, a base span.
+    assert [PLAIN[i] for i in range(len(PLAIN)) if found[i]["n_markov"]] == []
+    assert found[len(PLAIN)]["n_markov"] == 1

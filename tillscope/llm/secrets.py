@@ -20,7 +20,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tillscope.llm.labelled import drawn_by_hash, free_name
@@ -40,6 +40,13 @@ RATIO = 0.3
 SAMPLE_DOCUMENTS = 2000
 RANDOM_STRINGS = 2000
 BACK_OFF = 20.0
+# Shapes of ordinary long tokens, of which documents may hold few: rules, numbers, dates and paths.
+RULE_LENGTHS, NUMBERS, PATHS = 100, 300, 500
+PATH_WORDS = (
+    "usr local share lib bin etc var log home user opt tmp src main test tests java python site-packages path to some "
+    "resource resources index data docs images static assets public config scripts build include common utils core "
+    "api v1 v2 com org net www html en node_modules dist-packages models views project module version release"
+).split()
 PLACEHOLDER = "<secret>"
 
 SPAN = "struct<start:int,kind:int,end:int>"
@@ -81,7 +88,10 @@ def base_spans(text: Column) -> Column:
 
 
 def labelled_samples(documents: DataFrame, sample_documents: int = SAMPLE_DOCUMENTS) -> DataFrame:
-    """(token, random): ordinary words of a bounded hash sample of documents, and random strings.
+    """(token, random): ordinary tokens of a bounded hash sample of documents, and random strings.
+
+    Ordinary tokens have the alphabet of the candidates; shapes that few documents hold
+    (rules, numbers, dates, paths) are added.
 
     Random strings are digests of running numbers in three forms; values that the
     base patterns find in the sampled documents are random too.  About
@@ -95,7 +105,7 @@ def labelled_samples(documents: DataFrame, sample_documents: int = SAMPLE_DOCUME
     )
     ordinary = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
     plain = drawn.select(
-        F.explode(F.regexp_extract_all(ordinary, F.lit(r"[A-Za-z_][A-Za-z0-9_-]{3,}"), F.lit(0))).alias("token"),
+        F.explode(F.regexp_extract_all(ordinary, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("token"),
         F.lit(False).alias("random"),
     )
     values = drawn.select(
@@ -114,7 +124,29 @@ def labelled_samples(documents: DataFrame, sample_documents: int = SAMPLE_DOCUME
         ).alias("token"),
         F.lit(True).alias("random"),
     )
-    return plain.unionByName(values).unionByName(random)
+    return plain.unionByName(ordinary_shapes(spark)).unionByName(values).unionByName(random)
+
+
+def ordinary_shapes(spark: SparkSession) -> DataFrame:
+    """(token, random): fixed rows of rules, numbers, dates and paths."""
+    rules = spark.range(RULE_LENGTHS).select(
+        F.explode(F.array(*(F.repeat(F.lit(c), F.col("id").cast("int") + 4) for c in "=/-_+"))).alias("token")
+    )
+    digest = F.sha2(F.concat(F.lit("number"), F.col("id").cast("string")), 256)
+    day = F.date_add(F.lit("1990-01-01").cast("date"), (F.col("id") * 41).cast("int"))
+    long = F.concat(F.conv(F.substring(digest, 1, 15), 16, 10), F.conv(F.substring(digest, 16, 15), 16, 10))
+    numbers = spark.range(NUMBERS).select(
+        F.explode(F.array(long, F.date_format(day, "yyyy-MM-dd"), F.date_format(day, "yyyy/MM/dd"))).alias("token")
+    )
+    names = F.array(*map(F.lit, PATH_WORDS))
+
+    def name(k):
+        return F.get(names, F.pmod(F.xxhash64("id", F.lit(k)), F.lit(len(PATH_WORDS))).cast("int"))
+
+    paths = spark.range(PATHS).select(
+        F.concat(F.when(F.col("id") % 2 == 0, "/").otherwise(""), F.concat_ws("/", *(name(k) for k in range(5)))).alias("token")
+    )
+    return rules.unionByName(numbers).unionByName(paths).withColumn("random", F.lit(False))
 
 
 def fit_ratios(samples: DataFrame) -> list[float]:
