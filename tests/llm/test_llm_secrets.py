@@ -99,3 +99,13 @@ def test_rules_numbers_and_paths_are_ordinary(spark, folder):
     # The long decimal is a run of 24 and more hexadecimal digits, a base span.
     assert [PLAIN[i] for i in range(len(PLAIN)) if found[i]["n_markov"]] == []
     assert found[len(PLAIN)]["n_markov"] == 1
+
+
+def test_what_base_spans_leave_of_a_token_is_judged(spark, folder):
+    ratios = secrets.fit_secrets(spark.read.parquet(f"{folder}/documents.parquet"))
+    access, key = "AKIA" + "Z9X8" * 4, "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ8kLm2Vt5"
+    table = spark.createDataFrame([(1, f"{access}/{key}"), (2, f"{key}/{access}/short")], "doc_id long, text string")
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(table, ratios).collect()}
+    assert found == {1: "access:0:20,markov:20:61", 2: "markov:0:41,access:41:61"}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(table, ratios).collect()}
+    assert clean == {1: "<secret><secret>", 2: "<secret><secret>/short"}

@@ -3,7 +3,8 @@
 Three base patterns give spans: values assigned to telling names, access keys, and
 long runs of hexadecimal digits.  The method adds long tokens that a first-order
 Markov model of random strings explains better than one of ordinary identifiers: the
-mean log-likelihood ratio of their character steps exceeds ``RATIO``.  Both models
+mean log-likelihood ratio of their character steps exceeds ``RATIO``.  Base spans are
+cut out of such a token and each long piece that is left is judged.  Both models
 are counted from labelled samples, and a step's probability falls back on the
 frequency of its second character.
 
@@ -35,6 +36,7 @@ LEAST_ASSIGN, LEAST_ACCESS = 6, 20
 KINDS = ["assign", "access", "hex", "markov"]
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST_CANDIDATE = 20
 RATIO = 0.3
 # Documents whose words are samples of ordinary identifiers, and generated random strings of each form.
 SAMPLE_DOCUMENTS = 2000
@@ -207,13 +209,28 @@ def with_spans(documents: DataFrame, ratios: list[float], name: str = "_spans",
     text = F.coalesce(F.col("text"), F.lit(""))
     found = documents.withColumn(base, base_spans(text)).withColumn(long, _spans(text, CANDIDATE, 3))
 
+    def piece(start, end):
+        span = F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"))
+        return F.when(end - start >= LEAST_CANDIDATE, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+    def pieces(span):
+        # What the base spans leave of a candidate.
+        inside = F.filter(F.col(base), lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"]))
+        return F.aggregate(
+            inside,
+            F.struct(span["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")),
+            lambda state, b: F.struct(
+                F.greatest(state["at"], b["end"]).alias("at"),
+                F.concat(state["spans"], piece(state["at"], b["start"])).alias("spans"),
+            ),
+            lambda state: F.concat(state["spans"], piece(state["at"], span["end"])),
+        )
+
     def random(span):
-        start, end = span["start"], span["end"]
-        apart = ~F.exists(F.col(base), lambda b: (b["start"] < end) & (b["end"] > start))
-        token = F.substr(text, start + F.lit(1), end - start)
-        return apart & (_ratio(token, table) > RATIO)
+        token = F.substr(text, span["start"] + F.lit(1), span["end"] - span["start"])
+        return _ratio(token, table) > RATIO
 
-    more = F.when(F.size(long) > 0, F.filter(long, random)).otherwise(F.col(long))
+    more = F.when(F.size(long) > 0, F.filter(F.flatten(F.transform(long, pieces)), random)).otherwise(F.col(long))
     return found.withColumn(name, F.array_sort(F.concat(F.col(base), more))).drop(long)
 
 
