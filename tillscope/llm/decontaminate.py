@@ -77,8 +77,11 @@ def canonical_text(marked: Column) -> Column:
 
 def _form(word: Column, form: int) -> Column:
     """A canonical word where nothing is a name (0), those within a sentence are (1), or all capitals (2)."""
-    names = [F.lit(False), word.startswith(NAME), word.startswith(NAME) | word.startswith(CAPITAL)][form]
-    return F.when(names, F.lit(f"{NAME}x")).otherwise(F.translate(word, NAME + CAPITAL, ""))
+    marked = word.startswith(NAME) | word.startswith(CAPITAL)
+    bare = F.when(marked, F.substring(word, 2, 1 << 30)).otherwise(word)
+    if form == 0:
+        return bare
+    return F.when(word.startswith(NAME) if form == 1 else marked, F.lit(f"{NAME}x")).otherwise(bare)
 
 
 def words_of(text: Column) -> Column:
