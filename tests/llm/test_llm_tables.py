@@ -187,7 +187,7 @@ def test_query_equals_sql(spark, folder, name):
 
 def test_queries_are_registered():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11)) and set(ORACLE) <= set(QUERIES)
+    assert numbers == list(range(1, 14)) and set(ORACLE) <= set(QUERIES)
 
 
 def test_pipeline_stage_by_stage(spark, folder, tmp_path):

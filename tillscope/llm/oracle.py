@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from tillscope.llm.chat_format import EXTRA_TEXT
 from tillscope.llm.licenses import LIKE, TEMPLATES, TERM
 from tillscope.llm.token_counts import VERSIONS
 
@@ -87,3 +88,53 @@ SELECT doc_id, path, name AS license,
 FROM known LEFT JOIN nearest USING (directory)
 LEFT JOIN templates ON templates.number = coalesce(known.number, above_number)
 """
+
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+
+CHAT_SQL = rf"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL VALUES (-7, 0, 'user', '{EXTRA_TEXT}'), (-7, 1, 'assistant', '{EXTRA_TEXT}')
+), marked AS (
+  SELECT *, lag(role) OVER (PARTITION BY conv_id {_ORDER}) IS DISTINCT FROM role AS opens,
+         replace(replace(replace(role, '&', '&amp;'), '<', '&lt;'), '>', '&gt;') AS mark,
+         len(regexp_extract_all(text, '<\\*(turn |/turn>|next>)')) AS quoted
+  FROM turns
+)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(concat(role, chr(10), text, chr(10)), '' {_ORDER})) AS turns_sha256,
+       CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+       sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256,
+       CAST(sum(length(text) + quoted + CASE WHEN opens THEN 15 + length(mark) ELSE 6 END) AS BIGINT) AS formatted_chars,
+       count(*) FILTER (opens) AS n_blocks
+FROM marked GROUP BY conv_id
+"""
+
+_BLANK = r"\x20\x09-\x0D"
+
+FILL_MIDDLE_SQL = rf"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256(concat('42:', doc_id)) AS digest,
+         regexp_extract_all(coalesce(text, ''), '[{_BLANK}]*[^{_BLANK}]+|[{_BLANK}]+') AS units
+  FROM documents
+), hashed AS (
+  SELECT *, len(units) AS n, {", ".join(f"CAST(concat('0x', substr(digest, {8 * i + 1}, 8)) AS BIGINT) AS h{i + 1}" for i in range(4))}
+  FROM cut
+), formed AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN n = 0 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50
+              THEN 'plain' WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form
+  FROM hashed
+), parted AS (
+  SELECT *, array_to_string(units[1:a], '') AS prefix, array_to_string(units[a + 1:b], '') AS middle,
+         array_to_string(units[b + 1:n], '') AS suffix
+  FROM formed
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text
+              WHEN 'spm' THEN concat('<S>', suffix, '<P>', prefix, '<M>', middle)
+              ELSE concat('<P>', prefix, '<S>', suffix, '<M>', middle) END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parted
+"""

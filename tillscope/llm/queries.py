@@ -8,9 +8,12 @@ from pyspark.sql import functions as F
 
 from tillscope.llm import (
     bpe,
+    chat_format,
     decontaminate,
+    fill_middle,
     language_id,
     licenses,
+    merkle,
     minhash,
     passage_quality,
     quality_rules,
@@ -19,7 +22,7 @@ from tillscope.llm import (
     toxicity,
 )
 from tillscope.llm.labelled import small
-from tillscope.llm.oracle import LICENSES_SQL, TOKEN_COUNTS_SQL
+from tillscope.llm.oracle import CHAT_SQL, FILL_MIDDLE_SQL, LICENSES_SQL, TOKEN_COUNTS_SQL
 from tillscope.session import scratch_path
 
 
@@ -79,6 +82,18 @@ def op10_passage_quality(spark: SparkSession, folder: str) -> DataFrame:
     return passage_quality.passage_quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def op11_merkle(spark: SparkSession, folder: str) -> DataFrame:
+    return merkle.merkle_manifest(table(spark, folder, "documents"))
+
+
+def op12_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat_format.chat_digests(table(spark, folder, "conversations"))
+
+
+def op13_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    return fill_middle.fill_in_middle(table(spark, folder, "documents"))
+
+
 QUERIES = {
     "op1_token_counts": op1_token_counts,
     "op2_minhash": op2_minhash,
@@ -90,9 +105,14 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_decontaminate": op9_decontaminate,
     "op10_passage_quality": op10_passage_quality,
+    "op11_merkle": op11_merkle,
+    "op12_chat_format": op12_chat_format,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 ORACLE = {
     "op1_token_counts": TOKEN_COUNTS_SQL,
     "op4_licenses": LICENSES_SQL,
+    "op12_chat_format": CHAT_SQL,
+    "op13_fill_middle": FILL_MIDDLE_SQL,
 }
