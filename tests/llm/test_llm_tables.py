@@ -237,3 +237,100 @@ def test_pipeline_on_odd_rows(spark, tmp_path):
         spark.createDataFrame([], "item_id long, text string").write.parquet(f"{path}/benchmark.parquet")
         found = corpus_pipeline.run(spark, path).collect()
         assert [r["doc_id"] for r in found] == ([1] if content else [])
+
+
+SHORT = [(1, "42"), (2, "Alice"), (3, "Yes"), (4, "12 + 30 = 42"), (5, "1 2 3 4 5 6 7 8 9 10"), (6, "Maria has 5 red apples")]
+NEAR = [
+    (1, "There are 17 of them"), (2, "There are 42 of them"), (3, "Bob and Carol met"), (4, "we saw ALICE there"), (5, "yes"),
+    (6, "1 + 2 = 3 and 12 + 30 = 42"), (7, "11 + 31 = 42"), (8, "3 1 4 1 5 9 2 6 5 3 5 8"), (9, "so 1 2 3 4 5 6 7 8 9 10."),
+    (10, "Carla has 7 red apples"), (11, "maria has 5 red apples"), (12, "Yesterday 420 people"),
+]
+
+
+def test_items_of_numbers_and_names_leak_as_they_are_only(spark):
+    documents = spark.createDataFrame(NEAR, "doc_id long, text string")
+    items = spark.createDataFrame(SHORT, "item_id long, text string")
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_items(documents, items).collect()}
+    assert found == {(2, 1), (6, 1), (7, 1), (4, 2), (5, 3), (6, 4), (9, 5), (11, 6)}
+
+
+def template_leaks(documents, items, width=8, literals=4):
+    """Templates, slots and values by plain Python; texts of single blanks, names within sentences only."""
+
+    def words(text):
+        return re.findall(r"[^\W_]+(?:[.,'’-][^\W_]+)*", text or "")
+
+    def templates(text):
+        """Per place: (template, values) of each form, and the plain words."""
+        own = words(text)
+        starts = {m.start() for m in re.finditer(r"(?<=[\w,;)] )(?=[A-Z][a-z])", text or "")}
+        at, places = 0, []
+        for w in own:
+            at = (text or "").index(w, at)
+            places.append(at)
+            at += len(w)
+        forms = []
+        for form in range(3):
+            canon = []
+            for w, place in zip(own, places, strict=True):
+                capital = bool(re.match("[A-Z][a-z]", w))
+                named = capital and (form == 2 or (form == 1 and place in starts))
+                canon.append("<N>" if named else "<0>" if w[0].isdigit() else w.lower())
+            forms.append(canon)
+        return [w.lower() for w in own], forms
+
+    def windows(text):
+        plain, forms = templates(text)
+        size = min(width, len(plain))
+        for i in range(len(plain) - size + 1 if size else 0):
+            for canon in forms:
+                part = tuple(canon[i : i + size])
+                yield i, part, tuple(p for c, p in zip(part, plain[i : i + size], strict=True) if c[0] == "<"), tuple(plain[i : i + size])
+
+    index, total = {}, {}
+    for item, text in items:
+        for i, part, values, plain in windows(text):
+            total.setdefault(item, set()).add(i)
+            few = values and len(part) - len(values) < literals
+            index.setdefault(("plain", plain) if few else ("template", part), set()).add((item, i, () if few else values))
+    found = set()
+    for doc, text in documents:
+        met, along = {}, {}
+        for i, part, values, plain in windows(text):
+            for item, place, own in index.get(("template", part), ()):
+                met.setdefault(item, set()).add((place, own, values, i - place))
+                for a, b in zip(own, values, strict=True):
+                    along.setdefault((item, i - place, a), set()).add(b)
+            for item, place, _ in index.get(("plain", plain), ()):
+                met.setdefault(item, set()).add((place, (), (), i - place))
+        for item, hits in met.items():
+            good = {p for p, own, v, s in hits if own == v or all(len(along[item, s, a]) == 1 for a in own)}
+            if len(good) >= 0.5 * len(total[item]):
+                found.add((doc, item))
+    return found
+
+
+def test_leaks_equal_plain_templates(spark):
+    import random
+
+    draw = random.Random(5)
+    names, verbs, things = ["Ann", "Bob", "Cleo", "Dan"], ["buys", "sells", "finds"], ["red apples", "old coins", "long sticks of wood"]
+
+    def question():
+        a, b, thing = draw.choice(names), draw.choice(names), draw.choice(things)
+        n, m = draw.randint(1, 4), draw.randint(1, 4)
+        tail = draw.choice([f"and then {a} gives {m} of them to {b} before the end of day {n}", f"while {b} looks on for {m} or {n} more"])
+        return f"in the morning {a} {draw.choice(verbs)} {n} {thing} {tail}"
+
+    items = [(i, question()) for i in range(25)]
+    documents = [(i, f"some words stand before it, {question()} and some stand after it") for i in range(150)]
+    rows = [spark.createDataFrame(r, f"{c} long, text string") for r, c in ((documents, "doc_id"), (items, "item_id"))]
+    found = {(r["doc_id"], r["item_id"]) for r in decontaminate.leaked_items(*rows).collect()}
+    assert found == template_leaks(documents, items) and found
+
+
+def test_a_very_long_text_of_questions(spark):
+    filler = " ".join(f"filler{i} text" for i in range(60_000))
+    documents = spark.createDataFrame([(1, f"{filler} {TEXTS[0][1]}"), (2, filler)], "doc_id long, text string")
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    assert [tuple(r)[:2] for r in decontaminate.leaked_items(documents, items).collect()] == [(1, 1)]

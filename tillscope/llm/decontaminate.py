@@ -12,15 +12,19 @@ looked up and checked: along one alignment of item and document, equal values of
 item must have equal values in the document (different ones may have equal values too,
 as new numbers coincide).  Windows that hold an item value with several values in the
 document are left out, but a window whose values are the item's own always counts.  A
-document leaks an item when its consistent windows are at least ``SHARE`` of the
-item's windows.
+template with fewer than ``LITERALS`` words that are no placeholders says too little:
+such a window is looked for with the item's own values only, by a form of its own
+that has no placeholders.  A document leaks an item when its consistent windows are
+at least ``SHARE`` of the item's windows.
 
 Only built-in functions are used.  Windows that met are written to the shared
 folder before the slots are looked up.  Documents are never shuffled by their
-windows as long as the benchmark has at most a million of them (counted first); beyond that both sides are joined on the hash.  The same holds for the
-documents whose slots are looked up.
+windows as long as the benchmark has at most a million of them (counted first);
+beyond that both sides are joined on the hash.  The same holds for the documents
+whose slots are looked up.
 
-Null texts have no words; a null or empty item is never found.  An item shorter
+Null texts have no words; a null or empty item is never found.  A very long text costs
+time in proportion to its words.  Of equal windows of an item each counts.  An item shorter
 than a window is looked for as one window of its own length.  Repeated rows and
 ids count as one document per id and text; an empty table on either side gives no
 rows; other columns are ignored or, by ``drop_leaks``, kept as they are.
@@ -28,6 +32,8 @@ rows; other columns are ignored or, by ``drop_leaks``, kept as they are.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -36,6 +42,8 @@ from tillscope.session import scratch_path
 
 WINDOW = 8
 SHARE = 0.5
+# Words of a window that must not be placeholders for other values to be looked for.
+LITERALS = 4
 # Units that are placeholders after a number.
 UNITS = (
     "mm cm m km g kg mg t l ml s sec min h d % inch inches ft feet yard yards mile miles lb lbs oz "
@@ -50,16 +58,16 @@ WORD = f"[{NAME}{UNIT}{CAPITAL}]?{BODY}"
 # What becomes one blank; marks that a text holds itself are blanks too.
 SPACE = r"\s\x85\p{Z}\x04-\x06"
 SPACES = rf"[{SPACE}]{{2,}}|[{SPACE}&&[^ ]]"
-# A capital after a blank that ends no sentence.
-WITHIN = r"(?<=[\p{L}\p{N},;)] )(?=\p{Lu}\p{Ll})"
+# A capital after a blank that ends no sentence.  Here and below what comes first is what fails soonest.
+WITHIN = r"(?=\p{Lu}\p{Ll})(?<=[\p{L}\p{N},;)] )"
 LETTER = r"[\p{L}\p{N}]"
 # Where a word may begin and end.
 OPENS = rf"(?<!{LETTER}|{NAME}|{CAPITAL}|{LETTER}[.,'’-])"
 CLOSES = rf"(?!{LETTER}|[.,'’-]{LETTER})"
 # A capital at the start of any other word.
-OTHER = rf"{OPENS}(?=\p{{Lu}}\p{{Ll}})"
-NUMBER = rf"{OPENS}[0-9]{LETTER}*(?:[.,'’-]{LETTER}+)*"
-MEASURED = rf"{OPENS}0([^\p{{L}}\p{{N}}{NAME}]{{1,3}})(?:{'|'.join(UNITS)}){CLOSES}"
+OTHER = rf"(?=\p{{Lu}}\p{{Ll}}){OPENS}"
+NUMBER = rf"(?=[0-9]){OPENS}[0-9]{LETTER}*(?:[.,'’-]{LETTER}+)*"
+MEASURED = rf"(?=0){OPENS}0([^\p{{L}}\p{{N}}{NAME}]{{1,3}})(?:{'|'.join(UNITS)}){CLOSES}"
 
 
 def marked_text(text: Column) -> Column:
@@ -75,39 +83,72 @@ def canonical_text(marked: Column) -> Column:
     return F.when(marked.rlike("[0-9]"), units).otherwise(marked)
 
 
-def _form(word: Column, form: int) -> Column:
-    """A canonical word where nothing is a name (0), those within a sentence are (1), or all capitals (2)."""
-    marked = word.startswith(NAME) | word.startswith(CAPITAL)
-    bare = F.when(marked, F.substring(word, 2, 1 << 30)).otherwise(word)
-    if form == 0:
-        return bare
-    return F.when(word.startswith(NAME) if form == 1 else marked, F.lit(f"{NAME}x")).otherwise(bare)
-
-
 def words_of(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
 
 
-def _windows(forms: list[Column], width: Column | int) -> Column:
-    """Hashes of every window of word hashes, one per form; none of a text that is too short."""
-    width = F.lit(width) if isinstance(width, int) else width
-    hashes = forms[0]
-    starts = F.sequence(F.lit(1), F.size(hashes) - width + 1)
-    # No filter on the number of words: it would move below and work the words out a second time.
-    enough = (F.size(hashes) >= width) & (width > 0)
-    return F.transform(
-        F.when(enough, starts),
-        lambda i: F.struct(*(F.xxhash64(F.slice(own, i, width)).alias(f"w{k}") for k, own in enumerate(forms))),
-    )
+# Forms of a word: nothing is a name (0), those within a sentence are (1), or all capitals (2); VALUES has no
+# placeholders at all.
+FORMS, VALUES = (0, 1, 2), 3
+# All marks sort before this.
+LAST_MARK = "\x07"
+
+
+def _bound(values: list[Column], body: Callable[[list[Column]], Column]) -> Column:
+    """``body`` of values that are worked out once each, also where a lambda uses them."""
+    if not values:
+        return body([])
+    return F.get(F.transform(F.array(values[0]), lambda v: _bound(values[1:], lambda rest: body([v, *rest]))), F.lit(0))
+
+
+def _hashes(canon: Column, plain: Column, forms: list[int]) -> Column:
+    """Struct of arrays: the hashes of the words in each form, as ``f0``, ``f1``, ..."""
+    name = F.xxhash64(F.lit(f"{NAME}x"))
+
+    def bare(word: Column) -> Column:
+        capital = word.startswith(NAME) | word.startswith(CAPITAL)
+        return F.when((word < LAST_MARK) & capital, F.substring(word, 2, 1 << 30)).otherwise(word)
 
+    def with_names(form: int, canon: Column, plainly: Column) -> Column:
+        def chosen(word: Column, own: Column) -> Column:
+            named = word.startswith(NAME) if form == 1 else word.startswith(NAME) | word.startswith(CAPITAL)
+            return F.when((word < LAST_MARK) & named, name).otherwise(own)
 
-def _word_hashes(forms: list[int]) -> list[Column]:
-    """The hashes of the words of ``canon`` in each form."""
+        return F.zip_with(canon, plainly, chosen)
 
-    def hashed(form: int) -> Column:
-        return F.transform("canon", lambda w: F.xxhash64(_form(w, form))).alias(f"form{form}")
+    def every(bound: list[Column]) -> Column:
+        canon, plainly = bound
+        arrays = [plainly if form == 0 else with_names(form, canon, plainly) for form in forms if form != VALUES]
+        if VALUES in forms:
+            # Hashed apart from templates: there, 0 stands for any number.
+            arrays.append(F.transform(plain, lambda w: F.xxhash64(w, F.lit(VALUES))))
+        return F.struct(*(a.alias(f"f{form}") for a, form in zip(arrays, forms, strict=True)))
 
-    return [hashed(form) for form in forms]
+    return _bound([canon], lambda c: _bound([F.transform(c[0], lambda w: F.xxhash64(bare(w)))], lambda h: every([c[0], h[0]])))
+
+
+def _windows(rows: DataFrame, columns: list[str], forms: list[int], widths: list[int]) -> DataFrame:
+    """``columns``, form, place, width and hash of every window of the word hashes in ``hashes``.
+
+    The words that follow each place are put beside it by zipping shifted arrays, so
+    that windows are hashed in generated code instead of a lambda per window and word.
+    Texts shorter than a width have no window of it.
+    """
+    widest = max(widths)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("form"), F.col(f"hashes.f{k}").alias("words")) for k in forms)))
+    words = rows.select(*columns, each.alias("own")).select(*columns, "own.form", "own.words")
+    shifted = [F.slice("words", j + 1, F.size("words")).alias(f"c{j}") for j in range(widest)]
+    cells = words.select(*columns, "form", F.posexplode(F.arrays_zip(*shifted)).alias("place", "cell"))
+    hashes = [
+        F.when(
+            F.col(f"cell.c{width - 1}").isNotNull(),
+            F.struct(F.lit(width).alias("width"), F.xxhash64(*(F.col(f"cell.c{j}") for j in range(width))).alias("hash")),
+        )
+        for width in widths
+    ]
+    window = hashes[0] if len(widths) == 1 else F.explode(F.array(*hashes))
+    found = cells.select(*columns, "form", "place", window.alias("window"))
+    return found.where("window IS NOT NULL").select(*columns, "form", "place", "window.*")
 
 
 def _offsets(canon: Column, form: Column) -> Column:
@@ -136,23 +177,31 @@ def _bare_words(marked: Column) -> Column:
 def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, share: float = SHARE) -> DataFrame:
     """(doc_id, text_hash, item_id, n_windows, share): items that documents hold, one row per pair."""
     spark = documents.sparkSession
-    items = (
-        benchmark.select("item_id", marked_text(F.col("text")).alias("marked"))
-        .select("item_id", _bare_words(F.col("marked")).alias("plain"), words_of(canonical_text(F.col("marked"))).alias("canon"))
-        .withColumn("width", F.least(F.size("canon"), F.lit(window)))
-        .select("*", *_word_hashes([0, 1, 2]))
-    )
-    widths = [row[0] for row in items.where("width > 0").select("width").distinct().collect()] or [window]
-    hashes = _windows([F.col(f"form{k}") for k in range(3)], F.col("width"))
-    placed = items.select("*", F.posexplode(hashes).alias("item_place", "window"))
-    canon = F.slice("canon", F.col("item_place") + 1, F.col("width"))
+    marked = benchmark.select("item_id", marked_text(F.col("text")).alias("marked"))
+    items = marked.select(
+        "item_id", _bare_words(F.col("marked")).alias("plain"), words_of(canonical_text(F.col("marked"))).alias("canon")
+    ).withColumn("width", F.least(F.size("canon"), F.lit(window)))
+    widths = sorted(row[0] for row in items.where("width > 0").select("width").distinct().collect()) or [window]
+    every = [*FORMS, VALUES]
+    hashes = _hashes(F.col("canon"), F.col("plain"), every)
+    placed = _windows(items.withColumn("hashes", hashes), ["item_id", "plain", "canon"], every, widths)
+    # A short item is one window, a longer one has windows of the full width only.
+    placed = placed.where(F.col("width") == F.least(F.size("canon"), F.lit(window)))
+    canon = F.slice("canon", F.col("place") + 1, F.col("width"))
+
+    def few(form: Column) -> Column:
+        slots = F.size(_offsets(canon, form))
+        return (slots > 0) & (F.col("width") - slots < LITERALS)
+
+    # A window that says too little in some form is looked for with its values instead.
+    own = F.when(F.col("form") == VALUES, few(F.lit(max(FORMS))) | few(F.lit(1)) | few(F.lit(0))).otherwise(~few(F.col("form")))
+    offsets = F.when(F.col("form") == VALUES, F.array().cast("array<int>")).otherwise(_offsets(canon, F.col("form")))
     wanted = (
-        placed.select("*", F.posexplode(F.array(*(F.col(f"window.w{k}") for k in range(3)))).alias("form", "hash"))
-        .withColumn("offsets", _offsets(canon, F.col("form")))
-        .withColumn("item_slots", _slots(F.col("plain"), F.col("item_place"), F.col("offsets")))
-        .select("item_id", "width", "hash", "item_place", "offsets", "item_slots", "form")
+        placed.where(own)
+        .withColumn("offsets", offsets)
+        .withColumn("item_slots", _slots(F.col("plain"), F.col("place"), F.col("offsets")))
         # A window without names is the same in several forms.
-        .groupBy("item_id", "width", "hash", "item_place", "offsets", "item_slots")
+        .groupBy("item_id", "width", "hash", F.col("place").alias("item_place"), "offsets", "item_slots")
         .agg(F.min("form").alias("form"))
     )
     forms = sorted({0} | {row[0] for row in wanted.select("form").distinct().collect()})
@@ -160,29 +209,16 @@ def find_leaks(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW,
     sizes = wanted.groupBy("item_id").agg(F.countDistinct("item_place").alias("in_item"))
 
     texts = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    hashed = texts.select(
-        "doc_id", "text_hash", words_of(canonical_text(marked_text(F.col("text")))).alias("canon")
-    ).select("doc_id", "text_hash", *_word_hashes(forms))
-    parts = [
-        hashed.select(
-            "doc_id",
-            "text_hash",
-            F.lit(width).alias("width"),
-            F.posexplode(_windows([F.col(f"form{k}") for k in forms], width)).alias("place", "window"),
-        )
-        for width in sorted(widths)
-    ]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    own = [F.col(f"window.w{k}") for k in range(len(forms))]
-    # A form that gives the same window as the one before adds nothing.
-    different = [own[0], *(F.when(b != a, b) for a, b in zip(own[:-1], own[1:], strict=True))]
-    hashes = F.explode(F.array(*different)) if len(own) > 1 else own[0]
-    every = every.select("doc_id", "text_hash", "width", "place", hashes.alias("hash"))
+    hashed = texts.select("doc_id", "text_hash", marked_text(F.col("text")).alias("marked")).select(
+        "doc_id",
+        "text_hash",
+        _hashes(words_of(canonical_text(F.col("marked"))), _bare_words(F.col("marked")), forms).alias("hashes"),
+    )
+    found = _windows(hashed, ["doc_id", "text_hash"], forms, widths).drop("form")
     path = scratch_path(spark, "windows")
-    every.join(small(wanted), ["width", "hash"]).drop("hash").write.parquet(path)
-    met = spark.read.parquet(path)
+    found.join(small(wanted), ["width", "hash"]).drop("hash").write.parquet(path)
+    # A window that is the same in several forms was met as often.
+    met = spark.read.parquet(path).distinct()
     return _consistent(met, texts).groupBy("doc_id", "text_hash", "item_id").agg(
         F.countDistinct("item_place").alias("n_windows")
     ).join(small(sizes), "item_id").withColumn("share", F.col("n_windows") / F.col("in_item")).where(
