@@ -30,11 +30,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from tillscope.llm.texts import split_words, text_slices
+from tillscope.llm.texts import map_batches, release, split_words, text_slices
 
 WORD_END = "</w>"
+# Text encoded at once; its words, tokens and decoded text take some twenty times as much.
+SLICE_BYTES = 1 << 20
 # Pairs whose compatibility, and words whose tokens, a task remembers before it starts afresh.
-REMEMBERED = 1 << 17
+REMEMBERED = 1 << 18
 
 # The splitter's pattern and the white space of Unicode.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
@@ -299,11 +301,15 @@ def _extended(lists: pa.LargeListArray, ends: np.ndarray, values: np.ndarray) ->
 def encode_batches(batches, vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
     """doc_id, ids (list of int) and decoded text of each row."""
     encoder = Encoder(vocabulary)
-    for batch in text_slices(batches, "text"):
+    for batch in text_slices(batches, "text", SLICE_BYTES):
         ids, starts = encoder.encode(batch.column("text"))
         lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(ids.astype(np.int32)))
         decoded = pa.array(encoder.decode(ids, starts), pa.binary()).cast(pa.string())
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists, decoded], names=["doc_id", "ids", "decoded"])
+        del batch, ids, starts, lists, decoded
+    # What the encoder remembers goes before the worker goes on to other work.
+    del encoder
+    release()
 
 
 def digest_batches(encoded: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +335,7 @@ def encode_texts(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     schema = _schema(
         documents, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())
     )
-    return documents.select("doc_id", "text").mapInArrow(lambda batches: encode_batches(batches, vocabulary), schema)
+    return map_batches(documents.select("doc_id", "text"), lambda batches: encode_batches(batches, vocabulary), schema)
 
 
 def encoding_digests(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
@@ -340,8 +346,8 @@ def encoding_digests(documents: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         T.StructField("ids_sha256", T.StringType()),
         T.StructField("decoded_sha256", T.StringType()),
     )
-    return documents.select("doc_id", "text").mapInArrow(
-        lambda batches: digest_batches(encode_batches(batches, vocabulary)), schema
+    return map_batches(
+        documents.select("doc_id", "text"), lambda batches: digest_batches(encode_batches(batches, vocabulary)), schema
     )
 
 
@@ -362,4 +368,4 @@ def encode_with_digests(documents: DataFrame, vocabulary: Vocabulary) -> DataFra
                     [*digests.columns, batch.column("ids")], names=[*digests.schema.names, "ids"]
                 )
 
-    return documents.select("doc_id", "text").mapInArrow(encode, schema)
+    return map_batches(documents.select("doc_id", "text"), encode, schema)

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tillscope.llm.texts import release, text_slices
+from tillscope.llm.texts import map_batches, release, text_slices
 
 # The sentinels and the seed.
 PREFIX, SUFFIX, MIDDLE = b"<P>", b"<S>", b"<M>"
@@ -260,7 +260,7 @@ def cut_documents(documents: DataFrame) -> DataFrame:
         F.octet_length(text).cast("long").alias("size"),
         text.alias("text"),
     )
-    return keyed.mapInArrow(lambda batches: cut_batches(batches, schema), schema)
+    return map_batches(keyed, lambda batches: cut_batches(batches, schema), schema)
 
 
 def output_texts(documents: DataFrame) -> DataFrame:
@@ -283,7 +283,7 @@ def output_texts(documents: DataFrame) -> DataFrame:
                     yield full
         yield rows.flush()
 
-    return dealt(cut_rows).mapInArrow(join, schema)
+    return map_batches(dealt(cut_rows), join, schema)
 
 
 def _arrow_kind(kind: T.DataType) -> pa.DataType:

@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tillscope.llm.labelled import drawn_by_hash, held_out, remainder
-from tillscope.llm.texts import bare, split_words, sums, text_slices
+from tillscope.llm.texts import bare, map_batches, split_words, sums, text_slices
 
 DOCUMENTS = 400
 WORDS = 15_000
@@ -175,7 +175,7 @@ def count_words(documents: DataFrame) -> DataFrame:
                 }
             )
 
-    return documents.select("lang", "text").mapInArrow(count, "lang string, word string, n long")
+    return map_batches(documents.select("lang", "text"), count, "lang string, word string, n long")
 
 
 def fit_languages(documents: DataFrame, pieces: list[str], per_language: int = DOCUMENTS, words: int = WORDS):
@@ -247,7 +247,7 @@ def identify_language(documents: DataFrame, vocabulary: str | None = None, per_l
             T.StructField("score", T.DoubleType()),
         ]
     )
-    scored = documents.select("doc_id", "text").mapInArrow(
-        lambda batches: score_batches(batches, pieces, languages, table), schema
+    scored = map_batches(
+        documents.select("doc_id", "text"), lambda batches: score_batches(batches, pieces, languages, table), schema
     )
     return scored.select("doc_id", held_out(5, 0).alias("held_out"), "lang_pred", "score")

@@ -49,7 +49,7 @@ from pyspark.sql import types as T
 
 from tillscope.llm.labelled import small
 from tillscope.llm.style import row_of
-from tillscope.llm.texts import Words, bare, mix, split_words, text_slices, word_hashes
+from tillscope.llm.texts import Words, bare, map_batches, mix, split_words, text_slices, word_hashes
 from tillscope.session import scratch_path
 
 SIMILARITY = 0.8
@@ -290,7 +290,7 @@ def sketch(documents: DataFrame) -> DataFrame:
         ]
     )
     rows = documents.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return rows.mapInArrow(sketch_batches, schema)
+    return map_batches(rows, sketch_batches, schema)
 
 
 def _similar(pairs: DataFrame, elements: DataFrame, name: str) -> DataFrame:

@@ -26,7 +26,7 @@ from pyspark.sql import types as T
 from tillscope.llm.labelled import held_out, labelled_sample
 from tillscope.llm.quality_rules import calibrate
 from tillscope.llm.style import marks, repeated_lines, row_of
-from tillscope.llm.texts import Words, bare, split_words, text_slices, word_hashes
+from tillscope.llm.texts import Words, bare, map_batches, split_words, text_slices, word_hashes
 
 PER_CLASS = 1500
 THRESHOLD = 0.7
@@ -215,7 +215,7 @@ def score_passages(documents: DataFrame, model: AttentionModel | None, share: fl
                 [batch.column("doc_id"), pa.array(answer, pa.float64())], names=["doc_id", "score"]
             )
 
-    scored = documents.select("doc_id", "text").mapInArrow(score, schema)
+    scored = map_batches(documents.select("doc_id", "text"), score, schema)
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 

@@ -23,7 +23,7 @@ from pyspark.sql import types as T
 
 from tillscope.llm.labelled import labelled_sample
 from tillscope.llm.style import Marks, marks, repeated_lines
-from tillscope.llm.texts import Words, bare, mix, split_words, sums, text_slices, word_hashes
+from tillscope.llm.texts import Words, bare, map_batches, mix, split_words, sums, text_slices, word_hashes
 
 PER_CLASS = 1500
 KEEP = 0.5
@@ -220,7 +220,7 @@ def judge(documents: DataFrame, model: Regression | None) -> DataFrame:
     schema = T.StructType([T.StructField("doc_id", documents.schema["doc_id"].dataType)])
     for name, kind in COLUMNS.items():
         schema = schema.add(name, kind)
-    return documents.select("doc_id", "text").mapInArrow(lambda batches: judge_batches(batches, model), schema)
+    return map_batches(documents.select("doc_id", "text"), lambda batches: judge_batches(batches, model), schema)
 
 
 def quality_rules(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLASS) -> DataFrame:
@@ -241,4 +241,4 @@ def keep_good(documents: DataFrame, labels: DataFrame, per_class: int = PER_CLAS
             verdict = next(judge_batches([batch.select(["doc_id", "text"])], model))
             yield batch.filter(verdict.column("kept"))
 
-    return documents.mapInArrow(keep, documents.schema)
+    return map_batches(documents, keep, documents.schema)

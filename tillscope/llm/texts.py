@@ -3,16 +3,20 @@
 from __future__ import annotations
 
 import ctypes
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import xxhash
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
 
 # Text handled at once by a task; a longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
+# Rows that travel at once between Spark and a task's worker; both hold a whole batch of them.
+BATCH_BYTES = 4 << 20
 
 # Stripped from both ends of a word before it is looked up.
 EDGES = "\"'`.,;:!?()[]{}<>*#$%&|_~^=+-/\\«»“”‘’…–—¿¡"
@@ -26,6 +30,18 @@ class Words(NamedTuple):
     vocabulary: list[str]
 
 
+def map_batches(df: DataFrame, function: Callable, schema: T.StructType | str) -> DataFrame:
+    """``mapInArrow`` over batches of bounded size.
+
+    Spark looks at the limit when the answer is worked out, so it is set for the
+    session; one that was set lower stays.
+    """
+    spark, limit = df.sparkSession, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if int(spark.conf.get(limit).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(limit, str(BATCH_BYTES))
+    return df.mapInArrow(function, schema)
+
+
 def text_slices(batches, column: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds at most ``limit`` bytes of text, or one row."""
     for batch in batches:
