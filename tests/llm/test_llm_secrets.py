@@ -3,6 +3,7 @@
 import hashlib
 import re
 
+import pytest
 from pyspark.sql import functions as F
 
 from tillscope.llm import secrets
@@ -109,3 +110,53 @@ def test_what_base_spans_leave_of_a_token_is_judged(spark, folder):
     assert found == {1: "access:0:20,markov:20:61", 2: "markov:0:41,access:41:61"}
     clean = {r["doc_id"]: r["text"] for r in secrets.redact_secrets(table, ratios).collect()}
     assert clean == {1: "<secret><secret>", 2: "<secret><secret>/short"}
+
+
+def test_long_tokens_and_texts_of_many_spans(spark):
+    import random
+    import time
+
+    draw = random.Random(7)
+    token = "".join(draw.choices(secrets.ALPHABET, k=1_000_000))
+    lines = "\n".join("".join(draw.choices(secrets.ALPHABET, k=76)) for _ in range(5000))
+    hexes = "\n".join(f"{draw.getrandbits(256):064x}" for _ in range(5000))
+    ratios = secrets.fit_ratios(secrets.labelled_samples(spark.createDataFrame([(1, "some plain words_here")], "doc_id long, text string")))
+    rows = [(1, token), (2, lines), (3, hexes), (4, f"é {token[:50]} {'a1' * 20}{token[:30]}")]
+    table = spark.createDataFrame(rows, "doc_id long, text string").cache()
+    assert table.count() == 4
+    started = time.perf_counter()
+    found = {r["doc_id"]: r for r in secrets.find_secrets(table, ratios).collect()}
+    # A walk by position would take hours for the first row.
+    assert time.perf_counter() - started < 60
+    assert found[1]["spans"] == "markov:0:1000000"
+    assert found[2]["spans"].split(",") == [f"markov:{77 * i}:{77 * i + 76}" for i in range(5000)]
+    assert found[3]["spans"].split(",") == [f"hex:{65 * i}:{65 * i + 64}" for i in range(5000)] and found[3]["n_markov"] == 0
+
+
+def plain_ratio(token, ratios):
+    place = [secrets.ALPHABET.index(c) for c in token]
+    return sum(ratios[a * len(secrets.ALPHABET) + b] for a, b in zip(place, place[1:], strict=False)) / (len(token) - 1)
+
+
+def test_ratio_equals_plain_sums(spark):
+    from pyspark.sql import functions as F
+
+    ratios = [((i * 7919) % 1000) / 500 - 1 for i in range(len(secrets.ALPHABET) ** 2)]
+    tokens = ["ab", "A9+/_=-z" * 5, secrets.ALPHABET, secrets.ALPHABET[::-1] * 40]
+    table = F.array(*map(F.lit, ratios))
+    rows = spark.createDataFrame([(t,) for t in tokens], "token string").select("token", secrets._ratio(F.col("token"), table).alias("r"))
+    assert all(r["r"] == pytest.approx(plain_ratio(r["token"], ratios)) for r in rows.collect())
+
+
+def test_base_spans_are_cut_out_of_candidates(spark):
+    ratios = [1.0] * len(secrets.ALPHABET) ** 2
+    key = "AKIA" + "B" * 16
+    rows = [
+        (1, f"{key}/{'x' * 25}"), (2, f"{'x' * 25}/{'0123456789abcdef' * 2}/{'y' * 25}"), (3, f"{'x' * 30} password={'z' * 40} {'w' * 30}"),
+        (4, f"token={'q' * 22}.{'r' * 30}"), (5, f"{'0a' * 20}{'X' * 10}{'1b' * 20}{'Y' * 20}"),
+    ]
+    found = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string"), ratios).collect()}
+    assert found == {
+        1: "access:0:20,markov:20:46", 2: "markov:0:26,hex:26:58,markov:58:84",
+        3: "markov:0:30,assign:31:80,markov:81:111", 4: "assign:0:59", 5: "hex:0:40,hex:50:90,markov:90:110",
+    }

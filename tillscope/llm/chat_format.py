@@ -27,11 +27,11 @@ whole.  An empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.columns import bound
+
 OPEN, SHUT, CLOSE, NEXT = "<turn ", ">", "</turn>\n", "<next>"
 # What begins like a control string, quoted or not.
 CONTROL = r"<(\\*)(turn |/turn>|next>)"
@@ -61,11 +61,6 @@ def unquote_role(role: Column) -> Column:
     return role
 
 
-def _let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """``body`` of a value that is worked out once, however often (and in whatever lambda) it is used."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
-
-
 def with_extra(conversations: DataFrame) -> DataFrame:
     """conv_id, turn, role, text with conversation -7, whose texts hold what templates use."""
     spark = conversations.sparkSession
@@ -86,7 +81,7 @@ def _blocks(turns: Column) -> Column:
         changes = F.transform(
             turns, lambda t, i: F.when((i == 0) | (t["role"] != F.get(turns, i - 1)["role"]), i)
         )
-        return _let(F.filter(changes, lambda i: i.isNotNull()), lambda starts: between(turns, starts))
+        return bound(F.filter(changes, lambda i: i.isNotNull()), lambda starts: between(turns, starts))
 
     def between(turns: Column, starts: Column) -> Column:
         def block(start: Column, number: Column) -> Column:
@@ -98,7 +93,7 @@ def _blocks(turns: Column) -> Column:
 
         return F.transform(starts, block)
 
-    return _let(turns, merged)
+    return bound(turns, merged)
 
 
 def _runs(blocks: Column) -> Column:
@@ -156,7 +151,7 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
             F.array_join(F.transform(blocks, text_of), "").alias("formatted"), _runs(blocks).alias("loss_runs")
         )
 
-    made = collected.select("conv_id", _let(_blocks(ordered), both).alias("made"))
+    made = collected.select("conv_id", bound(_blocks(ordered), both).alias("made"))
     return made.select("conv_id", "made.formatted", "made.loss_runs")
 
 
@@ -173,7 +168,7 @@ def read_back(formatted: Column) -> Column:
         )
 
     # What comes before the first mark is empty.
-    return _let(F.split(formatted, OPEN, -1), lambda parts: F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), block))
+    return bound(F.split(formatted, OPEN, -1), lambda parts: F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(0))), block))
 
 
 def conversation_digests(formatted: DataFrame) -> DataFrame:
@@ -186,7 +181,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
             )
         )
         under = F.flatten(F.transform(F.filter(blocks, lambda b: b["role"] == LOSS_ROLE), lambda b: b["texts"]))
-        return _let(
+        return bound(
             F.struct(every.alias("turns"), F.array_join(under, "").alias("loss"), F.size(blocks).alias("blocks")),
             lambda read: F.struct(
                 F.size(read["turns"]).cast("long").alias("n_turns"),
@@ -198,7 +193,7 @@ def conversation_digests(formatted: DataFrame) -> DataFrame:
         )
 
     read = formatted.select(
-        "conv_id", "formatted", _let(read_back(F.col("formatted")), digests).alias("read")
+        "conv_id", "formatted", bound(read_back(F.col("formatted")), digests).alias("read")
     )
     return read.select(
         "conv_id",

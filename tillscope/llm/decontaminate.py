@@ -32,11 +32,10 @@ rows; other columns are ignored or, by ``drop_leaks``, kept as they are.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tillscope.llm.columns import bound
 from tillscope.llm.labelled import small
 from tillscope.session import scratch_path
 
@@ -94,13 +93,6 @@ FORMS, VALUES = (0, 1, 2), 3
 LAST_MARK = "\x07"
 
 
-def _bound(values: list[Column], body: Callable[[list[Column]], Column]) -> Column:
-    """``body`` of values that are worked out once each, also where a lambda uses them."""
-    if not values:
-        return body([])
-    return F.get(F.transform(F.array(values[0]), lambda v: _bound(values[1:], lambda rest: body([v, *rest]))), F.lit(0))
-
-
 def _hashes(canon: Column, plain: Column, forms: list[int]) -> Column:
     """Struct of arrays: the hashes of the words in each form, as ``f0``, ``f1``, ..."""
     name = F.xxhash64(F.lit(f"{NAME}x"))
@@ -116,15 +108,14 @@ def _hashes(canon: Column, plain: Column, forms: list[int]) -> Column:
 
         return F.zip_with(canon, plainly, chosen)
 
-    def every(bound: list[Column]) -> Column:
-        canon, plainly = bound
+    def every(canon: Column, plainly: Column) -> Column:
         arrays = [plainly if form == 0 else with_names(form, canon, plainly) for form in forms if form != VALUES]
         if VALUES in forms:
             # Hashed apart from templates: there, 0 stands for any number.
             arrays.append(F.transform(plain, lambda w: F.xxhash64(w, F.lit(VALUES))))
         return F.struct(*(a.alias(f"f{form}") for a, form in zip(arrays, forms, strict=True)))
 
-    return _bound([canon], lambda c: _bound([F.transform(c[0], lambda w: F.xxhash64(bare(w)))], lambda h: every([c[0], h[0]])))
+    return bound(canon, lambda c: bound(F.transform(c, lambda w: F.xxhash64(bare(w))), lambda h: every(c, h)))
 
 
 def _windows(rows: DataFrame, columns: list[str], forms: list[int], widths: list[int]) -> DataFrame:

@@ -12,7 +12,9 @@ Only built-in functions are used.  Positions count code points, ends are exclusi
 Between the matches of a pattern lie the pieces that ``split`` gives, so running
 lengths of pieces and matches are the positions.
 
-A null text is an empty one and has no spans.  Rows are judged one by one, so
+A null text is an empty one and has no spans.  Tokens and texts of any length are
+judged whole, in time that grows with their length.  Of spans with equal starts the
+kind listed first comes first.  Rows are judged one by one, so
 repeated ids and texts keep a row each; an empty table gives no rows; other columns
 are ignored, or kept as they are by ``redact_secrets``.
 """
@@ -24,6 +26,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tillscope.llm.columns import gathered
 from tillscope.llm.labelled import drawn_by_hash, free_name
 
 # The base patterns and the least length of what counts.
@@ -63,19 +66,16 @@ def _spans(text: Column, pattern: str, kind: int, keep: Column | None = None, gr
         F.transform(found, F.length).alias("long"),
         F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), F.length).alias("value"),
     )
-    none = F.lit(None).cast(f"array<{SPAN}>")
-    step = F.struct(F.lit(0).alias("at"), F.coalesce(none, F.array().cast(f"array<{SPAN}>")).alias("spans"))
+    empty = F.array().cast(f"array<{SPAN}>")
     least = keep if keep is not None else F.lit(0)
 
-    def add(state, one):
-        start = state["at"] + one["gap"]
+    def step(at, one):
+        start = at + one["gap"]
         end = start + one["long"]
         span = F.struct(start.alias("start"), F.lit(kind).alias("kind"), end.alias("end"))
-        spans = F.when(one["value"] >= least, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
+        return end, F.when(one["value"] >= least, F.array(span)).otherwise(empty)
 
-    spans = F.aggregate(lengths, step, add, lambda state: state["spans"])
-    return F.when(text.rlike(pattern), spans).otherwise(F.array().cast(f"array<{SPAN}>"))
+    return F.when(text.rlike(pattern), gathered(lengths, F.lit(0), step, f"array<{SPAN}>")).otherwise(empty)
 
 
 def base_spans(text: Column) -> Column:
@@ -106,19 +106,17 @@ def labelled_samples(documents: DataFrame, sample_documents: int = SAMPLE_DOCUME
         F.coalesce("text", F.lit("")).alias("text")
     )
     ordinary = F.regexp_replace("text", f"{ASSIGN}|{ACCESS}|{HEX}", " ")
-    plain = drawn.select(
-        F.explode(F.regexp_extract_all(ordinary, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0))).alias("token"),
-        F.lit(False).alias("random"),
-    )
-    values = drawn.select(
-        F.explode(
-            F.concat(
-                F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)),
-                F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)),
-            )
-        ).alias("token"),
-        F.lit(True).alias("random"),
+
+    def labelled(tokens, random):
+        return F.transform(tokens, lambda t: F.struct(t.alias("token"), F.lit(random).alias("random")))
+
+    # Both labels from one reading of the texts.
+    found = F.concat(
+        labelled(F.regexp_extract_all(ordinary, F.lit(r"[A-Za-z0-9+/_=-]{4,}"), F.lit(0)), False),
+        labelled(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), True),
+        labelled(F.regexp_extract_all("text", F.lit(ACCESS), F.lit(0)), True),
     )
+    held = drawn.select(F.inline(found))
     digest = F.sha2(F.col("id").cast("string"), 256)
     random = spark.range(RANDOM_STRINGS).select(
         F.explode(
@@ -126,7 +124,7 @@ def labelled_samples(documents: DataFrame, sample_documents: int = SAMPLE_DOCUME
         ).alias("token"),
         F.lit(True).alias("random"),
     )
-    return plain.unionByName(ordinary_shapes(spark)).unionByName(values).unionByName(random)
+    return held.unionByName(ordinary_shapes(spark)).unionByName(random)
 
 
 def ordinary_shapes(spark: SparkSession) -> DataFrame:
@@ -188,18 +186,51 @@ def fit_ratios(samples: DataFrame) -> list[float]:
 
 
 def _ratio(token: Column, ratios: Column) -> Column:
-    """Mean log-likelihood ratio of the steps of a token made of ``ALPHABET``."""
-    size = len(ALPHABET)
+    """Mean log-likelihood ratio of the steps of a token made of ``ALPHABET``, character by character."""
 
-    def number(i):
-        return F.instr(F.lit(ALPHABET), F.substr(token, i, F.lit(1)))
+    def step(state, character):
+        number = F.instr(F.lit(ALPHABET), character)
+        ratio = F.element_at(ratios, (state["last"] - 1) * len(ALPHABET) + number)
+        return F.struct(
+            number.alias("last"), F.when(state["last"] > 0, state["sum"] + ratio).otherwise(state["sum"]).alias("sum")
+        )
+
+    start = F.struct(F.lit(0).alias("last"), F.lit(0.0).alias("sum"))
+    return F.aggregate(F.split(token, ""), start, step, lambda state: state["sum"]) / (F.length(token) - 1)
+
+
+PIECES = "array<struct<start:int,end:int,token:string>>"
 
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1),
-        F.lit(0.0),
-        lambda sum_, i: sum_ + F.element_at(ratios, (number(i) - 1) * size + number(i + F.lit(1))),
-    )
-    return total / (F.length(token) - 1)
+
+def _pieces(base: Column, candidates: Column) -> Column:
+    """What the base spans leave of each candidate (start, kind, end, token): (start, end, token) of long pieces.
+
+    One walk over all spans by their starts; a candidate is closed by the next one.
+    """
+    spans = F.transform(base, lambda b: F.struct(b["start"].alias("start"), b["kind"].alias("kind"), b["end"].alias("end"), F.lit("").alias("token")))
+
+    def piece(state, end):
+        own = state["own"]
+        start = F.greatest(state["at"], own["start"])
+        end = F.least(end, own["end"])
+        found = F.struct(
+            start.alias("start"), end.alias("end"), F.substr(own["token"], start - own["start"] + 1, end - start).alias("token")
+        )
+        return F.when(end - start >= LEAST_CANDIDATE, F.array(found)).otherwise(F.array().cast(PIECES))
+
+    def step(state, span):
+        candidate = span["kind"] == 3
+        end = F.when(candidate, state["own"]["end"]).otherwise(span["start"])
+        after = F.struct(
+            F.when(candidate, state["at"]).otherwise(F.greatest(state["at"], span["end"])).alias("at"),
+            F.when(candidate, span).otherwise(state["own"]).alias("own"),
+        )
+        return after, piece(state, end)
+
+    none = F.struct(F.lit(0).alias("start"), F.lit(3).alias("kind"), F.lit(0).alias("end"), F.lit("").alias("token"))
+    start = F.struct(F.lit(0).alias("at"), none.alias("own"))
+    ordered = F.array_sort(F.concat(spans, candidates))
+    return gathered(ordered, start, step, PIECES, lambda state: piece(state, state["own"]["end"]))
 
 
 def with_spans(documents: DataFrame, ratios: list[float], name: str = "_spans", base: str = "_base") -> DataFrame:
@@ -207,31 +238,18 @@ def with_spans(documents: DataFrame, ratios: list[float], name: str = "_spans",
     long = free_name(documents, "_long")
     table = F.split(F.lit(",".join(map(repr, ratios))), ",").cast("array<double>")
     text = F.coalesce(F.col("text"), F.lit(""))
-    found = documents.withColumn(base, base_spans(text)).withColumn(long, _spans(text, CANDIDATE, 3))
-
-    def piece(start, end):
-        span = F.struct(start.alias("start"), F.lit(3).alias("kind"), end.alias("end"))
-        return F.when(end - start >= LEAST_CANDIDATE, F.array(span)).otherwise(F.array().cast(f"array<{SPAN}>"))
-
-    def pieces(span):
-        # What the base spans leave of a candidate.
-        inside = F.filter(F.col(base), lambda b: (b["start"] < span["end"]) & (b["end"] > span["start"]))
-        return F.aggregate(
-            inside,
-            F.struct(span["start"].alias("at"), F.array().cast(f"array<{SPAN}>").alias("spans")),
-            lambda state, b: F.struct(
-                F.greatest(state["at"], b["end"]).alias("at"),
-                F.concat(state["spans"], piece(state["at"], b["start"])).alias("spans"),
-            ),
-            lambda state: F.concat(state["spans"], piece(state["at"], span["end"])),
-        )
-
-    def random(span):
-        token = F.substr(text, span["start"] + F.lit(1), span["end"] - span["start"])
-        return _ratio(token, table) > RATIO
-
-    more = F.when(F.size(long) > 0, F.filter(F.flatten(F.transform(long, pieces)), random)).otherwise(F.col(long))
-    return found.withColumn(name, F.array_sort(F.concat(F.col(base), more))).drop(long)
+    tokens = F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0))
+    candidates = F.zip_with(
+        _spans(text, CANDIDATE, 3),
+        tokens,
+        lambda s, t: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), t.alias("token")),
+    )
+    found = documents.withColumn(base, base_spans(text)).withColumn(long, candidates)
+    random = F.filter(_pieces(F.col(base), F.col(long)), lambda p: _ratio(p["token"], table) > RATIO)
+    more = F.transform(random, lambda p: F.struct(p["start"].alias("start"), F.lit(3).alias("kind"), p["end"].alias("end")))
+    none = F.array().cast(f"array<{SPAN}>")
+    every = F.array_sort(F.concat(F.col(base), F.when(F.size(long) > 0, more).otherwise(none)))
+    return found.withColumn(name, every).drop(long)
 
 
 def _listed(spans: Column) -> Column:
