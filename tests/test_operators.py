@@ -206,3 +206,38 @@ def test_equal_and_touching_windows_count_once(spark):
     assert sorted((r.sku, str(r.date), r.out_of_stock) for r in flagged.collect()) == [
         ("x", "2025-01-05", True), ("x", "2025-01-11", False), ("y", "2025-01-02", False),
     ]
+
+
+def test_multiset_differences_count_repeated_rows(spark):
+    schema = "k string, v int"
+    left = spark.createDataFrame([("a", 1), ("a", 1), ("a", 1), (None, 2), (None, 2), ("b", None), ("c", 3)], schema)
+    right = spark.createDataFrame([("a", 1), (None, 2), (None, 2), (None, 2), ("b", None), ("d", 4)], "x string, y int")
+    found = {tuple(r) for r in compare.key_multiset_differences(left, right).collect()}
+    assert found == {("a", 1, "left", 2), (None, 2, "right", 1), ("c", 3, "left", 1), ("d", 4, "right", 1)}
+    assert compare.key_multiset_differences(left, left).isEmpty()
+    assert compare.key_multiset_differences(left.limit(0), right.limit(0)).isEmpty()
+    plan = compare.key_multiset_differences(left, right)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
+
+
+def test_null_keys_are_compared(spark):
+    left = spark.createDataFrame([(None, 1), ("a", 2), ("b", 3)], "k string, v int")
+    right = spark.createDataFrame([(None, 1), ("a", 5), ("c", 3)], "k string, v int")
+    found = {(r.k, r.expected, r.actual, r.status) for r in compare.align(left, right, ["k"], ["v"]).collect()}
+    assert found == {(None, 1.0, 1.0, "PASS"), ("a", 2.0, 5.0, "FAIL"), ("b", 3.0, None, "FAIL"), ("c", None, 3.0, "FAIL")}
+
+
+def test_many_windows_of_one_sku_meet_few_rows(spark):
+    """A sale meets the windows of its week only."""
+    rows = spark.range(1000).selectExpr("'s' AS sku", "date_add(DATE '2020-01-01', cast(id * 10 AS int)) AS start_date")
+    windows = rows.selectExpr("sku", "start_date", "date_add(start_date, 4) AS end_date")
+    odd = spark.sql("SELECT 's' AS sku, DATE '2020-01-05' AS start_date, DATE '2020-01-01' AS end_date")
+    sales = spark.range(10_000).selectExpr("'s' AS sku", "date_add(DATE '2019-12-30', cast(id AS int)) AS date")
+    counted = stockouts.sale_days_in_windows(sales, windows.unionByName(windows).unionByName(odd)).collect()
+    assert len(counted) == 1001 and {(r.window_days, r.sale_days) for r in counted} == {(5, 5), (0, 0)} | {
+        (r.window_days, r.sale_days) for r in counted if r.sale_days < 5
+    }
+    assert sum(r.sale_days for r in counted) == stockouts.sales_inside_windows(sales, windows).count()
+    bins = stockouts.binned(windows)
+    met = sales.join(bins, stockouts._bin(sales["date"]) == bins["_bin"]).count()
+    assert met <= 3 * sales.count()

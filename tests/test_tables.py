@@ -44,14 +44,15 @@ def test_order_is_required(spark):
         build_line_items(cleaned(spark, [line(1, "A")]))
 
 
-def test_groups_of_any_size_are_numbered_in_slices(spark):
+@pytest.mark.parametrize("hot", [10, 500, 10**6])
+def test_groups_of_any_size_are_numbered_in_slices(spark, hot):
     """A basket with most of the rows lies in several slices and is numbered like the small ones."""
     rows = spark.range(3000).selectExpr(
         "CASE WHEN id % 3 <> 0 THEN 'hot' WHEN id % 7 = 0 THEN NULL ELSE concat('k', id % 50) END AS k",
         "(id * 7919) % 3000 AS a",
         "id AS b",
     )
-    numbered = number_rows(rows.repartition(6), "k", ["a", "b"], "n")
+    numbered = number_rows(rows.repartition(6), "k", ["a", "b"], "n", hot)
     expected = {}
     for k, a, b in sorted(((r.k, r.a, r.b) for r in rows.collect()), key=lambda r: r[1:]):
         expected.setdefault(k, []).append((a, b))

@@ -647,6 +647,19 @@ sold AS (SELECT DISTINCT sku, CASE WHEN ord_part % 10 = 0 THEN 'OTHER' ELSE cate
 SELECT sku, category, 'left' AS side FROM (SELECT * FROM catalogue EXCEPT SELECT * FROM sold)
 UNION ALL
 SELECT sku, category, 'right' FROM (SELECT * FROM sold EXCEPT SELECT * FROM catalogue)
+""",
+    "key_multiset_differences": f"""
+WITH {SALES},
+a AS (SELECT sku, category FROM sales),
+b AS (
+    SELECT sku, category FROM sales WHERE ord_part % 10 <> 0
+    UNION ALL SELECT sku, category FROM sales WHERE ord_part % 25 = 0
+)
+SELECT sku, category, 'left' AS side, count(*) AS surplus
+FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b) GROUP BY sku, category
+UNION ALL
+SELECT sku, category, 'right' AS side, count(*) AS surplus
+FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a) GROUP BY sku, category
 """,
     "common_key_set": f"""
 WITH {SALES}

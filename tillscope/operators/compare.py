@@ -11,11 +11,15 @@ from pyspark.sql import functions as F
 def align(expected: DataFrame, actual: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Both results side by side per key, with ``difference`` and PASS/FAIL per value.
 
-    A key that only one side has fails.  The result is long: one row per key and value.
+    A key that only one side has fails; null keys of both sides are equal.  The result is
+    long: one row per key and value.
     """
     keys = list(keys)
     left = expected.select(*keys, F.lit(True).alias("_e"), *(F.col(v).alias(f"_e_{v}") for v in values))
-    right = actual.select(*keys, F.lit(True).alias("_a"), *(F.col(v).alias(f"_a_{v}") for v in values))
+    right = actual.select(
+        *(F.col(k).alias(f"_k_{k}") for k in keys), F.lit(True).alias("_a"), *(F.col(v).alias(f"_a_{v}") for v in values)
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
     pairs = F.array(
         *(
             F.struct(
@@ -29,10 +33,10 @@ def align(expected: DataFrame, actual: DataFrame, keys: Sequence[str], values: S
     )
     passed = F.col("_e").isNotNull() & F.col("_a").isNotNull() & F.col("pair.equal")
     return (
-        left.join(right, keys, "full_outer")
+        left.join(right, same, "full_outer")
         .withColumn("pair", F.explode(pairs))
         .select(
-            *keys,
+            *(F.coalesce(k, f"_k_{k}").alias(k) for k in keys),
             "pair.value_name",
             "pair.expected",
             "pair.actual",
@@ -42,15 +46,35 @@ def align(expected: DataFrame, actual: DataFrame, keys: Sequence[str], values: S
     )
 
 
+def _counted(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Every different row of both sides, with how often each side has it.
+
+    One grouping of both sides together: rows are counted in each task before the only
+    shuffle.  Columns belong together by position; null cells are equal.
+    """
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    sides = left.select("*", one.alias("_left"), none.alias("_right")).union(
+        right.select("*", none.alias("_left"), one.alias("_right"))
+    )
+    return sides.groupBy(*left.columns).agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
+
+
 def key_differences(left: DataFrame, right: DataFrame) -> DataFrame:
     """Rows that only one side has, each marked with that side; empty when the sets are equal."""
-    only_left = left.subtract(right).withColumn("side", F.lit("left"))
-    only_right = right.subtract(left).withColumn("side", F.lit("right"))
-    return only_left.unionByName(only_right)
+    side = F.when(F.col("_right") == 0, "left").when(F.col("_left") == 0, "right")
+    return _counted(left, right).select(*left.columns, side.alias("side")).where("side IS NOT NULL")
+
+
+def key_multiset_differences(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Rows that one side has more often, with that side and the surplus; empty when the multisets are equal."""
+    more = F.col("_left") - F.col("_right")
+    side = F.when(more > 0, "left").when(more < 0, "right")
+    return _counted(left, right).where(more != 0).select(*left.columns, side.alias("side"), F.abs(more).alias("surplus"))
 
 
 def common_keys(left: DataFrame, right: DataFrame) -> DataFrame:
-    return left.intersect(right)
+    """The different rows that both sides have."""
+    return _counted(left, right).where("_left > 0 AND _right > 0").select(*left.columns)
 
 
 def verdict(checks: DataFrame) -> DataFrame:

@@ -105,20 +105,39 @@ def _cell_rules(df: DataFrame, contract: Sequence[Field]) -> list[tuple[Column,
     return rules
 
 
-def _cell_failures(df: DataFrame, contract: Sequence[Field]) -> Column:
-    """Per row, the array of its failing cells."""
-    found = [F.when(broken, failure) for broken, failure in _cell_rules(df, contract)]
+def failure_mask(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> Column:
+    """One bit per cell rule, set where a row breaks it; 0 for a good row.
+
+    What follows from it costs little per row: counts are ``bit_count``, and the
+    texts of failures are made for rows whose mask is not 0 only.
+    """
+    rules = _cell_rules(df, contract)
+    if len(rules) > 63:
+        raise ValueError(f"{len(rules)} rules do not fit one mask")
+    mask = F.lit(0).cast("bigint")
+    for bit, (broken, _) in enumerate(rules):
+        mask = mask + F.when(broken, F.lit(1 << bit)).otherwise(F.lit(0)).cast("bigint")
+    return mask
+
+
+def _cell_failures(df: DataFrame, contract: Sequence[Field], mask: Column) -> Column:
+    """Per row, the array of its failing cells, from its mask."""
+    found = [
+        F.when(mask.bitwiseAND(F.lit(1 << bit)) != 0, failure) for bit, (_, failure) in enumerate(_cell_rules(df, contract))
+    ]
     if not found:
         return F.array().cast(T.ArrayType(FAILURE))
     return F.array_compact(F.array(*found))
 
 
 def _error_count(df: DataFrame, contract: Sequence[Field]) -> Column:
-    """Failing cells over all rows, counted without making their texts."""
-    errors = F.lit(0)
-    for broken, _ in _cell_rules(df, contract):
-        errors = errors + F.when(broken, 1).otherwise(0)
-    return F.coalesce(F.sum(errors), F.lit(0))
+    """Failing cells over all rows."""
+    return F.coalesce(F.sum(F.bit_count(failure_mask(df, contract))), F.lit(0))
+
+
+def _mask_name(df: DataFrame) -> str:
+    taken = {column.lower() for column in df.columns}
+    return next(c for c in (f"_failed{i}" for i in range(len(taken) + 1)) if c not in taken)
 
 
 def _schema_failures(df: DataFrame, contract: Sequence[Field]) -> list[tuple[str, str, str, str]]:
@@ -139,7 +158,10 @@ def failures(df: DataFrame, row_id: Sequence[str] = (), contract: Sequence[Field
     ``row_id`` names columns that identify a row; they are null for failures of
     the frame itself.  A narrow pass: no shuffle.
     """
-    cells = df.select(*row_id, F.explode(_cell_failures(df, contract)).alias("f")).select("f.*", *row_id)
+    mask = _mask_name(df)
+    broken = df.withColumn(mask, failure_mask(df, contract)).where(F.col(mask) != 0)
+    found = F.explode(_cell_failures(df, contract, F.col(mask))).alias("f")
+    cells = broken.select(*row_id, found).select("f.*", *row_id)
     frame = _schema_failures(df, contract)
     if not frame:
         return cells
@@ -183,12 +205,24 @@ def write_valid(df: DataFrame, path: str, contract: Sequence[Field] = CONTRACT)
     return df.sparkSession.read.parquet(path)
 
 
-def mark_failures(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFrame:
-    """The rows with the array of their failing cells in ``failures``, empty for good rows."""
+def _require_columns(df: DataFrame, contract: Sequence[Field]) -> None:
     broken = _schema_failures(df, contract)
     if broken:
         raise ValueError(f"columns missing or of the wrong type: {[f[1] for f in broken]}")
-    return df.withColumn("failures", _cell_failures(df, contract))
+
+
+def mark_failures(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFrame:
+    """The rows with the array of their failing cells in ``failures``, empty for good rows."""
+    _require_columns(df, contract)
+    mask = _mask_name(df)
+    marked = df.withColumn(mask, failure_mask(df, contract))
+    return marked.withColumn("failures", _cell_failures(df, contract, F.col(mask))).drop(mask)
+
+
+def valid_rows(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFrame:
+    """The rows that meet every cell rule."""
+    _require_columns(df, contract)
+    return df.where(failure_mask(df, contract) == 0)
 
 
 def split_valid(
@@ -197,16 +231,19 @@ def split_valid(
     """Rows that meet every cell rule, and the others with their failures in ``failures``.
 
     For loads that set bad rows aside instead of rejecting the export.  A missing
-    or mistyped column still rejects it.  The marked rows are written to
+    or mistyped column still rejects it.  The rows are written with their masks to
     ``staging`` if given, so that both halves read columns instead of parsing
     the text once each.
     """
-    marked = mark_failures(df, contract)
+    _require_columns(df, contract)
+    mask = _mask_name(df)
+    masked = df.withColumn(mask, failure_mask(df, contract))
     if staging is not None:
-        marked.write.mode("overwrite").parquet(staging)
-        marked = df.sparkSession.read.parquet(staging)
-    good = marked.where(F.size("failures") == 0).drop("failures")
-    return good, marked.where(F.size("failures") > 0)
+        masked.write.mode("overwrite").parquet(staging)
+        masked = df.sparkSession.read.parquet(staging)
+    good = masked.where(F.col(mask) == 0).drop(mask)
+    bad = masked.where(F.col(mask) != 0).withColumn("failures", _cell_failures(df, contract, F.col(mask)))
+    return good, bad.drop(mask)
 
 
 def private_columns_absent(df: DataFrame, private: Sequence[str]) -> bool:

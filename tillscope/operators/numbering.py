@@ -10,25 +10,45 @@ from pyspark.sql import functions as F
 from tillscope.session import scratch_path
 
 
-def number_rows(df: DataFrame, key: str, order: Sequence[str], name: str = "row_no") -> DataFrame:
+# Rows of a group that one task numbers; what is larger is cut into slices.
+HOT_ROWS = 1_000_000
+
+
+def number_rows(df: DataFrame, key: str, order: Sequence[str], name: str = "row_no", hot: int = HOT_ROWS) -> DataFrame:
     """Add ``name`` = 1, 2, 3, ... within ``key``, following ``order``; rows without a key get none.
 
-    All rows are cut into consecutive slices by key and order, so a slice is as large
-    as any other whatever the groups.  Rows are numbered within their slice, and a
-    group that reaches over a border goes on after its rows in the slices before.
-    Both the rows and their slices are stored in the shared folder first: the rows
-    are worked out once, and a slice stays what it is when an executor is lost.
+    Groups are counted first, from their keys alone.  Those of at most ``hot`` rows
+    are numbered by one shuffle of the rows.  Rows of larger groups are cut into
+    consecutive slices by key and order, whatever the groups: they are numbered within
+    their slice, and a group that reaches over a border goes on after its rows in the
+    slices before.  Only these rows are stored, in the shared folder, so that a slice
+    stays what it is when an executor is lost.
     """
+    keyed = F.col(key).isNotNull()
+    sizes = df.where(keyed).groupBy(key).agg(F.count("*").alias("_rows"))
+    # At most one key per ``hot`` rows of the table.
+    large = _stored(sizes.where(F.col("_rows") > hot).select(key), "hot-keys")
+    if large.isEmpty():
+        return _numbered(df, key, order, name)
+    rest = df.join(large, key, "left_anti").select(*df.columns)
+    return _numbered(rest, key, order, name).unionByName(
+        _numbered_by_slices(df.join(large, key, "left_semi").select(*df.columns), key, order, name)
+    )
+
+
+def _numbered(df: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
+    # Rows without a key are dealt by their order, so that they are no group.
+    apart = F.when(F.col(key).isNull(), F.xxhash64(*order))
+    place = F.row_number().over(Window.partitionBy(key, apart).orderBy(*order)).cast("bigint")
+    return df.withColumn(name, F.when(F.col(key).isNotNull(), place))
+
+
+def _numbered_by_slices(df: DataFrame, key: str, order: Sequence[str], name: str) -> DataFrame:
     spark = df.sparkSession
     taken = {column.lower() for column in df.columns}
     part = next(c for c in (f"_slice{i}" for i in range(len(taken) + 1)) if c not in taken)
-    rows = _stored(df, "unnumbered")
-    # Rows without a key would sort into few slices; they have a place of their own instead.
-    keyed = rows.where(F.col(key).isNotNull())
     slices = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    sliced = _stored(
-        keyed.repartitionByRange(slices, key, *order).withColumn(part, F.spark_partition_id()), "slices"
-    )
+    sliced = _stored(df.repartitionByRange(slices, key, *order).withColumn(part, F.spark_partition_id()), "slices")
     # Only a group at a border lies in several slices: at most two rows per slice are left.
     earlier = Window.partitionBy(key).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)
     before = (
@@ -39,14 +59,12 @@ def number_rows(df: DataFrame, key: str, order: Sequence[str], name: str = "row_
         .select(F.col(key).alias("_key"), F.col(part).alias("_part"), "_before")
     )
     place = F.row_number().over(Window.partitionBy(key, part).orderBy(*order)).cast("bigint")
-    numbered = (
+    return (
         sliced.withColumn(name, place)
         .join(F.broadcast(before), (F.col(key) == F.col("_key")) & (F.col(part) == F.col("_part")), "left")
         .withColumn(name, F.col(name) + F.coalesce("_before", F.lit(0)))
         .select(*df.columns, name)
     )
-    without = rows.where(F.col(key).isNull()).withColumn(name, F.lit(None).cast("bigint"))
-    return numbered.unionByName(without)
 
 
 def _stored(df: DataFrame, name: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Sales against stockout windows ``(sku, start_date, end_date)``, both days included.
 
-All comparisons are equality joins on the sku with the range as a further condition,
-so the partition of a hot sku can be split; equal windows count once.
+Windows are cut into bins of seven days and joined by sku and bin, with the range as a
+further condition: a sale meets only the windows of its own week, not all those of its
+sku, and the partition of a hot sku and week can still be split.  Equal windows count
+once.
 """
 
 from __future__ import annotations
@@ -21,13 +23,33 @@ def window_days(windows: DataFrame) -> DataFrame:
     return windows.select(*WINDOW, F.explode_outer(days).alias("date"))
 
 
+BIN_DAYS = 7
+
+
+def _bin(day: Column) -> Column:
+    return F.floor(F.unix_date(day) / BIN_DAYS)
+
+
+def binned(windows: DataFrame) -> DataFrame:
+    """One row per different window and bin it touches; a window without a day has one row without a bin."""
+    bins = F.when(
+        F.col("start_date") <= F.col("end_date"), F.sequence(_bin(F.col("start_date")), _bin(F.col("end_date")))
+    )
+    return windows.select(*WINDOW).distinct().select(*WINDOW, F.explode_outer(bins).alias("_bin"))
+
+
 def _inside(sales: DataFrame, windows: DataFrame) -> Column:
-    return (sales["sku"] == windows["sku"]) & sales["date"].between(windows["start_date"], windows["end_date"])
+    """Whether a sale lies in a binned window; each pair meets in one bin only."""
+    return (
+        (sales["sku"] == windows["sku"])
+        & (_bin(sales["date"]) == windows["_bin"])
+        & sales["date"].between(windows["start_date"], windows["end_date"])
+    )
 
 
 def sale_days_in_windows(daily: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows of the daily rollup inside each different window; windows without any stay, with 0."""
-    windows = windows.select(*WINDOW).distinct()
+    windows = binned(windows)
     sold = daily.select("sku", "date")
     return (
         windows.join(sold, _inside(sold, windows), "left")
@@ -44,10 +66,12 @@ def sale_days_in_windows(daily: DataFrame, windows: DataFrame) -> DataFrame:
 
 def sales_inside_windows(sales: DataFrame, windows: DataFrame) -> DataFrame:
     """The sales that a stockout should have made impossible."""
+    windows = binned(windows)
     return sales.join(windows, _inside(sales, windows), "left_semi")
 
 
 def sales_outside_windows(sales: DataFrame, windows: DataFrame) -> DataFrame:
+    windows = binned(windows)
     return sales.join(windows, _inside(sales, windows), "left_anti")
 
 
@@ -74,6 +98,6 @@ def flag_out_of_stock(rows: DataFrame, windows: DataFrame, name: str = "out_of_s
     Merged windows of a sku have no day in common, so no row is met twice.
     """
     # Dealt anew, so that the join has a shuffle of its own whose hot skus can be split.
-    merged = merged_windows(windows).repartition("start_date")
+    merged = binned(merged_windows(windows)).repartition("start_date")
     joined = rows.join(merged, _inside(rows, merged), "left")
     return joined.select(*(rows[column] for column in rows.columns), merged["start_date"].isNotNull().alias(name))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.calendar import is_month_opening, is_summer, is_weekend
@@ -79,12 +79,17 @@ def category_summer_lift(lines: DataFrame, category: str = "Beverages") -> DataF
     )
 
 
-def row_count_check(df: DataFrame, expected: int | DataFrame, tolerance: float = 0.10) -> DataFrame:
+def row_count_check(
+    df: DataFrame, expected: int | DataFrame, tolerance: float = 0.10, where: Column | None = None
+) -> DataFrame:
     """One row: the row count and whether it lies within ``tolerance`` of the expected one.
 
-    The expected count is a number, or that of the rows of another table.
+    The expected count is a number, or that of the rows of another table.  Only rows
+    that meet ``where`` count, if it is given; they are counted, not filtered, so that
+    what ``where`` looks at is worked out once.
     """
     wanted = expected.agg(F.count("*")).scalar() if isinstance(expected, DataFrame) else F.lit(expected)
-    counted = df.agg(F.count("*").alias("row_count")).withColumn("_wanted", wanted)
+    rows = F.count("*") if where is None else F.count(F.when(where, 1))
+    counted = df.agg(rows.alias("row_count")).withColumn("_wanted", wanted)
     near = F.col("row_count").between(F.col("_wanted") * (1 - tolerance), F.col("_wanted") * (1 + tolerance))
     return counted.select("row_count", near.alias("in_tolerance"))
