@@ -467,6 +467,18 @@ SELECT CAST(min(date) AS VARCHAR) AS min_date, CAST(max(date) AS VARCHAR) AS max
     "kpis_full": _kpis(FULL),
     "kpis_range": _kpis(PART),
     "kpis_empty_range": _kpis(BEFORE),
+    "kpis_from_day_totals": f"WITH {SALES}\n"
+    + " UNION ALL ".join(
+        f"""
+SELECT '{label}' AS label, CAST(coalesce(sum(net_sales), 0) AS DOUBLE) AS net_sales,
+       count(DISTINCT transaction_id) AS transactions,
+       CASE WHEN count(DISTINCT transaction_id) = 0 THEN 0
+            ELSE CAST(sum(net_sales) AS DOUBLE) / count(DISTINCT transaction_id) END AS avg_basket,
+       CAST(coalesce(sum(qty), 0) AS BIGINT) AS units, count(DISTINCT item) AS distinct_items
+FROM sales WHERE {where}
+"""
+        for label, where in (("full", FULL), ("part", PART), ("before", BEFORE))
+    ),
     "kpi_cards": f"""
 WITH {SALES},
 agg AS (
@@ -639,6 +651,23 @@ SELECT value_name,
        count(*) AS baskets
 FROM transactions, (VALUES ('total_qty'), ('total_gross_sales')) AS v(value_name)
 GROUP BY 1, 2
+""",
+    "differing_baskets": f"""
+WITH {SALES},
+own AS (SELECT *, CAST(substr(transaction_id, 3) AS BIGINT) AS basket FROM sales),
+changed AS (SELECT * REPLACE (CASE WHEN basket % 997 = 0 THEN qty + 1 ELSE qty END AS qty) FROM own),
+other AS (
+    SELECT * FROM changed WHERE NOT (basket % 1009 = 1 AND ord_line = 1)
+    UNION ALL SELECT * FROM changed WHERE basket % 1013 = 2 AND ord_line = 1
+),
+touched AS (
+    SELECT date, transaction_id FROM (SELECT * FROM own EXCEPT ALL SELECT * FROM other)
+    UNION SELECT date, transaction_id FROM (SELECT * FROM other EXCEPT ALL SELECT * FROM own)
+)
+SELECT CAST(date AS VARCHAR) AS date, transaction_id,
+       (SELECT count(*) FROM own o WHERE o.date = t.date AND o.transaction_id = t.transaction_id) AS left_rows,
+       (SELECT count(*) FROM other o WHERE o.date = t.date AND o.transaction_id = t.transaction_id) AS right_rows
+FROM touched t
 """,
     "key_set_differences": f"""
 WITH {SALES},

@@ -17,7 +17,8 @@ from tillscope.functions.parsing import parse_money, parse_number
 from tillscope.names import MONEY, PRIVATE_COLUMNS
 from tillscope.operators import compare, contract, sampling, stockouts
 from tillscope.operators.cleaning import clean, normalize_headers, parse_datetime
-from tillscope.plans import metrics, profile, reconcile
+from tillscope.plans import differences, metrics, profile, reconcile
+from tillscope.plans.day_totals import kpis_of_days, save_day_totals
 from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_tables, build_transactions, line_values
 from tillscope.session import scratch_path
 from tillscope.sources import order_lines
@@ -290,6 +291,16 @@ def kpis_empty_range(spark, folder):
     return metrics.headline_kpis(_lines(spark, folder), *BEFORE)
 
 
+@query
+def kpis_from_day_totals(spark, folder):
+    """Three ranges from stored daily sums and sets; the lines are read once, to store them."""
+    path = scratch_path(spark, "day-totals")
+    save_day_totals(_lines(spark, folder), path)
+    ranges = {"full": FULL, "part": PART, "before": BEFORE}
+    rows = [kpis_of_days(spark, path, *days).withColumn("label", F.lit(label)) for label, days in ranges.items()]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2])
+
+
 @query
 def kpi_cards(spark, folder):
     return metrics.kpi_cards(metrics.headline_kpis(_lines(spark, folder), *FULL))
@@ -512,6 +523,23 @@ def basket_comparison(spark, folder):
     return aligned.groupBy("value_name", "status").agg(F.count("*").alias("baskets"))
 
 
+def _spoiled(lines):
+    """Another version of the lines: other quantities in some baskets, a first line lost or repeated in others."""
+    basket = F.substring("transaction_id", 3, 20).cast("bigint")
+    other = lines.withColumn("qty", F.when(basket % 997 == 0, F.col("qty") + 1).otherwise(F.col("qty")))
+    kept = other.where(~((basket % 1009 == 1) & (F.col("ord_line") == 1)))
+    return kept.unionByName(other.where((basket % 1013 == 2) & (F.col("ord_line") == 1)))
+
+
+@query
+def differing_baskets(spark, folder):
+    """Baskets that differ between stored lines and another version of them, found from the months down."""
+    path = scratch_path(spark, "versions")
+    lines = _lines(spark, folder)
+    save_tables({"own": lines, "other": _spoiled(lines)}, path, by_month=True)
+    return differences.find_differences(*(spark.read.parquet(f"{path}/{name}") for name in ("own", "other")))
+
+
 @query
 def key_set_differences(spark, folder):
     """Skus with their category in the catalogue and as sold, where every tenth was sold under another."""
