@@ -1,19 +1,24 @@
-"""Licence scan: TF-IDF cosine of header lines to templates, and inheritance along directories.
-
-Header lines are the lines of a text that speak of a licence (``SIGNAL``).  A line
-and a template are sparse vectors of their terms, weighted by count times
-ln((1 + templates) / (1 + templates with the term)) + 1; a line is given the template
-of the highest cosine, if that is ``LIKE`` or more, and a file its best line's.  Files
-named like a licence file speak for their directory.  A file without a licence of
-its own takes that of the nearest directory above it that has one.
-
-Only built-in functions are used.  Equal lines are scored once.  Directories are
-joined with the directories above them once each, and files with their directory by
-an equality join.
-
-Null texts have no lines and null paths no directory.  Equal cosines go to the earlier
-template.  Repeated rows get the same answer and keep a row each; an empty table
-gives no rows; other columns are ignored.  Without templates nothing is found.
+"""Licence scan: TF-IDF cosine of passages to templates, and inheritance along directories.
+
+Passages of a file are its lines, its blocks (adjacent lines without an empty one between
+them), the sentences of its blocks, and the whole text of a file named like a licence
+file.  A passage and a template are sparse vectors of their terms, weighted by
+(1 + ln(count)) * (ln((1 + templates) / (1 + templates with the term)) + 1); stop words
+are no terms.  A passage is given the
+template of the highest cosine among those it meets the needs of (versions, kinds), if
+that is ``LIKE`` or more, and a file its best passage's.  Files named like a licence file
+speak for their directory.  A file without a licence of its own takes that of the nearest
+directory above it that has one.
+
+Only built-in functions are used.  Equal passages are scored once.  Passages without
+any anchor are not scored, and can't be like a template: the other terms of each
+template weigh less than ``LIKE`` together.  Directories are joined with the directories
+above them once each, and files with their directory by an equality join.
+
+Null texts have no passages and null paths no directory.  Equal cosines go to the earlier
+template.  A text of any length is read whole; the notices in it are found in its lines,
+sentences and blocks.  Repeated rows get the same answer and keep a row each; an empty
+table gives no rows; other columns are ignored.  Without templates nothing is found.
 """
 
 from __future__ import annotations
@@ -26,76 +31,133 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.llm.labelled import small
+from tillscope.llm.license_notices import STOP_WORDS, TERM, Template, common_licenses
 from tillscope.session import scratch_path
 
 LIKE = 0.6
+# Documents that open or close with such a line are taken for licence files (``files_of``).
 SIGNAL = r"(?i)licen[cs]|copyright|spdx|warrant|redistribut"
-TERM = r"[a-z]+|[0-9]+(?:\.[0-9]+)?"
 LICENSE_FILE = r"(?i)(^|/)(licen[cs]e|copying|notice)[^/]*$"
+EMPTY_LINES = r"\n[\x20\x09\x0D]*\n"
+# A mark of punctuation, blanks, and what a sentence may start with; "v. 2.0" stays together.
+SENTENCE_END = r"([.!?;])[\x20\x09-\x0D]+([^0-9\x20\x09-\x0D])"
+CUT = "\x01"
+# Words of other languages and single letters are anchors last.
+FREQUENT = ["mit", "sa", "nd", "nc", "v", "c", "s", "d"]
 
-# Short notices of common licences.
-TEMPLATES = {
-    "Apache-2.0": "Licensed under the Apache License, Version 2.0",
-    "BSD-3-Clause": "Use of this source code is governed by a BSD-style license. Redistribution and use in source and "
-    "binary forms, with or without modification, are permitted",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License, CC BY 4.0",
-    "CC-BY-NC-4.0": "Licensed under CC BY-NC 4.0",
-    "GPL-3.0": "This work is licensed under the GNU General Public License, version 3",
-    "LGPL-2.1": "This library is licensed under the GNU Lesser General Public License, version 2.1",
-    "MIT": "Released under the MIT License",
-    "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0",
-}
+TEMPLATES = common_licenses()
 
 
 def terms_of(text: str) -> Counter:
-    return Counter(re.findall(TERM, text.lower()))
+    return Counter(t for t in re.findall(TERM, text.lower()) if t not in STOP_WORDS)
 
 
-def template_weights(templates: dict[str, str]) -> tuple[dict[str, float], list[tuple[int, str, float]]]:
-    """Weight of each term of the templates, and (template number, term, unit-length weight)."""
-    counts = [terms_of(text) for text in templates.values()]
+def template_weights(templates: list[Template]) -> tuple[dict[str, float], list[dict[str, float]]]:
+    """Weight of each term of the templates, and each template's terms with unit-length weights."""
+    counts = [terms_of(text) for _, text, _ in templates]
     held = Counter(term for own in counts for term in own)
     rarity = {term: math.log((1 + len(counts)) / (1 + n)) + 1 for term, n in held.items()}
-    rows = []
-    for number, own in enumerate(counts):
-        norm = math.sqrt(sum((n * rarity[t]) ** 2 for t, n in sorted(own.items())))
-        rows += [(number, t, n * rarity[t] / norm) for t, n in sorted(own.items())]
-    return rarity, rows
+    vectors = []
+    for own in counts:
+        weights = {t: (1 + math.log(n)) * rarity[t] for t, n in sorted(own.items())}
+        norm = math.sqrt(sum(w * w for w in weights.values()))
+        vectors.append({t: w / norm for t, w in weights.items()})
+    return rarity, vectors
 
 
-def match_lines(lines: DataFrame, templates: dict[str, str]) -> DataFrame:
-    """(line, number, cosine): the best template of each different line that is like one.
+def anchors_of(vector: dict[str, float], needs: tuple[tuple[str, ...], ...], rarity: dict[str, float]) -> set[str]:
+    """Terms of which a passage holds one if it can be like the template.
+
+    Either a group of needed terms, or what is left over when ``FREQUENT`` words, and then
+    the terms that most templates share, are laid aside as long as a passage of them alone
+    would stay under ``LIKE``.
+    """
+    aside, left = 0.0, set()
+    for term in sorted(vector, key=lambda t: (t not in FREQUENT, rarity[t], t)):
+        aside += vector[term] ** 2
+        if aside >= (LIKE - 1e-3) ** 2:
+            left.add(term)
+    choices = [left, *map(set, needs)]
+    return min(choices, key=lambda c: (sum(t in FREQUENT or len(t) == 1 for t in c), len(c)))
+
+
+def anchor_pattern(templates: list[Template]) -> str:
+    """Matches every lower-case passage that can be like a template."""
+    rarity, vectors = template_weights(templates)
+    anchors = {t for (_, _, needs), vector in zip(templates, vectors, strict=True) for t in anchors_of(vector, needs, rarity)}
+    letters = "|".join(sorted(filter(str.isalpha, anchors)))
+    numbers = "|".join(re.escape(t) for t in sorted(anchors) if not t.isalpha())
+    patterns = ([f"(?<![a-z])(?:{letters})(?![a-z])"] if letters else []) + ([f"(?<![0-9])(?:{numbers})"] if numbers else [])
+    return "|".join(patterns) or "(?!)"
+
+
+def needed_bits(needs: tuple[tuple[str, ...], ...]) -> dict[str, int]:
+    """The bits of the groups that each term belongs to."""
+    bits: dict[str, int] = {}
+    for i, group in enumerate(needs):
+        for term in group:
+            bits[term] = bits.get(term, 0) | 1 << i
+    return bits
+
+
+def passages(files: DataFrame, templates: list[Template]) -> DataFrame:
+    """(row, key, passage): lower-case passages of files (row, path, text) that hold an anchor."""
+    anchor = anchor_pattern(templates)
+    texts = files.select("row", "path", F.lower("text").alias("text")).where(F.col("text").rlike(anchor))
+    blocks = texts.select("row", F.explode(F.split("text", EMPTY_LINES)).alias("block")).where(F.col("block").rlike(anchor))
+    sentences = F.split(F.regexp_replace("block", SENTENCE_END, f"$1{CUT}$2"), CUT)
+    parts = F.array_distinct(F.concat(F.array("block"), F.split("block", "\n"), sentences))
+    found = blocks.select("row", F.explode(parts).alias("passage")).where(F.col("passage").rlike(anchor))
+    whole = texts.where(F.col("path").rlike(LICENSE_FILE)).select("row", F.col("text").alias("passage"))
+    return found.unionByName(whole).select("row", F.sha2("passage", 256).alias("key"), "passage")
+
+
+def match_passages(found: DataFrame, templates: list[Template]) -> DataFrame:
+    """(key, best): the best template of each different passage that is like one, as (cosine, -number).
 
     Broadcast are the terms of the templates, a parameter of the call.
     """
-    spark = lines.sparkSession
-    rarity, rows = template_weights(templates)
+    spark = found.sparkSession
+    rarity, vectors = template_weights(templates)
     unknown = math.log(1 + len(templates)) + 1
-    weights = spark.createDataFrame(sorted(rarity.items()), "term string, rarity double")
-    parts = spark.createDataFrame(rows, "number int, term string, part double")
-    terms = (
-        lines.select("line")
-        .distinct()
-        .select("line", F.explode(F.regexp_extract_all(F.lower("line"), F.lit(TERM), F.lit(0))).alias("term"))
-        .groupBy("line", "term")
+    rows, wanted = [], []
+    for number, ((_, _, needs), vector) in enumerate(zip(templates, vectors, strict=True)):
+        bits = needed_bits(needs)
+        rows += [(number, t, vector.get(t, 0.0), bits.get(t, 0)) for t in sorted({*vector, *bits})]
+        wanted.append((number, (1 << len(needs)) - 1))
+    known = {t: rarity.get(t, unknown) for _, t, _, _ in rows}
+    weights = spark.createDataFrame(sorted(known.items()), "term string, rarity double")
+    parts = spark.createDataFrame(rows, "number int, term string, part double, bits int")
+    whole = spark.createDataFrame(wanted, "number int, wanted int")
+    counted = (
+        found.dropDuplicates(["key"])
+        .select("key", F.explode(F.regexp_extract_all("passage", F.lit(TERM), F.lit(0))).alias("term"))
+        .where(~F.col("term").isin(STOP_WORDS))
+        .groupBy("key", "term")
         .agg(F.count("*").alias("n"))
         .join(F.broadcast(weights), "term", "left")
-        .withColumn("weight", F.col("n") * F.coalesce("rarity", F.lit(unknown)))
+        .withColumn("weight", (1 + F.log("n")) * F.coalesce("rarity", F.lit(unknown)))
     )
-    norms = terms.groupBy("line").agg(F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    dots = (
-        terms.join(F.broadcast(parts), "term")
-        .groupBy("line", "number")
-        .agg(F.sum(F.col("weight") * F.col("part")).alias("dot"))
+    square = F.col("weight") * F.col("weight")
+    # Kept are terms of templates only, so the list of a passage is as short as their vocabulary.
+    listed = counted.groupBy("key").agg(
+        F.sum(square).alias("square"),
+        F.sum(F.when(F.col("rarity").isNotNull(), square)).alias("shared"),
+        F.collect_list(F.when(F.col("rarity").isNotNull(), F.struct("term", "weight"))).alias("terms"),
     )
-    cosine = F.round(F.col("dot") / F.col("norm"), 6)
+    # No template is nearer than the passage's own terms that templates have.
+    near = listed.where(F.col("shared") >= F.col("square") * (LIKE - 1e-3) ** 2)
+    cosine = F.round(F.sum(F.col("weight") * F.col("part")) / F.sqrt(F.first("square")), 6)
     return (
-        dots.join(norms, "line")
-        .select("line", F.struct(cosine.alias("cosine"), (-F.col("number")).alias("back")).alias("found"))
-        .groupBy("line")
-        .agg(F.max("found").alias("best"))
-        .where(F.col("best.cosine") >= LIKE)
-        .select("line", "best")
+        near.select("key", "square", F.explode("terms").alias("own"))
+        .select("key", "square", "own.term", "own.weight")
+        .join(F.broadcast(parts), "term")
+        .groupBy("key", "number")
+        .agg(cosine.alias("cosine"), F.bit_or("bits").alias("met"))
+        .join(F.broadcast(whole), "number")
+        .where((F.col("cosine") >= LIKE) & (F.col("met") == F.col("wanted")))
+        .groupBy("key")
+        .agg(F.max(F.struct("cosine", (-F.col("number")).alias("back"))).alias("best"))
     )
 
 
@@ -110,21 +172,17 @@ def _stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
-def scan_licenses(files: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
+def scan_licenses(files: DataFrame, templates: list[Template] | None = None) -> DataFrame:
     """path, license, origin, cosine, from_directory, with doc_id, for files (doc_id, path, text).
 
-    ``origin`` is header, inherited or none; ``cosine`` that of the line that decided.
+    ``origin`` is header, inherited or none; ``cosine`` that of the passage that decided.
     """
     templates = TEMPLATES if templates is None else templates
-    names = F.array(*map(F.lit, templates)) if templates else F.array().cast("array<string>")
+    names = F.array(*(F.lit(name) for name, _, _ in templates)) if templates else F.array().cast("array<string>")
     named = files.select("doc_id", "path", "text", F.xxhash64("path", "text").alias("row"))
-    lines = (
-        named.where(F.col("text").rlike(SIGNAL))
-        .select("row", F.explode(F.split("text", "\n")).alias("line"))
-        .where(F.col("line").rlike(SIGNAL))
-    )
-    lines = _stored(lines, "lines")
-    own = lines.join(match_lines(lines, templates), "line").groupBy("row").agg(F.max("best").alias("own"))
+    found = _stored(passages(named, templates), "passages")
+    matched = small(match_passages(found, templates))
+    own = found.select("row", "key").join(matched, "key").groupBy("row").agg(F.max("best").alias("own"))
     placed = named.select("doc_id", "path", "row", _directory(F.col("path")).alias("directory"))
     known = _stored(placed.join(own, "row", "left").drop("row"), "files")
 

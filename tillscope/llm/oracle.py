@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from tillscope.llm.chat_format import EXTRA_TEXT
-from tillscope.llm.licenses import LIKE, TEMPLATES, TERM
+from tillscope.llm.license_notices import STOP_WORDS, TERM
+from tillscope.llm.licenses import EMPTY_LINES, LIKE, SENTENCE_END, TEMPLATES, needed_bits
 from tillscope.llm.token_counts import VERSIONS
 
 _COUNTED = " UNION ALL ".join(
@@ -25,22 +26,30 @@ SELECT source, lang, version, count(*) AS documents, CAST(sum(tokens) AS BIGINT)
 FROM counted GROUP BY source, lang, version
 """
 
-_TEMPLATES = ", ".join(f"({i}, '{name}', '{text}')" for i, (name, text) in enumerate(TEMPLATES.items()))
+_TEMPLATES = ", ".join(
+    f"({i}, '{name}', '{text}', {(1 << len(needs)) - 1})" for i, (name, text, needs) in enumerate(TEMPLATES)
+)
+_NEEDS = ", ".join(
+    f"({i}, '{term}', {bits})" for i, (_, _, needs) in enumerate(TEMPLATES) for term, bits in needed_bits(needs).items()
+)
+_STOP = ", ".join(f"'{word}'" for word in STOP_WORDS)
 _SIGNAL = "(?i)licen[cs]|copyright|spdx|warrant|redistribut"
 
 LICENSES_SQL = rf"""
-WITH templates(number, name, notice) AS (VALUES {_TEMPLATES}),
+WITH templates(number, name, notice, wanted) AS (VALUES {_TEMPLATES}),
+needs(number, term, bits) AS (VALUES {_NEEDS}),
 template_terms AS (
   SELECT number, term, count(*) AS n
   FROM (SELECT number, unnest(regexp_extract_all(lower(notice), '{TERM}')) AS term FROM templates)
+  WHERE term NOT IN ({_STOP})
   GROUP BY number, term
 ), rarity AS (
   SELECT term, ln((1 + {len(TEMPLATES)}) / (1 + count(*))) + 1 AS rarity FROM template_terms GROUP BY term
 ), template_norms AS (
-  SELECT number, sqrt(sum((n * rarity) * (n * rarity))) AS norm FROM template_terms JOIN rarity USING (term)
+  SELECT number, sqrt(sum(pow((1 + ln(n)) * rarity, 2))) AS norm FROM template_terms JOIN rarity USING (term)
   GROUP BY number
 ), parts AS (
-  SELECT number, term, n * rarity / norm AS part
+  SELECT number, term, (1 + ln(n)) * rarity / norm AS part
   FROM template_terms JOIN rarity USING (term) JOIN template_norms USING (number)
 ), files AS (
   SELECT doc_id, text,
@@ -50,23 +59,35 @@ template_terms AS (
                   OR regexp_matches(string_split(text, chr(10))[-1], '{_SIGNAL}')
                 THEN concat('LICENSE-', doc_id) ELSE concat(doc_id, '.txt') END) AS path
   FROM documents
-), lines AS (
-  SELECT doc_id, line FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM files)
-  WHERE regexp_matches(line, '{_SIGNAL}')
+), blocks AS (
+  SELECT doc_id, unnest(string_split_regex(lower(text), '{EMPTY_LINES}')) AS block FROM files
+), passages AS (
+  SELECT doc_id, unnest(list_distinct(list_concat([block], string_split(block, chr(10)),
+    string_split(regexp_replace(block, '{SENTENCE_END}', '\1' || chr(1) || '\2', 'g'), chr(1))))) AS passage FROM blocks
+  UNION ALL
+  SELECT doc_id, lower(text) FROM files WHERE regexp_matches(path, '(^|/)LICENSE[^/]*$')
 ), terms AS (
-  SELECT line, term, count(*) AS n
-  FROM (SELECT line, unnest(regexp_extract_all(lower(line), '{TERM}')) AS term FROM (SELECT DISTINCT line FROM lines))
-  GROUP BY line, term
+  SELECT passage, term, count(*) AS n
+  FROM (SELECT passage, unnest(regexp_extract_all(passage, '{TERM}')) AS term FROM (SELECT DISTINCT passage FROM passages))
+  WHERE term NOT IN ({_STOP})
+  GROUP BY passage, term
 ), weighted AS (
-  SELECT line, term, n * coalesce(rarity, ln(1 + {len(TEMPLATES)}) + 1) AS weight
+  SELECT passage, term, (1 + ln(n)) * coalesce(rarity, ln(1 + {len(TEMPLATES)}) + 1) AS weight
   FROM terms LEFT JOIN rarity USING (term)
 ), norms AS (
-  SELECT line, sqrt(sum(weight * weight)) AS norm FROM weighted GROUP BY line
+  SELECT passage, sqrt(sum(weight * weight)) AS norm FROM weighted GROUP BY passage
 ), cosines AS (
-  SELECT line, number, round(sum(weight * part) / any_value(norm), 6) AS cosine
-  FROM weighted JOIN parts USING (term) JOIN norms USING (line) GROUP BY line, number
+  SELECT passage, number, round(sum(weight * part) / any_value(norm), 6) AS cosine
+  FROM weighted JOIN parts USING (term) JOIN norms USING (passage) GROUP BY passage, number
+  HAVING cosine >= {LIKE}
+), met AS (
+  SELECT passage, number, bit_or(bits) AS met
+  FROM cosines JOIN needs USING (number) JOIN terms USING (passage, term) GROUP BY passage, number
+), fitting AS (
+  SELECT passage, number, cosine FROM cosines JOIN templates USING (number) LEFT JOIN met USING (passage, number)
+  WHERE coalesce(met, 0) = wanted
 ), own AS (
-  SELECT doc_id, number, cosine FROM lines JOIN cosines USING (line) WHERE cosine >= {LIKE}
+  SELECT doc_id, number, cosine FROM passages JOIN fitting USING (passage)
   QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, number) = 1
 ), known AS (
   SELECT doc_id, path, regexp_extract(path, '^(.*)/[^/]*$', 1) AS directory, number, cosine
