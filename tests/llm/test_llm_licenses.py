@@ -35,6 +35,7 @@ CASES = {
     "Licensed under CC BY 3.0": "CC-BY-3.0",
     "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.": "CC-BY-NC-4.0",
     "Der Weg mit dem Rad ist weit, und mit dem Zug ist er kurz.": None,
+    "mit.": None,
     "All rights reserved.": None,
     "": None,
 }

@@ -103,6 +103,9 @@ CC_KINDS = {
 CC_VERSIONS = ("4.0", "3.0", "2.0")
 GNU_WORDS = {"GPL": ("gpl", "gplv", "general"), "LGPL": ("lgpl", "lgplv", "lesser"), "AGPL": ("agpl", "agplv", "affero")}
 
+# A short notice names the licence and says that it is one; the name alone may be a word of another language.
+SAYS_LICENSE = ("license", "licence", "licensed", "licenses", "licensing")
+
 
 def _version(number: str) -> tuple[str, ...]:
     return (number,) if "." in number else (number, f"{number}.0")
@@ -157,12 +160,12 @@ def _single() -> list[Template]:
         ("Apache-2.0", APACHE, apache),
         ("Apache-2.0", APACHE + APACHE_REST, apache),
         ("Apache-2.0", "Apache License Version 2.0, January 2004 http://www.apache.org/licenses/", apache),
-        ("MIT", "Released under the MIT License", (("mit",),)),
-        ("MIT", "Licensed under the MIT License", (("mit",),)),
-        ("MIT", "The MIT License (MIT)", (("mit",),)),
+        ("MIT", "Released under the MIT License", (("mit",), SAYS_LICENSE)),
+        ("MIT", "Licensed under the MIT License", (("mit",), SAYS_LICENSE)),
+        ("MIT", "The MIT License (MIT)", (("mit",), SAYS_LICENSE)),
         ("MIT", MIT_GRANT, ()),
         ("MIT", MIT_GRANT + MIT_REST, (("sublicense",),)),
-        ("ISC", "Licensed under the ISC License", (("isc",),)),
+        ("ISC", "Licensed under the ISC License", (("isc",), SAYS_LICENSE)),
         ("ISC", ISC, (("fee",),)),
         ("ISC", ISC + ISC_REST, (("fee",),)),
         (
@@ -185,7 +188,7 @@ def _spdx(names: list[str]) -> list[Template]:
     """Lines with an identifier; those of GNU licences may say whether later versions hold too."""
     rows: list[Template] = []
     for name in names:
-        needs = tuple((term,) for term in dict.fromkeys(re.findall(TERM, name.lower())) if term not in STOP_WORDS)
+        needs = (("spdx",), *((term,) for term in dict.fromkeys(re.findall(TERM, name.lower())) if term not in STOP_WORDS))
         for end in ("", "-only", "-or-later") if name.partition("-")[0] in GNU_WORDS else ("",):
             rows.append((name, f"SPDX-License-Identifier: {name}{end}", needs))
     return rows

@@ -85,9 +85,11 @@ def anchor_pattern(templates: list[Template]) -> str:
     """Matches every lower-case passage that can be like a template."""
     rarity, vectors = template_weights(templates)
     anchors = {t for (_, _, needs), vector in zip(templates, vectors, strict=True) for t in anchors_of(vector, needs, rarity)}
-    letters = "|".join(sorted(filter(str.isalpha, anchors)))
+    # Grouped by first letter, so that most words are left at once.
+    letters = {initial: [t[1:] for t in sorted(anchors) if t[0] == initial] for initial in sorted({t[0] for t in anchors if t.isalpha()})}
+    words = "|".join(f"{initial}(?:{'|'.join(rest)})" for initial, rest in letters.items())
     numbers = "|".join(re.escape(t) for t in sorted(anchors) if not t.isalpha())
-    patterns = ([f"(?<![a-z])(?:{letters})(?![a-z])"] if letters else []) + ([f"(?<![0-9])(?:{numbers})"] if numbers else [])
+    patterns = ([f"(?<![a-z])(?:{words})(?![a-z])"] if words else []) + ([f"(?<![0-9])(?:{numbers})"] if numbers else [])
     return "|".join(patterns) or "(?!)"
 
 
@@ -104,12 +106,17 @@ def passages(files: DataFrame, templates: list[Template]) -> DataFrame:
     """(row, key, passage): lower-case passages of files (row, path, text) that hold an anchor."""
     anchor = anchor_pattern(templates)
     texts = files.select("row", "path", F.lower("text").alias("text")).where(F.col("text").rlike(anchor))
-    blocks = texts.select("row", F.explode(F.split("text", EMPTY_LINES)).alias("block")).where(F.col("block").rlike(anchor))
+    whole = F.when(F.col("path").rlike(LICENSE_FILE), F.array("text")).otherwise(F.array().cast("array<string>"))
+    blocks = texts.select(
+        "row",
+        F.posexplode(F.concat(whole, F.split("text", EMPTY_LINES))).alias("place", "block"),
+        F.size(whole).alias("whole"),
+    ).where(F.col("block").rlike(anchor))
     sentences = F.split(F.regexp_replace("block", SENTENCE_END, f"$1{CUT}$2"), CUT)
     parts = F.array_distinct(F.concat(F.array("block"), F.split("block", "\n"), sentences))
-    found = blocks.select("row", F.explode(parts).alias("passage")).where(F.col("passage").rlike(anchor))
-    whole = texts.where(F.col("path").rlike(LICENSE_FILE)).select("row", F.col("text").alias("passage"))
-    return found.unionByName(whole).select("row", F.sha2("passage", 256).alias("key"), "passage")
+    own = F.when(F.col("place") < F.col("whole"), F.array("block")).otherwise(parts)
+    found = blocks.select("row", F.explode(own).alias("passage")).where(F.col("passage").rlike(anchor))
+    return found.select("row", F.sha2("passage", 256).alias("key"), "passage")
 
 
 def match_passages(found: DataFrame, templates: list[Template]) -> DataFrame:
@@ -181,7 +188,7 @@ def scan_licenses(files: DataFrame, templates: list[Template] | None = None) ->
     names = F.array(*(F.lit(name) for name, _, _ in templates)) if templates else F.array().cast("array<string>")
     named = files.select("doc_id", "path", "text", F.xxhash64("path", "text").alias("row"))
     found = _stored(passages(named, templates), "passages")
-    matched = small(match_passages(found, templates))
+    matched = small(_stored(match_passages(found, templates), "matched"))
     own = found.select("row", "key").join(matched, "key").groupBy("row").agg(F.max("best").alias("own"))
     placed = named.select("doc_id", "path", "row", _directory(F.col("path")).alias("directory"))
     known = _stored(placed.join(own, "row", "left").drop("row"), "files")
