@@ -8,6 +8,7 @@ from tillscope.names import LINE_ITEM_COLUMNS
 from tillscope.operators.numbering import number_rows
 from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_tables, build_transactions
 from tillscope.sources import order_lines
+from tillscope.sources.tables import FOOTERS, _conf, stored_date_bounds
 
 SCHEMA = """n int, transaction_id string, transaction_ts timestamp_ntz, date date, sku string, item string,
             category string, qty double, gross_sales decimal(18,2), discounts decimal(18,2), net_sales decimal(18,2),
@@ -119,3 +120,21 @@ def test_aggregates_shrink_before_they_shuffle(spark, folder):
     for df in (build_transactions(lines, order_lines.LINE_ORDER), build_daily_item_sales(lines, order_lines.LINE_ORDER)):
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "partial_sum" in plan and "Window" not in plan
+
+
+def test_bounds_come_from_footers(spark, tmp_path):
+    rows = [(dt.date(2025, 1, 3), 1), (dt.date(2024, 12, 30), 2), (None, 3), (dt.date(2025, 3, 1), 4)]
+    lines = spark.createDataFrame(rows, "date date, n int")
+    lines.coalesce(1).write.parquet(f"{tmp_path}/some")
+    lines.repartition(4, "n").write.partitionBy("n").parquet(f"{tmp_path}/apart")
+    lines.limit(0).write.parquet(f"{tmp_path}/none")
+    before = {key: spark.conf.get(key, None) for key in FOOTERS}
+    for name in ("some", "apart"):
+        # One folder of "apart" holds nulls only.
+        assert tuple(stored_date_bounds(spark, f"{tmp_path}/{name}").first()) == (dt.date(2024, 12, 30), dt.date(2025, 3, 1))
+    today = spark.range(1).select(F.current_date()).first()[0]
+    assert tuple(stored_date_bounds(spark, f"{tmp_path}/none").first()) == (today, today)
+    assert {key: spark.conf.get(key, None) for key in FOOTERS} == before
+    with _conf(spark, FOOTERS):
+        plan = spark.read.parquet(f"{tmp_path}/some").agg(F.min("date"))._jdf.queryExecution().executedPlan().toString()
+    assert "PushedAggregation: [MIN(date)]" in plan

@@ -142,6 +142,25 @@ daily AS (
 """
 DAILY = f"{SALES},{DAILY_BODY}"
 
+# Lines without some headers and items; ties of the row order go to the smallest value.
+PATCHY = f"""{SALES},
+patchy AS (
+    SELECT * REPLACE (
+        CASE WHEN ord_part % 3 = 0 THEN concat(payment_id, '-', ord_line) END AS payment_id,
+        CASE WHEN ord_part % 2 = 1 THEN concat(device_name, '/', sku) END AS device_name,
+        CASE WHEN ord_part % 50 = 7 THEN concat('Aisle ', ord_line) END AS location,
+        CASE WHEN ord_line % 2 = 0 THEN concat(item, ' ', transaction_id) END AS item,
+        CASE WHEN ord_part % 5 <> 0 THEN concat(category, ' ', ord_line) END AS category
+    )
+    FROM sales
+)
+"""
+
+
+def _first_there(column: str) -> str:
+    return f"first({column} ORDER BY {ORDER}, {column}) FILTER ({column} IS NOT NULL) AS {column}"
+
+
 WINDOWS_BODY = """
 windows AS (
     SELECT
@@ -447,6 +466,18 @@ SELECT
     CAST(gross_sales AS DOUBLE) AS gross_sales, CAST(discounts AS DOUBLE) AS discounts,
     CAST(net_sales AS DOUBLE) AS net_sales, CAST(tax AS DOUBLE) AS tax, transactions_count
 FROM daily
+""",
+    "transactions_patchy_headers": f"""
+WITH {PATCHY}
+SELECT transaction_id, count(*) AS num_line_items,
+       {", ".join(map(_first_there, ("payment_id", "device_name", "location")))}
+FROM patchy GROUP BY transaction_id
+""",
+    "daily_patchy_items": f"""
+WITH {PATCHY}
+SELECT CAST(date AS VARCHAR) AS date, sku, {", ".join(map(_first_there, ("item", "category")))},
+       CAST(sum(qty) AS BIGINT) AS units_sold, count(DISTINCT transaction_id) AS transactions_count
+FROM patchy GROUP BY date, sku
 """,
     "stored_tables": f"""
 WITH {BASKETS}, {DAILY_BODY}
@@ -463,6 +494,10 @@ WITH {DAILY} SELECT category, CAST(sum(units_sold) AS BIGINT) AS units FROM dail
     "date_bounds": f"""
 WITH {SALES}
 SELECT CAST(min(date) AS VARCHAR) AS min_date, CAST(max(date) AS VARCHAR) AS max_date FROM sales
+""",
+    "date_bounds_of_footers": f"""
+WITH {SALES}
+SELECT CAST(min(date) AS VARCHAR) AS min_date, CAST(max(date) AS VARCHAR) AS max_date FROM sales
 """,
     "kpis_full": _kpis(FULL),
     "kpis_range": _kpis(PART),

@@ -24,7 +24,7 @@ from tillscope.session import scratch_path
 from tillscope.sources import order_lines
 from tillscope.sources.order_lines import LINE_ORDER
 from tillscope.sources.sales_csv import ingest_csv, read_sales_csv, write_sales_csv
-from tillscope.sources.tables import build_and_load, load_views, query_table, save_tables
+from tillscope.sources.tables import build_and_load, load_views, query_table, save_tables, stored_date_bounds
 
 # The whole span of the order dates, a part of it, and a day before it.
 FULL = ("1995-01-01", "2001-12-31")
@@ -245,6 +245,33 @@ def daily_item_sales(spark, folder):
     return _daily(spark, folder)
 
 
+def _patchy_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines that lack headers and items here and there, and name others where they have them."""
+    part, basket, line = F.col("ord_part"), F.col("transaction_id"), F.col("ord_line").cast("string")
+    return _lines(spark, folder).withColumns(
+        {
+            "payment_id": F.when(part % 3 == 0, F.concat("payment_id", F.lit("-"), line)),
+            "device_name": F.when(part % 2 == 1, F.concat("device_name", F.lit("/"), "sku")),
+            "location": F.when(part % 50 == 7, F.concat(F.lit("Aisle "), line)),
+            "item": F.when(F.col("ord_line") % 2 == 0, F.concat("item", F.lit(" "), basket)),
+            "category": F.when(part % 5 != 0, F.concat("category", F.lit(" "), line)),
+        }
+    )
+
+
+@query
+def transactions_patchy_headers(spark, folder):
+    """The first header of a basket that is there, in row order, is not always its first line's."""
+    baskets = build_transactions(_patchy_lines(spark, folder), LINE_ORDER)
+    return baskets.select("transaction_id", "num_line_items", "payment_id", "device_name", "location")
+
+
+@query
+def daily_patchy_items(spark, folder):
+    daily = build_daily_item_sales(_patchy_lines(spark, folder), LINE_ORDER)
+    return daily.select("date", "sku", "item", "category", "units_sold", "transactions_count")
+
+
 @query
 def stored_tables(spark, folder):
     """Export to stored tables and back: rows and net sales of each."""
@@ -276,6 +303,14 @@ def date_bounds(spark, folder):
     return metrics.date_bounds(_lines(spark, folder))
 
 
+@query
+def date_bounds_of_footers(spark, folder):
+    """The same bounds from the footers of the stored lines."""
+    path = scratch_path(spark, "bounds")
+    save_tables({"line_items": _lines(spark, folder).select("transaction_id", "date", "net_sales")}, path, by_month=True)
+    return stored_date_bounds(spark, f"{path}/line_items")
+
+
 @query
 def kpis_full(spark, folder):
     return metrics.headline_kpis(_lines(spark, folder), *FULL)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Mapping, Sequence
+from contextlib import contextmanager
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -74,6 +76,45 @@ def _finish_load(spark: SparkSession, folder: str, load: str) -> None:
     row.coalesce(1).write.mode("append").parquet(f"{folder}/loads")
 
 
+# The reader that answers minima and maxima from footers, and its switch.
+FOOTERS = {"spark.sql.sources.useV1SourceList": "", "spark.sql.parquet.aggregatePushdown": "true"}
+
+
+@contextmanager
+def _conf(spark: SparkSession, settings: Mapping[str, str]):
+    before = {key: spark.conf.get(key, None) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        yield
+    finally:
+        for key, value in before.items():
+            spark.conf.unset(key) if value is None else spark.conf.set(key, value)
+
+
+def stored_date_bounds(spark: SparkSession, path: str) -> DataFrame:
+    """First and last day of a stored table, today for both when it has none.
+
+    The bounds come from the statistics in the footers of the files; no column is read.
+    A file whose days are all null has none, so then the column is read after all.  The
+    answer is worked out at once and is one row.
+    """
+    with _conf(spark, FOOTERS):
+        days = spark.read.parquet(path).agg(F.min("date").alias("first"), F.max("date").alias("last"))
+        try:
+            found = days.first()
+        except Py4JJavaError as error:
+            if "No min/max found" not in str(error):
+                raise
+            found = None
+    if found is None:
+        found = spark.read.parquet(path).agg(F.min("date").alias("first"), F.max("date").alias("last")).first()
+    bounds = spark.createDataFrame([tuple(found)], "first date, last date")
+    return bounds.select(
+        F.coalesce("first", F.current_date()).alias("min_date"), F.coalesce("last", F.current_date()).alias("max_date")
+    )
+
+
 def query_table(spark: SparkSession, name: str) -> DataFrame:
     return spark.table(name)
 
