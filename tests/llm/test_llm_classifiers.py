@@ -1,5 +1,6 @@
 """Quality rules, toxicity, passage quality: counts against plain Python, accuracy on rows kept apart."""
 
+import math
 import re
 from collections import Counter
 
@@ -9,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tillscope.llm import passage_quality, quality_rules, toxicity
-from tillscope.llm.texts import split_words
+from tillscope.llm.texts import bare, split_words, word_hashes
 
 LARGER = "/root/testdata/sf0.01"
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -93,6 +94,56 @@ def test_passage_quality_on_rows_kept_apart(tables):
     assert all(0 <= r["score"] <= 1 and r["predicted"] == int(r["score"] >= 0.7) for r in rows)
 
 
+def plain_passage_score(model, text):
+    """One text passage by passage, number by number; only its style marks come from the library."""
+    own = pa.array([text], pa.string())
+    style = passage_quality.cut_passages(own, split_words(own)).style
+    words = WORD.findall(text or "")
+    passages = [words[i : i + passage_quality.PASSAGE] for i in range(0, len(words), passage_quality.PASSAGE)] or [[]]
+    assert len(passages) == len(style)
+    hidden, energy = [], []
+    for passage, marked in zip(passages, style, strict=True):
+        slots = [int(h) % passage_quality.BUCKETS for h in word_hashes([bare(w) for w in passage])]
+        h = [
+            math.tanh(
+                sum(model.table[s][d] for s in slots) / max(1, len(slots))
+                + sum(m * model.style[i][d] for i, m in enumerate(marked))
+                + model.bias[d]
+            )
+            for d in range(passage_quality.DIMENSIONS)
+        ]
+        hidden.append(h)
+        energy.append(
+            sum(
+                model.w[k]
+                * math.tanh(sum(x * model.v[d][k] for d, x in enumerate(h)))
+                / (1 + math.exp(-sum(x * model.u[d][k] for d, x in enumerate(h))))
+                for k in range(passage_quality.ATTENTION)
+            )
+        )
+    share = [math.exp(e) / sum(map(math.exp, energy)) for e in energy]
+    pooled = [sum(w * h[d] for w, h in zip(share, hidden, strict=True)) for d in range(passage_quality.DIMENSIONS)]
+    logit = sum(x * o for x, o in zip(pooled, model.out, strict=True)) + model.level[0]
+    return 1 / (1 + math.exp(-(model.slope * logit + model.offset)))
+
+
+def test_passage_scores_equal_plain_attention(spark):
+    rng = np.random.default_rng(8)
+    model = passage_quality.AttentionModel(3)
+    model.table[:] = rng.normal(0, 1, model.table.shape)
+    model.bias[:], model.level[:] = rng.normal(0, 1, model.bias.shape), 0.3
+    model.slope, model.offset = 1.7, -0.2
+    vocabulary = ["alpha", "Beta,", "gamma!", "x1", "#", "and", "and"]
+    sizes = [1, 63, 64, 65, 128, 129, 700, 5000]
+    texts = [*ODD, *(" ".join(rng.choice(vocabulary, n)) for n in sizes), "alpha\nBeta,\nalpha\n" * 50]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: r for r in passage_quality.score_passages(table, model, 0.0).collect()}
+    for i, text in enumerate(texts):
+        assert got[i]["score"] == pytest.approx(plain_passage_score(model, text), abs=1e-9)
+        assert got[i]["predicted"] == int(got[i]["score"] >= 0.7)
+    assert len({round(r["score"], 6) for r in got.values()}) > 10
+
+
 def test_toxicity_on_rows_kept_apart(spark):
     folder = "/root/testdata/sf0.1"
     documents, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
