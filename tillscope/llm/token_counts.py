@@ -13,7 +13,7 @@ writer at a time.
 Within a batch the last kind of change per document and version counts, in the order
 delete, insert, revise, and of equal kinds the largest row.  An insert of a known
 document replaces its counts; a revision of an unknown one inserts it; deleting an
-unknown one does nothing.  Null texts have no tokens; null ids, sources and languages
+unknown one does nothing.  A text of any length is counted whole.  Null texts have no tokens; null ids, sources and languages
 are values like others; rows that share an id count once.  A group whose documents and
 tokens have all gone is not listed.  An empty table gives no rows, other columns are
 ignored.
