@@ -28,6 +28,48 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(np.exp(got), [every_way("▁" + w, table) for w in words])
 
 
+def in_logarithms(word, table):
+    """Log of the sum over all ways to cut a word, letter by letter with logaddexp."""
+    logs = np.full((len(word) + 1, table.shape[1]), -np.inf)
+    logs[0] = 0
+    for end in range(1, len(word) + 1):
+        logs[end] = logs[end - 1] + np.log(table[-1])
+        for i, piece in enumerate(PIECES):
+            if word.startswith(piece, end - len(piece)) and len(piece) <= end:
+                logs[end] = np.logaddexp(logs[end], logs[end - len(piece)] + np.log(table[i]))
+    return logs[-1]
+
+
+@pytest.mark.parametrize("stretch", [16, 48, 4096])
+def test_long_words_are_summed_whole(stretch, monkeypatch):
+    monkeypatch.setattr(language_id, "STRETCH", stretch)
+    rng = np.random.default_rng(3)
+    table = rng.random((len(PIECES) + 1, 3)) / 10
+    table[-1] = language_id.UNKNOWN
+    words = ["".join(rng.choice(list("abx"), n)) for n in (5, 6, 7, 8, 39, 40, 41, 60, 200, 201, 900)] + ["a", "x" * 300]
+    got = language_id.Segmenter(PIECES).likelihood(words, table)
+    assert np.allclose(got, [in_logarithms("▁" + w, table) for w in words], rtol=1e-12)
+
+
+def test_unknown_letters_without_end_stay_finite():
+    table = np.full((len(PIECES) + 1, 2), [0.1, 0.2])
+    table[-1] = language_id.UNKNOWN
+    got = language_id.Segmenter(PIECES).likelihood(["x" * 100_000], table)
+    assert np.allclose(got, 100_000 * np.log(language_id.UNKNOWN) + np.log([0.1, 0.2]))
+
+
+def test_expected_uses_of_long_words():
+    table = np.random.default_rng(4).random((len(PIECES) + 1, 2)) / 10
+    word = "abxaab" * 30
+    uses = language_id.Segmenter(PIECES).expected([word], np.ones((1, 2)), table)
+    letters = np.array([[len(p)] for p in PIECES] + [[1]])
+    assert np.allclose((uses * letters).sum(axis=0), len(word) + 1)
+    up = table.copy()
+    up[PIECES.index("ab")] *= 1 + 1e-6
+    slope = (in_logarithms("▁" + word, up) - in_logarithms("▁" + word, table)) / 1e-6
+    assert np.allclose(slope, uses[PIECES.index("ab")], atol=1e-2)
+
+
 def test_expected_uses_follow_the_likelihood():
     # The derivative of the log-likelihood by a log-probability is the expected number of uses.
     table = np.random.default_rng(2).random((len(PIECES) + 1, 2))
