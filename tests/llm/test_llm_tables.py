@@ -4,7 +4,10 @@ import re
 import sys
 from pathlib import Path
 
+import duckdb
+import public_tokenizers
 import pytest
+import tokenizers
 from pyspark.sql import functions as F
 
 ROOT = Path(__file__).resolve().parent.parent.parent
@@ -13,7 +16,7 @@ sys.path[:0] = [str(ROOT), str(ROOT / "tools")]
 import check_queries  # noqa: E402
 import corpus_pipeline  # noqa: E402
 
-from tillscope.llm import decontaminate, licenses, minhash, quality_rules, token_counts  # noqa: E402
+from tillscope.llm import bpe, decontaminate, licenses, minhash, quality_rules, token_counts  # noqa: E402
 from tillscope.llm.queries import ORACLE, QUERIES  # noqa: E402
 
 DOCUMENT = "doc_id long, text string, lang string, source string, n_chars long"
@@ -32,7 +35,7 @@ def test_rollup_follows_changes(spark, tmp_path):
     assert rollup.commit("one", load)
     first = totals(rollup)
     assert first[("s", "en", "words-v1")] == (2, 3) and first[("s", "en", "pieces-v2")] == (2, 4)
-    assert first[("t", None, "words-v1")] == (1, 2) and first[(None, "en", "words-v1")] == (1, 1)
+    assert first[("t", None, "words-v1")] == (2, 4) and first[(None, "en", "words-v1")] == (1, 1)
     assert not rollup.commit("one", load) and totals(rollup) == first
     # A batch under another name that says the same changes nothing.
     assert rollup.commit("two", load) and totals(rollup) == first
@@ -51,7 +54,7 @@ def test_unfinished_batch_counts_for_nothing(spark, tmp_path, monkeypatch):
     table = spark.createDataFrame([(1, "a b", "en", "s")], "doc_id long, text string, lang string, source string")
     load = token_counts.count_tokens(table, "insert")
     with monkeypatch.context() as patch:
-        patch.setattr(token_counts, "_signed", lambda ledger: 1 / 0)
+        patch.setattr(token_counts, "_signed", lambda now, before: 1 / 0)
         with pytest.raises(ZeroDivisionError):
             rollup.commit("one", load)
     assert totals(rollup) == {}
@@ -60,6 +63,61 @@ def test_unfinished_batch_counts_for_nothing(spark, tmp_path, monkeypatch):
     assert rollup.commit("empty", load.limit(0))
 
 
+def test_rollup_counts_rows_that_share_an_id_as_the_sql_does(spark, tmp_path):
+    rows = [
+        (1, "a b 12", "en", "s"), (1, "a b 12", "en", "s"), (1, "c 3", "fr", "t"), (None, "x 1", "en", "s"), (None, "x 1", "en", "s"),
+        (2, "d 4 5", "en", "s"), (2, "d", None, None), (3, "e", "en", "s"), (4, None, "en", "s"), (5, "long " * 300_000, "en", "s"),
+    ]
+    documents = spark.createDataFrame([(*r, "clash", 7) for r in rows], "doc_id long, text string, lang string, source string, kind string, tokens int")
+    labels = spark.createDataFrame([(1, 0, 1), (2, 1, 1), (3, 0, 0), (9, 0, 1), (None, 0, 1)], "doc_id long, quality long, toxic long")
+    connection = duckdb.connect()
+    for name, table in [("documents", documents), ("labels", labels)]:
+        table.write.parquet(f"{tmp_path}/{name}.parquet")
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    got = {tuple(r) for r in QUERIES["op1_token_counts"](spark, str(tmp_path)).collect()}
+    assert got == set(connection.execute(ORACLE["op1_token_counts"]).fetchall()) and len(got) > 4
+
+
+def test_folded_batches_stand_for_all_before(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(token_counts, "FOLD", 2)
+    rollup = token_counts.TokenRollup(spark, str(tmp_path))
+    rollup.fold()
+    schema = "doc_id long, text string, lang string, source string"
+    state = {}
+    for number in range(3):
+        batch = [(i, "w " * (number + i), "en", f"s{i % 2}") for i in range(number, number + 3)]
+        state |= {r[0]: r for r in batch}
+        change = token_counts.count_tokens(spark.createDataFrame(batch, schema), "insert")
+        assert rollup.commit(f"batch {number}", change)
+        gone = spark.createDataFrame([(number,)], "doc_id long")
+        assert rollup.commit(f"gone {number}", token_counts.withdraw(gone))
+        del state[number]
+        assert not rollup.commit("batch 0", change) and len(rollup._state()[2]) <= 2
+    fresh = token_counts.TokenRollup(spark, f"{tmp_path}/fresh")
+    fresh.commit("all", token_counts.count_tokens(spark.createDataFrame(list(state.values()), schema), "insert"))
+    assert totals(rollup) == totals(fresh) != {}
+
+
+def test_counts_of_a_public_tokenizer(spark, tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    documents = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    odd = spark.createDataFrame([(None, None, None, None), (-1, "", "en", "s"), (-2, "é🙂 " * 50_000, "en", "s")], "doc_id long, text string, lang string, source string")
+    table = documents.unionByName(odd, allowMissingColumns=True).withColumn("tokens", F.lit("clash"))
+    rollup = token_counts.TokenRollup(spark, str(tmp_path))
+    change = token_counts.count_encoded(table, "insert", bpe.Vocabulary.read(path), "word-bpe-49k")
+    assert rollup.commit("load", change)
+    library = tokenizers.Tokenizer.from_file(path)
+    library.no_truncation()
+    library.no_padding()
+    want = {}
+    for r in table.collect():
+        key = (r["source"], r["lang"], "word-bpe-49k")
+        n = len(library.encode(r["text"] or "", add_special_tokens=False).ids)
+        want[key] = tuple(map(sum, zip(want.get(key, (0, 0)), (1, n))))
+    assert totals(rollup) == want
+    assert rollup.commit("away", token_counts.withdraw(table, ["word-bpe-49k"])) and totals(rollup) == {}
+
+
 def test_licences_inherit_from_the_nearest_directory(spark):
     mit, apache = "Released under the MIT License.", "Licensed under the Apache License, Version 2.0."
     rows = [

@@ -15,8 +15,8 @@ _COUNTED = " UNION ALL ".join(
 TOKEN_COUNTS_SQL = rf"""
 WITH marked AS (
   SELECT source, lang, coalesce(text, '') AS text,
-         doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic,
-         doc_id IN (SELECT doc_id FROM labels WHERE quality = 0) AS low
+         EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND toxic = 1) AS toxic,
+         EXISTS (SELECT 1 FROM labels WHERE labels.doc_id = documents.doc_id AND quality = 0) AS low
   FROM documents
 ), kept AS (
   SELECT source, lang, CASE WHEN toxic THEN regexp_replace(text, '[0-9]+', '', 'g') ELSE text END AS text

@@ -36,7 +36,7 @@ def op1_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     rollup = token_counts.TokenRollup(spark, scratch_path(spark, "token-counts"))
     load = token_counts.count_tokens(documents, "insert")
     rollup.commit("load", load)
-    rollup.commit("withdraw", token_counts.withdraw(labels.where("quality = 0")))
+    rollup.commit("withdraw", token_counts.withdraw(labels.where("quality = 0 AND doc_id IS NOT NULL")))
     toxic = small(labels.where("toxic = 1").select("doc_id").distinct())
     revised = documents.join(toxic, "doc_id", "left_semi")
     masked = F.regexp_replace("text", "[0-9]+", "")
