@@ -140,6 +140,15 @@ def _mask_name(df: DataFrame) -> str:
     return next(c for c in (f"_failed{i}" for i in range(len(taken) + 1)) if c not in taken)
 
 
+def _masked(df: DataFrame, contract: Sequence[Field], name: str) -> DataFrame:
+    """The rows with their mask as a column that is worked out once.
+
+    A filter on a plain column would be moved below the parsing of the cells and repeat
+    it for every rule; one on a generated column stays above.
+    """
+    return df.select("*", F.explode(F.array(failure_mask(df, contract))).alias(name))
+
+
 def _schema_failures(df: DataFrame, contract: Sequence[Field]) -> list[tuple[str, str, str, str]]:
     """Missing columns and columns of the wrong type, from the schema alone."""
     types = {f.name: f.dataType for f in df.schema.fields}
@@ -159,7 +168,7 @@ def failures(df: DataFrame, row_id: Sequence[str] = (), contract: Sequence[Field
     the frame itself.  A narrow pass: no shuffle.
     """
     mask = _mask_name(df)
-    broken = df.withColumn(mask, failure_mask(df, contract)).where(F.col(mask) != 0)
+    broken = _masked(df, contract, mask).where(F.col(mask) != 0)
     found = F.explode(_cell_failures(df, contract, F.col(mask))).alias("f")
     cells = broken.select(*row_id, found).select("f.*", *row_id)
     frame = _schema_failures(df, contract)
@@ -222,7 +231,8 @@ def mark_failures(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFr
 def valid_rows(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFrame:
     """The rows that meet every cell rule."""
     _require_columns(df, contract)
-    return df.where(failure_mask(df, contract) == 0)
+    mask = _mask_name(df)
+    return _masked(df, contract, mask).where(F.col(mask) == 0).drop(mask)
 
 
 def split_valid(
@@ -237,7 +247,7 @@ def split_valid(
     """
     _require_columns(df, contract)
     mask = _mask_name(df)
-    masked = df.withColumn(mask, failure_mask(df, contract))
+    masked = _masked(df, contract, mask)
     if staging is not None:
         masked.write.mode("overwrite").parquet(staging)
         masked = df.sparkSession.read.parquet(staging)
