@@ -87,7 +87,7 @@ def clean_line_items(spark, folder):
 def csv_round_trip(spark, folder):
     """Write the export as CSV files, then scan and clean them."""
     path = scratch_path(spark, "export")
-    write_sales_csv(order_lines.raw_export(spark, folder, faults=True), path)
+    write_sales_csv(order_lines.raw_export(spark, folder, faults=True), path, compression="lz4")
     cleaned = ingest_csv(spark, path).drop("source_file", "source_row")
     types = {name: MONEY if name == "ord_price" else "bigint" for name in LINE_ORDER}
     return cleaned.withColumns({name: F.col(name).cast(kind) for name, kind in types.items()})
@@ -97,7 +97,7 @@ def csv_round_trip(spark, folder):
 def csv_pruned_scan(spark, folder):
     """Net sales text and basket per line from a scan of two raw columns."""
     path = scratch_path(spark, "export")
-    write_sales_csv(order_lines.raw_export(spark, folder), path)
+    write_sales_csv(order_lines.raw_export(spark, folder), path, compression="lz4")
     rows = read_sales_csv(spark, path, ["Transaction ID", "Net Sales"], ragged="truncate", keep_order=False)
     return normalize_headers(rows)
 
@@ -525,7 +525,7 @@ def kpi_reconciliation(spark, folder):
 def export_reconciliation(spark, folder):
     """From CSV files through stored tables, and once more from the text of the files."""
     export = scratch_path(spark, "export")
-    write_sales_csv(order_lines.raw_export(spark, folder).drop(*LINE_ORDER), export)
+    write_sales_csv(order_lines.raw_export(spark, folder).drop(*LINE_ORDER), export, compression="lz4")
     tables = build_and_load(ingest_csv(spark, export), folder=scratch_path(spark, "tables"))
     return reconcile.reconcile_export(spark, export, tables["line_items"])
 

@@ -24,13 +24,27 @@ def _cents(value: Column) -> Column:
 
 
 def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed sales lines, in the shape that cleaning produces, with their order columns."""
+    """Typed sales lines, in the shape that cleaning produces, with their order columns.
+
+    Amounts become short whole numbers before the joins, which halves what is shuffled.
+    The lines are not sorted for the join with the orders: a task looks them up in its part
+    of the orders, which are fewer.
+    """
+    sold = table(spark, folder, "lineitem").select(
+        "l_orderkey",
+        "l_partkey",
+        "l_suppkey",
+        F.col("l_linenumber").cast("bigint").alias("l_linenumber"),
+        F.col("l_quantity").cast("bigint").alias("l_quantity"),
+        F.col("l_extendedprice").cast(MONEY).alias("l_extendedprice"),
+        F.col("l_discount").cast("decimal(4,2)").alias("l_discount"),
+        F.col("l_tax").cast("decimal(4,2)").alias("l_tax"),
+    )
     joined = (
-        table(spark, folder, "lineitem")
-        .join(table(spark, folder, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+        sold.join(table(spark, folder, "orders").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
         .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
     )
-    gross = F.col("l_extendedprice").cast(MONEY)
+    gross = F.col("l_extendedprice")
     seconds = 25200 + (F.col("o_orderkey") * 7919) % 54000
     amounts = joined.select(
         F.concat(F.lit("SQ"), F.col("l_orderkey").cast("string")).alias("transaction_id"),
@@ -40,18 +54,18 @@ def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("sku"),
         F.col("p_name").alias("item"),
         F.col("p_type").alias("category"),
-        F.col("l_quantity").cast("bigint").alias("qty"),
+        F.col("l_quantity").alias("qty"),
         F.lit("Regular").alias("price_point_name"),
         gross.alias("gross_sales"),
-        (-_cents(gross * F.col("l_discount").cast("decimal(4,2)"))).cast(MONEY).alias("discounts"),
-        F.col("l_tax").cast("decimal(4,2)").alias("_rate"),
+        (-_cents(gross * F.col("l_discount"))).cast(MONEY).alias("discounts"),
+        F.col("l_tax").alias("_rate"),
         F.col("o_orderpriority").alias("device_name"),
         F.lit("Main").alias("location"),
         F.col("o_custkey").alias("customer_no"),
-        F.col("l_linenumber").cast("bigint").alias("ord_line"),
+        F.col("l_linenumber").alias("ord_line"),
         F.col("l_partkey").alias("ord_part"),
         F.col("l_suppkey").alias("ord_supp"),
-        F.col("l_quantity").cast("bigint").alias("ord_qty"),
+        F.col("l_quantity").alias("ord_qty"),
         gross.alias("ord_price"),
     )
     return (

@@ -14,6 +14,8 @@ from tillscope.operators.cleaning import clean
 
 _MALFORMED = "_malformed"
 _OVERFLOW = "_overflow"
+# Rows of a compressed file: some 200 MB of text.
+FILE_ROWS = 1_000_000
 
 
 def read_sales_csv(
@@ -132,7 +134,12 @@ def ingest_csv(spark: SparkSession, path: str | Sequence[str], **read_options) -
     return clean(read_sales_csv(spark, path, **read_options))
 
 
-def write_sales_csv(df: DataFrame, path: str, *, mode: str = "errorifexists") -> None:
-    """Write a directory of CSV files, each with a header; nulls become empty cells."""
-    spaces = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
-    df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="", **spaces).csv(path)
+def write_sales_csv(df: DataFrame, path: str, *, mode: str = "errorifexists", compression: str = "none") -> None:
+    """Write a directory of CSV files, each with a header; nulls become empty cells.
+
+    A compressed file is read by one task, so files end after ``FILE_ROWS`` rows then.
+    """
+    options = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "compression": compression}
+    if compression != "none":
+        options["maxRecordsPerFile"] = FILE_ROWS
+    df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="", **options).csv(path)
