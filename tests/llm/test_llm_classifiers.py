@@ -208,3 +208,19 @@ def test_attention_weights_sum_to_one():
     hidden, size = model.encode(part.slots[part.words], part.passage, part.style)
     weight, *_ = model.attend(hidden, part.starts)
     assert np.allclose(np.add.reduceat(weight, part.starts[:-1]), 1) and size.tolist() == [64, 64, 64, 8, 1, 3]
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    rows = [(i, f"own{i} {'awful' if i % 40 == 0 else 'plain'} words", int(i % 40 == 0)) for i in range(3400)]
+    table = spark.createDataFrame(rows, "doc_id long, text string, toxic long").repartition(3)
+    (network, shift), share = toxicity.fit_toxicity(table.select("doc_id", "text"), table)
+    marked = table.withColumn("held_out", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2)
+    apart = F.pmod(F.xxhash64("doc_id", F.lit("apart")), F.lit(5)) == 4
+    taught = [r["doc_id"] for r in marked.where(~F.col("held_out") & ~apart).collect()]
+    kept = marked.where(~F.col("held_out")).collect()
+    assert share == pytest.approx(np.mean([r["toxic"] for r in kept]))
+    # A word that was never met starts at 0 in the first dimension; each row has a word of its own.
+    slots = word_hashes([f"own{i}" for i in taught]) & np.uint64(toxicity.BUCKETS - 1)
+    assert len(taught) > 1500 and (network.tables[0][slots.astype(np.int64), 0] != 0).all()
+    scored = {r["doc_id"]: r["predicted"] for r in toxicity.score_toxicity(table, (network, shift), share).collect()}
+    assert np.mean([scored[i] == toxic for i, _, toxic in rows]) > 0.99
