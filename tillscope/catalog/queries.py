@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillscope.functions.calendar import MONTH
 from tillscope.functions.parsing import parse_money, parse_number
 from tillscope.names import MONEY, PRIVATE_COLUMNS
 from tillscope.operators import compare, contract, sampling, stockouts
@@ -537,9 +538,10 @@ def reconciliation_verdict(spark, folder):
 
 @query
 def grain_consistency(spark, folder):
-    """Over stored tables: each is built once."""
+    """Over stored tables: each is built once, from lines that are put together once."""
     path = scratch_path(spark, "grains")
-    tables = build_tables(_lines(spark, folder), LINE_ORDER)
+    save_tables({"lines": _lines(spark, folder)}, path)
+    tables = build_tables(spark.read.parquet(f"{path}/lines"), LINE_ORDER)
     save_tables(tables, path)
     names = ["line_items", "transactions", "daily_item_sales"]
     return reconcile.grain_checks(*(spark.read.parquet(f"{path}/{name}") for name in names))
@@ -570,8 +572,9 @@ def _spoiled(lines):
 def differing_baskets(spark, folder):
     """Baskets that differ between stored lines and another version of them, found from the months down."""
     path = scratch_path(spark, "versions")
-    lines = _lines(spark, folder)
-    save_tables({"own": lines, "other": _spoiled(lines)}, path, by_month=True)
+    save_tables({"own": _lines(spark, folder)}, path, by_month=True)
+    # Read from its months again, so a task writes to few of them.
+    _spoiled(spark.read.parquet(f"{path}/own")).write.partitionBy(MONTH).parquet(f"{path}/other")
     return differences.find_differences(*(spark.read.parquet(f"{path}/{name}") for name in ("own", "other")))
 
 

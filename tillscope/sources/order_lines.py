@@ -26,9 +26,8 @@ def _cents(value: Column) -> Column:
 def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Typed sales lines, in the shape that cleaning produces, with their order columns.
 
-    Amounts become short whole numbers before the joins, which halves what is shuffled.
-    The lines are not sorted for the join with the orders: a task looks them up in its part
-    of the orders, which are fewer.
+    The lines are not sorted for the joins: a task looks them up in its part of the orders,
+    and then of the parts, which are fewer.
     """
     sold = table(spark, folder, "lineitem").select(
         "l_orderkey",
@@ -42,7 +41,7 @@ def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
     joined = (
         sold.join(table(spark, folder, "orders").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, folder, "part"), F.col("l_partkey") == F.col("p_partkey"))
+        .join(table(spark, folder, "part").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
     )
     gross = F.col("l_extendedprice")
     seconds = 25200 + (F.col("o_orderkey") * 7919) % 54000
