@@ -2,10 +2,11 @@ from pathlib import Path
 
 import pytest
 
+from tillscope.catalog import queries
 from tillscope.functions.calendar import between_dates
 from tillscope.names import PRIVATE_COLUMNS, RAW_COLUMNS
 from tillscope.operators.cleaning import clean
-from tillscope.sources import order_lines
+from tillscope.sources import order_lines, sales_csv
 from tillscope.sources.sales_csv import ingest_csv, read_sales_csv, write_sales_csv
 from tillscope.sources.tables import build_and_load, load_views, open_tables, query_table, save_tables
 from tillscope.operators.contract import ContractError
@@ -235,3 +236,27 @@ def test_long_rows_fail_the_cleaned_scan_too(spark, export):
     with pytest.raises(Exception, match="more cells than the header"):
         ingest_csv(spark, path).select("sku").collect()
     assert ingest_csv(spark, path, ragged="truncate").count() == 2
+
+
+def test_compressed_export_is_cut_into_files(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(sales_csv, "FILE_ROWS", 2)
+    rows = spark.createDataFrame([(f"T{i}", f"a, \"b\" {i} ") for i in range(5)], "`Transaction ID` string, Item string")
+    path = tmp_path / "out"
+    write_sales_csv(rows.coalesce(1), str(path), compression="lz4")
+    assert len(list(path.glob("*.csv.lz4"))) == 3 and not list(path.glob("*.csv"))
+    back = read_sales_csv(spark, str(path), keep_order=False)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, rows.collect()))
+
+
+def test_lines_are_joined_without_sorting(spark, folder):
+    joined = order_lines.sales_lines(spark, folder)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ShuffledHashJoin") == 2 and "Sort" not in plan
+
+
+@pytest.mark.parametrize(("name", "step"), [("differing_baskets", "_spoiled"), ("grain_consistency", "build_tables")])
+def test_lines_are_put_together_once(spark, folder, monkeypatch, name, step):
+    inputs, own = [], getattr(queries, step)
+    monkeypatch.setattr(queries, step, lambda lines, *rest: inputs.extend(lines.inputFiles()) or own(lines, *rest))
+    queries.QUERIES[name](spark, folder)
+    assert inputs and not any("lineitem.parquet" in path for path in inputs)
