@@ -260,3 +260,15 @@ def test_lines_are_put_together_once(spark, folder, monkeypatch, name, step):
     monkeypatch.setattr(queries, step, lambda lines, *rest: inputs.extend(lines.inputFiles()) or own(lines, *rest))
     queries.QUERIES[name](spark, folder)
     assert inputs and not any("lineitem.parquet" in path for path in inputs)
+
+
+def test_lines_of_a_basket_are_together(spark, folder):
+    """Groupings by basket follow the join with the orders without another shuffle of the lines."""
+    from tillscope.plans.tables import build_daily_item_sales, build_transactions
+
+    lines, order = order_lines.sales_lines(spark, folder), order_lines.LINE_ORDER
+    # Lines and parts by part, both sides by basket; the rollup once more by day and sku.
+    for df, shuffles in ((build_transactions(lines, order), 4), (build_daily_item_sales(lines, order), 5)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == shuffles
+        assert "partial_sum" in plan

@@ -23,11 +23,16 @@ def _cents(value: Column) -> Column:
     return F.round(value, 2).cast(MONEY)
 
 
+def _basket(order_key: Column) -> Column:
+    return F.concat(F.lit("SQ"), order_key.cast("string"))
+
+
 def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
     """Typed sales lines, in the shape that cleaning produces, with their order columns.
 
-    The lines are not sorted for the joins: a task looks them up in its part of the orders,
-    and then of the parts, which are fewer.
+    The lines are not sorted for the joins: a task looks them up in its part of the parts,
+    and then of the orders.  Orders come last and are found by the basket's name, so that
+    the lines of a basket are together and groupings by basket need no further shuffle.
     """
     sold = table(spark, folder, "lineitem").select(
         "l_orderkey",
@@ -39,15 +44,16 @@ def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_discount").cast("decimal(4,2)").alias("l_discount"),
         F.col("l_tax").cast("decimal(4,2)").alias("l_tax"),
     )
-    joined = (
-        sold.join(table(spark, folder, "orders").hint("shuffle_hash"), F.col("l_orderkey") == F.col("o_orderkey"))
-        .join(table(spark, folder, "part").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
+    named = sold.join(table(spark, folder, "part").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
+    baskets = table(spark, folder, "orders").withColumn("_basket", _basket(F.col("o_orderkey")))
+    joined = named.withColumn("transaction_id", _basket(F.col("l_orderkey"))).join(
+        baskets.hint("shuffle_hash"), F.col("transaction_id") == F.col("_basket")
     )
     gross = F.col("l_extendedprice")
     seconds = 25200 + (F.col("o_orderkey") * 7919) % 54000
     amounts = joined.select(
-        F.concat(F.lit("SQ"), F.col("l_orderkey").cast("string")).alias("transaction_id"),
-        F.concat(F.lit("PMT"), F.col("l_orderkey").cast("string")).alias("payment_id"),
+        "transaction_id",
+        F.concat(F.lit("PMT"), F.col("o_orderkey").cast("string")).alias("payment_id"),
         F.to_date("o_orderdate").alias("date"),
         (F.col("o_orderdate") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).alias("transaction_ts"),
         F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("sku"),
