@@ -510,9 +510,13 @@ def check_ranges(spark, folder):
 
 
 def _reconciliation(spark, folder):
-    """KPIs use no line numbers; the text is rendered once and read twice, by either side."""
+    """KPIs use no line numbers; the text is rendered once and read twice, by either side.
+
+    Only cells that one of the sides reads are rendered: the time of day is the one that
+    cleaning needs beside those of the independent side.
+    """
     path = scratch_path(spark, "raw")
-    order_lines.raw_export(spark, folder).drop(*LINE_ORDER).write.parquet(path)
+    order_lines.raw_export(spark, folder).select(*reconcile.RAW_KPI_COLUMNS, "Time").write.parquet(path)
     raw = spark.read.parquet(path)
     return reconcile.reconcile_kpis(raw, line_values(clean(raw)))
 

@@ -59,13 +59,18 @@ def headline_kpis_by_range(lines: DataFrame, ranges: DataFrame) -> DataFrame:
 
 
 def in_ranges(df: DataFrame, ranges: DataFrame) -> DataFrame:
-    """Each row once per (label, start, end) range that its date lies in, with the label."""
+    """Each row once per (label, start, end) range that its date lies in, with the label.
+
+    The day is a generated column, worked out once: Spark drops rows of no range early, and
+    on a plain column that would repeat the parsing of the day for every range.
+    """
     few = ranges.agg(F.collect_list(F.struct("label", "start", "end"))).scalar()
-    own = F.filter("_ranges", lambda r: F.col("date").between(r["start"], r["end"]))
+    own = F.filter("_ranges", lambda r: F.col("_day").between(r["start"], r["end"]))
     return (
-        df.withColumn("_ranges", few)
+        df.select("*", F.explode(F.array("date")).alias("_day"))
+        .withColumn("_ranges", few)
         .select("*", F.inline(own))
-        .drop("_ranges", "start", "end")
+        .drop("_ranges", "_day", "start", "end")
     )
 
 
