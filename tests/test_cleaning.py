@@ -1,11 +1,12 @@
 import datetime as dt
+import re
 from decimal import Decimal
 
 import pytest
 from pyspark.sql import functions as F
 
 from tillscope.functions.headers import snake_case
-from tillscope.functions.parsing import parse_money, parse_number
+from tillscope.functions.parsing import parse_clock, parse_day, parse_money, parse_number
 from tillscope.names import PRIVATE_COLUMNS, RAW_COLUMNS
 from tillscope.operators.cleaning import clean, drop_private, normalize_headers, parse_amounts, parse_datetime
 
@@ -86,6 +87,23 @@ def test_money(spark):
     assert parsed(spark, parse_money, bad) == [None] * len(bad)
 
 
+def test_usual_shapes_are_parsed_without_stripping(spark):
+    """A usual cell takes the first branch, an odd one with the same digits gives the same value."""
+    pairs = [
+        (parse_day, "02/28/2025", "\u20032/28/2025\n"), (parse_money, "-$1.23", "\x85-$1.23\u2028"),
+        (parse_number, "007.50", "\t+7.5 "), (parse_day, "02/30/2025", " 02/30/2025"), (parse_day, "01/01/0000", "1/1/0000"),
+        (parse_clock, "12:05:07 am", " 12:5:7\tAM\n"), (parse_clock, "11:59:61 PM", "11:59:61  pm"),
+    ]
+    for parse, usual, odd in pairs:
+        plain, other = parsed(spark, parse, [usual, odd])
+        assert plain == other, (usual, odd)
+    assert parsed(spark, parse_clock, ["11:59:61 PM"]) == [dt.timedelta(days=1, seconds=1)]
+    for parse in (parse_day, parse_money, parse_number):
+        rows = spark.createDataFrame([("1",)], "t string").select(parse(F.col("t")))
+        branches = rows._jdf.queryExecution().analyzed().toString()
+        assert re.search(r"RLIKE\(t#|t#\d+ RLIKE", branches).start() < branches.index("trim("), branches
+
+
 def test_quantity(spark):
     good = {"3": 3.0, " 3 ": 3.0, "3.0": 3.0, "-2": -2.0, "+4": 4.0, ".5": 0.5, "2.": 2.0, "1e2": 100.0}
     bad = ["a pair", "n.a.", "", "+", "7 pcs", None, "3d", "3f", "inf", "-Infinity", "nan", "1e999", "1_000", "0x10"]

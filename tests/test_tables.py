@@ -8,7 +8,7 @@ from tillscope.names import LINE_ITEM_COLUMNS
 from tillscope.operators.numbering import number_rows
 from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_tables, build_transactions
 from tillscope.sources import order_lines
-from tillscope.sources.tables import FOOTERS, _conf, stored_date_bounds
+from tillscope.sources.tables import FOOTERS, _conf, _number_files, build_and_load, stored_date_bounds
 
 SCHEMA = """n int, transaction_id string, transaction_ts timestamp_ntz, date date, sku string, item string,
             category string, qty double, gross_sales decimal(18,2), discounts decimal(18,2), net_sales decimal(18,2),
@@ -122,6 +122,41 @@ def test_aggregates_shrink_before_they_shuffle(spark, folder):
         assert "partial_sum" in plan and "Window" not in plan
 
 
+def test_files_are_numbered_in_the_order_of_their_paths(spark, tmp_path):
+    rows = [("b", 7), ("a", 9), (None, 1), ("b", 2)]
+    numbered = _number_files(spark.createDataFrame(rows, "source_file string, source_row bigint"), f"{tmp_path}/files")
+    got = {(r.source_file, r.source_row, r.file_no) for r in numbered.collect()}
+    assert got == {("b", 7, 2), ("a", 9, 1), (None, 1, None), ("b", 2, 2)}
+
+
+def test_loaded_tables_are_those_of_the_paths_order(spark, tmp_path):
+    """Numbered files and stored rows give the tables that lazy building gives, also for patchy baskets."""
+    plain = [
+        line(1, "A", device="d1"), line(2, "A", payment="p2"), line(3, "A", payment="p3", device="d3"), line(4, "A", "t"),
+        line(5, "B", item=None), line(6, "B", category=None, item="late"), line(7, "C", payment="p7", device="d7"),
+        line(8, None), line(9, None), line(10, "A", day=2), line(11, "B", "u", item=None),
+    ]
+    rows = cleaned(spark, plain).withColumn("source_file", F.when(F.col("n") % 3 != 0, F.concat(F.lit("f"), 9 - F.col("n") % 3)))
+    rows = rows.withColumn("source_row", F.col("n").cast("bigint")).drop("n")
+    loaded = build_and_load(rows, folder=str(tmp_path), check=False)
+    position = F.struct("source_file", "source_row")
+    assert loaded.keys() == build_tables(rows).keys()
+    for name, table in build_tables(rows.withColumn("place", position), ["place"]).items():
+        assert loaded[name].dtypes == table.dtypes
+        assert sorted(map(str, loaded[name].collect())) == sorted(map(str, table.collect()))
+
+
+def test_values_of_stored_rows_are_shuffled_once(spark):
+    """By day and sku; the grouping by basket shuffles its keys and a count only."""
+    rows = [line(1, "A", "x"), line(2, "A", "x"), line(3, "B", "x"), line(4, None, "x"), line(5, None, "y"), line(6, "B", None)]
+    lines = cleaned(spark, rows)
+    daily = build_daily_item_sales(lines, ["n"], stored=True)
+    assert {(r.sku, r.units_sold, r.transactions_count) for r in daily.collect()} == {("x", 4, 2), ("y", 1, 0)}
+    assert daily.schema == build_daily_item_sales(lines, ["n"]).schema
+    plan = daily._jdf.queryExecution().optimizedPlan().toString()
+    assert not [node for node in plan.splitlines() if "transaction_id" in node and "sum(gross_sales" in node]
+
+
 def test_bounds_come_from_footers(spark, tmp_path):
     rows = [(dt.date(2025, 1, 3), 1), (dt.date(2024, 12, 30), 2), (None, 3), (dt.date(2025, 3, 1), 4)]
     lines = spark.createDataFrame(rows, "date date, n int")

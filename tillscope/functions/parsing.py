@@ -25,6 +25,12 @@ _CLOCK = r"^(0?[1-9]|1[0-2]):[0-5]?\d:([0-5]?\d|6[01])\s+[AaPp][Mm]$"
 LIMITS = ("1677-09-21 00:12:43.145225", "2262-04-11 23:47:16.854775")
 _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
+# The usual shapes, without white space around them.  Cells of these are parsed as they
+# stand; only the others are stripped and taken apart step by step.
+_USUAL_DATE = r"^(0[1-9]|1[0-2])/(0[1-9]|[12]\d|3[01])/(?!0000)\d{4}\z"
+_USUAL_MONEY = MONEY_PATTERN.removesuffix("$") + r"\z"
+_USUAL_NUMBER = r"^\d{1,18}(\.\d{1,18})?\z"
+
 
 def strip(text: Column) -> Column:
     return F.btrim(text, F.lit(_WHITE))
@@ -32,21 +38,23 @@ def strip(text: Column) -> Column:
 
 def parse_day(text: Column) -> Column:
     """``01/15/2025`` or ``1/5/2025`` as a date; impossible days are null."""
-    text = strip(text)
-    iso = F.regexp_replace(text, r"^(\d+)/ ?(\d+)/(\d+)$", "$3-$1-$2")
-    return F.when(text.rlike(_DATE), iso).try_cast("date")
+    bare = strip(text)
+    iso = F.regexp_replace(bare, r"^(\d+)/ ?(\d+)/(\d+)$", "$3-$1-$2")
+    usual = F.concat(F.substring(text, 7, 4), F.lit("-"), F.substring(text, 1, 2), F.lit("-"), F.substring(text, 4, 2))
+    return F.when(text.rlike(_USUAL_DATE), usual).when(bare.rlike(_DATE), iso).try_cast("date")
 
 
 def parse_clock(text: Column) -> Column:
     """``02:30:00 PM`` as the interval since midnight."""
     text = strip(text)
     clock = F.when(text.rlike(_CLOCK), text)
-    minutes = F.regexp_extract(clock, r"^\d+:\d+", 0).try_cast("interval hour to minute")
-    seconds = F.regexp_extract(clock, r":(\d+)\s", 1).try_cast("decimal(8,6)")
-    afternoon = F.when(F.lower(F.right(text, F.lit(2))) == "pm", 12).otherwise(0)
     # The hour after noon or midnight is written 12 but counts as 0.
-    twelve = F.when(text.startswith("12"), 12).otherwise(0)
-    return minutes + F.make_dt_interval(hours=afternoon - twelve, secs=seconds)
+    hour = F.split_part(clock, F.lit(":"), F.lit(1)).try_cast("int") % 12
+    minute = F.split_part(clock, F.lit(":"), F.lit(2)).try_cast("int")
+    # One digit or two; the cast passes over white space.
+    second = F.left(F.split_part(clock, F.lit(":"), F.lit(3)), F.lit(2)).try_cast("int")
+    afternoon = F.when(F.lower(F.right(text, F.lit(2))) == "pm", 12).otherwise(0)
+    return F.make_dt_interval(hours=hour + afternoon, mins=minute, secs=second.cast("decimal(18,6)"))
 
 
 def _within_limits(moment: Column) -> Column:
@@ -67,12 +75,14 @@ def parse_date(date: Column) -> Column:
 
 def parse_money(text: Column) -> Column:
     """``$12.34`` -> 12.34 and ``-$1.23`` -> -1.23; no other shape is repaired."""
-    text = strip(text)
-    return F.when(text.rlike(MONEY_PATTERN), F.replace(text, F.lit("$"), F.lit("")).try_cast(MONEY))
+    bare = strip(text)
+    amount = F.when(text.rlike(_USUAL_MONEY), text).when(bare.rlike(MONEY_PATTERN), bare)
+    return F.replace(amount, F.lit("$"), F.lit("")).try_cast(MONEY)
 
 
 def parse_number(text: Column) -> Column:
     """A finite decimal number as double; Spark alone would also take ``3d`` and ``inf``."""
-    text = strip(text)
-    value = F.when(text.rlike(_NUMBER), text.try_cast("double"))
-    return F.when(F.abs(value) < float("inf"), value)
+    bare = strip(text)
+    value = F.when(bare.rlike(_NUMBER), bare.try_cast("double"))
+    # The usual shape is too short to be infinite.
+    return F.when(text.rlike(_USUAL_NUMBER), text.try_cast("double")).when(F.abs(value) < float("inf"), value)

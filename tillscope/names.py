@@ -82,3 +82,5 @@ MONEY = "decimal(18,2)"
 
 # Number of the file and position in it, kept from the scan until the tables are built.
 ROW_ORDER = ("source_file", "source_row")
+# The same order with the files numbered.
+NUMBERED_ORDER = ("file_no", "source_row")

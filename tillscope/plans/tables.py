@@ -7,14 +7,17 @@ value in row order, taken with ``min_by`` so that it survives any shuffle.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
+from functools import reduce
+from operator import and_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tillscope.functions.calendar import weekday_name
 from tillscope.functions.numbers import total
-from tillscope.names import HEADER_COLUMNS, LINE_ITEM_COLUMNS, MONEY, MONEY_COLUMNS, ROW_ORDER
+from tillscope.names import HEADER_COLUMNS, LINE_ITEM_COLUMNS, MONEY, MONEY_COLUMNS, NUMBERED_ORDER, ROW_ORDER
 from tillscope.operators.numbering import number_rows
 
 
@@ -37,6 +40,32 @@ def _placed(column: str, order: Sequence[str]) -> Column:
     return F.when(F.col(column).isNotNull(), F.struct(*places, F.col(column).alias(column)))
 
 
+def _first_parts(columns: Sequence[str], order: Sequence[str]) -> list[Column]:
+    """What ``_firsts`` needs, one place for all values of a row and one more per value of patchy rows.
+
+    Only for orders that name one row by each place: ties would go by the first column.
+    """
+    places = [F.col(name).alias(f"_{i}") for i, name in enumerate(order)]
+    whole = reduce(and_, (F.col(name).isNotNull() for name in columns))
+    together = F.when(whole, F.struct(*places, *columns)).alias("_together")
+    return [together, *(F.when(~whole, _placed(name, order)).alias(f"_alone_{name}") for name in columns)]
+
+
+def _firsts(columns: Sequence[str], order: Sequence[str]) -> list[Column]:
+    """The first value of each column, from the minima of ``_first_parts``."""
+    whole = F.col("_together")
+    fields = [f"_{i}" for i in range(len(order))]
+    firsts = []
+    for name in columns:
+        own = F.struct(*(whole[field].alias(field) for field in fields), whole[name].alias(name))
+        firsts.append(F.least(F.when(whole.isNotNull(), own), F.col(f"_alone_{name}"))[name].alias(name))
+    return firsts
+
+
+def _one_row_a_place(order: Sequence[str]) -> bool:
+    return tuple(order) in (ROW_ORDER, NUMBERED_ORDER)
+
+
 def line_values(cleaned: DataFrame) -> DataFrame:
     """The cleaned rows with the values of line items but without their numbers, for sums over lines."""
     return _typed(cleaned)
@@ -82,44 +111,98 @@ def build_transactions(cleaned: DataFrame, order: Sequence[str] | None = None) -
     """
     order = _order(cleaned, order)
     headers = [name for name in HEADER_COLUMNS if name in cleaned.columns]
-    baskets = (
-        _typed(cleaned)
-        .where(F.col("transaction_id").isNotNull())
-        .groupBy("transaction_id")
-        .agg(
-            _first("transaction_ts", order),
-            _first("date", order),
-            F.count("*").alias("num_line_items"),
-            total(F.col("qty")).alias("total_qty"),
-            *(total(F.col(name)).alias(f"total_{name}") for name in MONEY_COLUMNS),
-            *(_first(name, order) for name in headers),
-        )
+    days, sums = ["transaction_ts", "date"], ["num_line_items", "total_qty", *(f"total_{name}" for name in MONEY_COLUMNS)]
+    totals = (
+        F.count("*").alias("num_line_items"),
+        total(F.col("qty")).alias("total_qty"),
+        *(total(F.col(name)).alias(f"total_{name}") for name in MONEY_COLUMNS),
     )
+    lines = _typed(cleaned).where(F.col("transaction_id").isNotNull())
+    if _one_row_a_place(order):
+        firsts = [*days, *headers]
+        parts = lines.select("transaction_id", "qty", *MONEY_COLUMNS, *_first_parts(firsts, order))
+        minima = (F.min(name).alias(name) for name in ("_together", *(f"_alone_{name}" for name in firsts)))
+        baskets = parts.groupBy("transaction_id").agg(*totals, *minima)
+        values = {name: value for name, value in zip(firsts, _firsts(firsts, order), strict=True)}
+        baskets = baskets.select(
+            "transaction_id", *(values[name] for name in days), *sums, *(values[name] for name in headers)
+        )
+    else:
+        baskets = lines.groupBy("transaction_id").agg(
+            *(_first(name, order) for name in days), *totals, *(_first(name, order) for name in headers)
+        )
     return baskets.withColumns(
         {"hour": F.hour("transaction_ts"), "weekday": weekday_name(F.col("transaction_ts"))}
     )
 
 
-def build_daily_item_sales(lines: DataFrame, order: Sequence[str] | None = None) -> DataFrame:
+def build_daily_item_sales(
+    lines: DataFrame, order: Sequence[str] | None = None, *, stored: bool = False
+) -> DataFrame:
     """One row per day and sku; takes cleaned rows or line items with their order columns.
 
     One pass: sums, first values and the day's baskets come out of a grouping by day,
     sku and basket, whose rows are then grouped by day and sku.  Both shrink in each
     task before they are shuffled.
+
+    ``stored`` rows are cheap to read, so they are read twice and the values are shuffled
+    once: the lines are grouped by day and sku, and what a basket counts too often comes
+    from a grouping of the three keys alone.
     """
     order = _order(lines, order)
     sales = _typed(lines).where(F.col("date").isNotNull() & F.col("sku").isNotNull())
     firsts = ["item", "category"]
     sums = {"units_sold": "qty", **{name: name for name in MONEY_COLUMNS}}
+    if _one_row_a_place(order):
+        parts = _first_parts(firsts, order)
+        names, values = ["_together", *(f"_alone_{name}" for name in firsts)], _firsts(firsts, order)
+    else:
+        parts = [_placed(name, order).alias(f"_alone_{name}") for name in firsts]
+        names = [f"_alone_{name}" for name in firsts]
+        values = [F.col(f"_alone_{name}")[name].alias(name) for name in firsts]
+    sales = sales.select("date", "sku", "transaction_id", *dict.fromkeys(sums.values()), *parts)
+    if stored:
+        days = _days_of_stored(sales, names, sums)
+        return days.select("date", "sku", *values, *sums, "transactions_count")
     baskets = sales.groupBy("date", "sku", "transaction_id").agg(
-        *(F.min(_placed(name, order)).alias(name) for name in firsts),
+        *(F.min(name).alias(name) for name in names),
         *(total(F.col(name)).alias(shown) for shown, name in sums.items()),
     )
-    return baskets.groupBy("date", "sku").agg(
-        *(F.min(name)[name].alias(name) for name in firsts),
+    days = baskets.groupBy("date", "sku").agg(
+        *(F.min(name).alias(name) for name in names),
         *(total(F.col(shown)).alias(shown) for shown in sums),
         F.count("transaction_id").alias("transactions_count"),
     )
+    return days.select("date", "sku", *values, *sums, "transactions_count")
+
+
+def _days_of_stored(sales: DataFrame, names: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
+    """Minima, sums and number of baskets per day and sku.
+
+    Every line with a basket counts one; a basket of n lines takes n - 1 back.
+    """
+    keys = ["date", "sku", "transaction_id"]
+    again = sales.where(F.col("transaction_id").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_lines"))
+    again = again.where(F.col("_lines") > 1).select("date", "sku", (1 - F.col("_lines")).alias("_baskets"))
+    once = sales.withColumn("_baskets", F.when(F.col("transaction_id").isNotNull(), F.lit(1)).otherwise(0).cast("bigint"))
+    days = (
+        once.drop("transaction_id")
+        .unionByName(again, allowMissingColumns=True)
+        .groupBy("date", "sku")
+        .agg(
+            *(F.min(name).alias(name) for name in names),
+            *(total(F.col(name)).alias(shown) for shown, name in sums.items()),
+            total(F.col("_baskets")).alias("transactions_count"),
+        )
+    )
+    types = {field.name: field.dataType for field in days.schema.fields}
+    # The types that sums of sums have.
+    wide = {
+        shown: F.col(shown).cast(T.DecimalType(min(38, types[shown].precision + 10), types[shown].scale))
+        for shown in sums
+        if isinstance(types[shown], T.DecimalType)
+    }
+    return days.withColumns(wide) if wide else days
 
 
 def build_tables(cleaned: DataFrame, order: Sequence[str] | None = None) -> dict[str, DataFrame]:

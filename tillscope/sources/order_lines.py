@@ -86,13 +86,20 @@ def money_text(value: Column) -> Column:
     return F.concat(F.when(value < 0, "-").otherwise(""), F.lit("$"), digits)
 
 
-def time_text(ts: Column, pattern: str = "%02d:%02d:%02d %s") -> Column:
-    """Clock text in the twelve-hour form, from the fields of a zone-free timestamp."""
+def time_text(ts: Column, pattern: str | None = None) -> Column:
+    """Clock text in the twelve-hour form, from the fields of a zone-free timestamp.
+
+    Without a ``printf`` pattern the text is put together as ``02:30:00 PM``.
+    """
     hour = F.hour(ts)
     twelve = F.when(hour % 12 == 0, 12).otherwise(hour % 12)
-    return F.format_string(
-        pattern, twelve, F.minute(ts), F.second(ts), F.when(hour < 12, "AM").otherwise("PM")
-    )
+    half = F.when(hour < 12, "AM").otherwise("PM")
+    if pattern is not None:
+        return F.format_string(pattern, twelve, F.minute(ts), F.second(ts), half)
+    # An absent field is written as ``printf`` writes it.
+    fields = (twelve, F.minute(ts), F.second(ts))
+    two = [F.coalesce(F.lpad(field.cast("string"), 2, "0"), F.lit("null")) for field in fields]
+    return F.concat(F.concat_ws(":", *two), F.lit(" "), half)
 
 
 def raw_export(spark: SparkSession, folder: str, *, faults: bool = False) -> DataFrame:
