@@ -137,7 +137,7 @@ def build_transactions(cleaned: DataFrame, order: Sequence[str] | None = None) -
 
 
 def build_daily_item_sales(
-    lines: DataFrame, order: Sequence[str] | None = None, *, stored: bool = False
+    lines: DataFrame, order: Sequence[str] | None = None, *, stored: bool | None = None
 ) -> DataFrame:
     """One row per day and sku; takes cleaned rows or line items with their order columns.
 
@@ -147,9 +147,11 @@ def build_daily_item_sales(
 
     ``stored`` rows are cheap to read, so they are read twice and the values are shuffled
     once: the lines are grouped by day and sku, and what a basket counts too often comes
-    from a grouping of the three keys alone.
+    from a grouping of the three keys alone.  Unless told, rows with numbered files are
+    taken as stored.
     """
     order = _order(lines, order)
+    stored = tuple(order) == NUMBERED_ORDER if stored is None else stored
     sales = _typed(lines).where(F.col("date").isNotNull() & F.col("sku").isNotNull())
     firsts = ["item", "category"]
     sums = {"units_sold": "qty", **{name: name for name in MONEY_COLUMNS}}
