@@ -1,7 +1,9 @@
 """The encoder against the public tokenizers library, and its edge cases."""
 
 import hashlib
+import pickle
 import random
+import tracemalloc
 
 import numpy as np
 import public_tokenizers
@@ -81,3 +83,37 @@ def test_nulls_repeats_and_extra_columns(spark, vocabulary):
     assert bpe.encode_texts(table.limit(0), vocabulary).collect() == []
     both = bpe.encode_with_digests(table, vocabulary).collect()
     assert all(r["n_tokens"] == len(r["ids"]) for r in both)
+
+
+def random_words(n, seed=5):
+    draw = random.Random(seed)
+    return ["".join(draw.choices("abdeilnorst", k=8)) + draw.choice(["", ",", "."]) for _ in range(n)]
+
+
+def test_keeps_what_it_meets_again(vocabulary, library, monkeypatch):
+    monkeypatch.setattr(bpe, "REMEMBERED", 100)
+    encoder = bpe.Encoder(vocabulary)
+    learned = []
+    learn = encoder._learn
+    encoder._learn = lambda chunks: (learned.extend(chunks), learn(chunks))
+    words = random_words(2000)
+    for start in range(0, 2000, 40):
+        text = " ".join(["Usual", "words,", *words[start : start + 40]])
+        ids, _ = encoder.encode(pa.array([text]))
+        assert ids.tolist() == expected(library, text)[0]
+        assert len(encoder.rows) < 250
+    assert learned.count("Usual") == learned.count("words,") == 1
+
+
+def test_memory_of_an_encoder(vocabulary):
+    """The worker of each core holds a vocabulary and what was remembered."""
+    parts = [pa.array([" ".join(random_words(15000, seed))]) for seed in range(10)]
+    stored = pickle.dumps(vocabulary)
+    held = []
+    tracemalloc.start()
+    encoder = bpe.Encoder(pickle.loads(stored))
+    for part in parts:
+        encoder.encode(part)
+        held.append(tracemalloc.get_traced_memory()[0])
+    tracemalloc.stop()
+    assert max(held) < 60 << 20
