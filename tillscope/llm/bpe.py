@@ -41,7 +41,7 @@ SLICE_BYTES = 1 << 19
 # Rows that travel at once: no more than a few slices, for Spark and its worker both hold them.
 BATCH_BYTES = 1 << 20
 # Pairs whose compatibility, and words whose tokens, a task remembers before it forgets.
-REMEMBERED = 1 << 17
+REMEMBERED = 3 << 16
 
 # The splitter's pattern and the white space of Unicode.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
