@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tillscope.names import LINE_ITEM_COLUMNS
 from tillscope.operators.numbering import number_rows
 from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_tables, build_transactions
+from tillscope.session import STORING
 from tillscope.sources import order_lines
 from tillscope.sources.tables import FOOTERS, _conf, _number_files, build_and_load, stored_date_bounds
 
@@ -173,3 +174,31 @@ def test_bounds_come_from_footers(spark, tmp_path):
     with _conf(spark, FOOTERS):
         plan = spark.read.parquet(f"{tmp_path}/some").agg(F.min("date"))._jdf.queryExecution().executedPlan().toString()
     assert "PushedAggregation: [MIN(date)]" in plan
+
+
+def shuffle_files(spark):
+    """Names of the shuffle files that are on disk."""
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    return {name for name in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in name and name.endswith(".data")}
+
+
+@pytest.mark.parametrize("together", [False, True])
+def test_loads_leave_only_their_tables_on_disk(spark, tmp_path, together):
+    """The shuffles of each step go with it; settings of the session stay as they were."""
+    rows = cleaned(spark, [line(n, f"B{n % 7}", f"s{n % 3}", day=1 + n % 5) for n in range(60)])
+    before, settings = shuffle_files(spark), {key: spark.conf.get(key) for key in STORING}
+    build_and_load(rows, ["n"], folder=str(tmp_path), by_month=True, together=together)
+    # The list of loads is sorted when the tables are opened: one row.
+    assert len(shuffle_files(spark) - before) <= 1
+    assert {key: spark.conf.get(key) for key in STORING} == settings
+    assert list(tmp_path.glob("load-*/daily_item_sales/sale_month=*/*.zstd.parquet"))
+
+
+def test_rows_of_equal_place_give_values_of_one_row(spark):
+    """Also in orders that do not tell all rows apart."""
+    rows = [line(1, "A", "x", item="b", category="d", payment="p2", device="d1"), line(1, "A", "x", payment="p1", device="d2")]
+    basket = build_transactions(cleaned(spark, rows), ["n"]).first()
+    assert (basket.payment_id, basket.device_name) == ("p1", "d2")
+    for stored in (False, True):
+        day = build_daily_item_sales(cleaned(spark, rows), ["n"], stored).first()
+        assert (day.item, day.category, day.transactions_count) == ("b", "d", 1)

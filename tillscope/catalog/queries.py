@@ -530,7 +530,7 @@ def kpi_reconciliation(spark, folder):
 def export_reconciliation(spark, folder):
     """From CSV files through stored tables, and once more from the text of the files."""
     export = scratch_path(spark, "export")
-    write_sales_csv(order_lines.raw_export(spark, folder).drop(*LINE_ORDER), export, compression="lz4")
+    write_sales_csv(order_lines.raw_export(spark, folder).drop(*LINE_ORDER), export, compression="gzip")
     tables = build_and_load(ingest_csv(spark, export), folder=scratch_path(spark, "tables"))
     return reconcile.reconcile_export(spark, export, tables["line_items"])
 

@@ -7,13 +7,15 @@ reasons instead of the first one.  Columns the contract does not name are free.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tillscope.session import storing
+
 FAILURE = T.StructType(
     [
         T.StructField("scope", T.StringType()),
@@ -197,21 +199,34 @@ def require_valid(df: DataFrame, contract: Sequence[Field] = CONTRACT) -> DataFr
     return df
 
 
-def write_valid(df: DataFrame, path: str, contract: Sequence[Field] = CONTRACT) -> DataFrame:
+def store_rows(df: DataFrame, path: str) -> DataFrame:
+    with storing(df.sparkSession):
+        df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def write_valid(
+    df: DataFrame,
+    path: str,
+    contract: Sequence[Field] = CONTRACT,
+    *,
+    store: Callable[[DataFrame, str], DataFrame] = store_rows,
+) -> DataFrame:
     """Write the frame as Parquet and read it back, or ContractError.
 
     The contract is checked on the way, while the rows are written, so large
-    text is parsed once and no second pass reads it for the check.
+    text is parsed once and no second pass reads it for the check.  ``store`` is what
+    writes and opens them.
     """
     if _schema_failures(df, contract):
         require_valid(df, contract)
     watch = Observation("contract")
     errors = _error_count(df, contract)
     watched = df.observe(watch, F.count(F.lit(1)).alias("row_count"), errors.cast("bigint").alias("error_count"))
-    watched.write.mode("overwrite").parquet(path)
+    rows = store(watched, path)
     if watch.get["error_count"]:
         raise ContractError(watch.get)
-    return df.sparkSession.read.parquet(path)
+    return rows
 
 
 def _require_columns(df: DataFrame, contract: Sequence[Field]) -> None:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tillscope.session import scratch_path
+from tillscope.session import scratch_path, storing
 
 
 # Rows of a group that one task numbers; what is larger is cut into slices.
@@ -69,5 +69,6 @@ def _numbered_by_slices(df: DataFrame, key: str, order: Sequence[str], name: str
 
 def _stored(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    with storing(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)

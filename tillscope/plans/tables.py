@@ -2,7 +2,7 @@
 
 Each is one pre-aggregated pass over the cleaned rows (the line items need a
 sort per basket for their numbers).  "First" always means the first non-null
-value in row order, taken with ``min_by`` so that it survives any shuffle.
+value in row order, taken as the least of (place, value) so that it survives any shuffle.
 """
 
 from __future__ import annotations
@@ -29,11 +29,6 @@ def _order(df: DataFrame, order: Sequence[str] | None) -> list[str]:
     return order
 
 
-def _first(column: str, order: Sequence[str]) -> Column:
-    position = F.struct(*order) if len(order) > 1 else F.col(order[0])
-    return F.min_by(column, F.when(F.col(column).isNotNull(), position)).alias(column)
-
-
 def _placed(column: str, order: Sequence[str]) -> Column:
     """A value behind its place in row order, null where the value is."""
     places = (F.col(name).alias(f"_{i}") for i, name in enumerate(order))
@@ -43,7 +38,7 @@ def _placed(column: str, order: Sequence[str]) -> Column:
 def _first_parts(columns: Sequence[str], order: Sequence[str]) -> list[Column]:
     """What ``_firsts`` needs, one place for all values of a row and one more per value of patchy rows.
 
-    Only for orders that name one row by each place: ties would go by the first column.
+    Rows of equal place go by their values, from the first column on.
     """
     places = [F.col(name).alias(f"_{i}") for i, name in enumerate(order)]
     whole = reduce(and_, (F.col(name).isNotNull() for name in columns))
@@ -62,10 +57,6 @@ def _firsts(columns: Sequence[str], order: Sequence[str]) -> list[Column]:
     return firsts
 
 
-def _one_row_a_place(order: Sequence[str]) -> bool:
-    return tuple(order) in (ROW_ORDER, NUMBERED_ORDER)
-
-
 def line_values(cleaned: DataFrame) -> DataFrame:
     """The cleaned rows with the values of line items but without their numbers, for sums over lines."""
     return _typed(cleaned)
@@ -118,26 +109,21 @@ def build_transactions(cleaned: DataFrame, order: Sequence[str] | None = None) -
         *(total(F.col(name)).alias(f"total_{name}") for name in MONEY_COLUMNS),
     )
     lines = _typed(cleaned).where(F.col("transaction_id").isNotNull())
-    if _one_row_a_place(order):
-        firsts = [*days, *headers]
-        parts = lines.select("transaction_id", "qty", *MONEY_COLUMNS, *_first_parts(firsts, order))
-        minima = (F.min(name).alias(name) for name in ("_together", *(f"_alone_{name}" for name in firsts)))
-        baskets = parts.groupBy("transaction_id").agg(*totals, *minima)
-        values = {name: value for name, value in zip(firsts, _firsts(firsts, order), strict=True)}
-        baskets = baskets.select(
-            "transaction_id", *(values[name] for name in days), *sums, *(values[name] for name in headers)
-        )
-    else:
-        baskets = lines.groupBy("transaction_id").agg(
-            *(_first(name, order) for name in days), *totals, *(_first(name, order) for name in headers)
-        )
+    firsts = [*days, *headers]
+    parts = lines.select("transaction_id", "qty", *MONEY_COLUMNS, *_first_parts(firsts, order))
+    minima = (F.min(name).alias(name) for name in ("_together", *(f"_alone_{name}" for name in firsts)))
+    baskets = parts.groupBy("transaction_id").agg(*totals, *minima)
+    values = {name: value for name, value in zip(firsts, _firsts(firsts, order), strict=True)}
+    baskets = baskets.select(
+        "transaction_id", *(values[name] for name in days), *sums, *(values[name] for name in headers)
+    )
     return baskets.withColumns(
         {"hour": F.hour("transaction_ts"), "weekday": weekday_name(F.col("transaction_ts"))}
     )
 
 
 def build_daily_item_sales(
-    lines: DataFrame, order: Sequence[str] | None = None, *, stored: bool | None = None
+    lines: DataFrame, order: Sequence[str] | None = None, stored: bool | None = None
 ) -> DataFrame:
     """One row per day and sku; takes cleaned rows or line items with their order columns.
 
@@ -155,13 +141,8 @@ def build_daily_item_sales(
     sales = _typed(lines).where(F.col("date").isNotNull() & F.col("sku").isNotNull())
     firsts = ["item", "category"]
     sums = {"units_sold": "qty", **{name: name for name in MONEY_COLUMNS}}
-    if _one_row_a_place(order):
-        parts = _first_parts(firsts, order)
-        names, values = ["_together", *(f"_alone_{name}" for name in firsts)], _firsts(firsts, order)
-    else:
-        parts = [_placed(name, order).alias(f"_alone_{name}") for name in firsts]
-        names = [f"_alone_{name}" for name in firsts]
-        values = [F.col(f"_alone_{name}")[name].alias(name) for name in firsts]
+    parts = _first_parts(firsts, order)
+    names, values = ["_together", *(f"_alone_{name}" for name in firsts)], _firsts(firsts, order)
     sales = sales.select("date", "sku", "transaction_id", *dict.fromkeys(sums.values()), *parts)
     if stored:
         days = _days_of_stored(sales, names, sums)
@@ -207,10 +188,12 @@ def _days_of_stored(sales: DataFrame, names: Sequence[str], sums: Mapping[str, s
     return days.withColumns(wide) if wide else days
 
 
-def build_tables(cleaned: DataFrame, order: Sequence[str] | None = None) -> dict[str, DataFrame]:
-    """All three tables from cleaned, valid rows."""
+def build_tables(
+    cleaned: DataFrame, order: Sequence[str] | None = None, stored: bool | None = None
+) -> dict[str, DataFrame]:
+    """All three tables from cleaned, valid rows; ``stored`` as for the daily rollup."""
     return {
         "transactions": build_transactions(cleaned, order),
         "line_items": build_line_items(cleaned, order),
-        "daily_item_sales": build_daily_item_sales(cleaned, order),
+        "daily_item_sales": build_daily_item_sales(cleaned, order, stored),
     }

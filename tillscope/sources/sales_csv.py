@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tillscope.names import ROW_ORDER
 from tillscope.operators.cleaning import clean
+from tillscope.session import storing
 
 _MALFORMED = "_malformed"
 _OVERFLOW = "_overflow"
@@ -142,4 +143,7 @@ def write_sales_csv(df: DataFrame, path: str, *, mode: str = "errorifexists", co
     options = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "compression": compression}
     if compression != "none":
         options["maxRecordsPerFile"] = FILE_ROWS
-    df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="", **options).csv(path)
+        # For gzip: its fastest level.
+        options["zlib.compress.level"] = "BEST_SPEED"
+    with storing(df.sparkSession):
+        df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="", **options).csv(path)
