@@ -277,7 +277,7 @@ def daily_patchy_items(spark, folder):
 def stored_tables(spark, folder):
     """Export to stored tables and back: rows and net sales of each."""
     cleaned = clean(order_lines.raw_export(spark, folder))
-    build_and_load(cleaned, LINE_ORDER, folder=scratch_path(spark, "tables"), by_month=True)
+    build_and_load(cleaned, LINE_ORDER, folder=scratch_path(spark, "tables"), by_month=True, together=True)
     return spark.sql(
         """
         SELECT 'line_items' AS table_name, count(*) AS row_count, sum(net_sales) AS net_sales FROM line_items
