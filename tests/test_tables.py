@@ -9,7 +9,7 @@ from tillscope.operators.numbering import number_rows
 from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_tables, build_transactions
 from tillscope.session import STORING
 from tillscope.sources import order_lines
-from tillscope.sources.tables import FOOTERS, _conf, _number_files, build_and_load, stored_date_bounds
+from tillscope.sources.tables import FOOTERS, _conf, _number_files, build_and_load, store_together, stored_date_bounds
 
 SCHEMA = """n int, transaction_id string, transaction_ts timestamp_ntz, date date, sku string, item string,
             category string, qty double, gross_sales decimal(18,2), discounts decimal(18,2), net_sales decimal(18,2),
@@ -194,6 +194,20 @@ def test_loads_leave_only_their_tables_on_disk(spark, tmp_path, together):
     assert list(tmp_path.glob("load-*/daily_item_sales/sale_month=*/*.zstd.parquet"))
 
 
+def test_rows_kept_together_are_not_shuffled_by_basket_again(spark, tmp_path):
+    plain = [line(n, f"B{n % 7}" if n % 11 else None, f"s{n % 3}", payment=f"p{n}" if n % 2 else None) for n in range(60)]
+    rows = cleaned(spark, plain)
+    kept = store_together(rows, f"{tmp_path}/rows")
+    assert sorted(map(str, kept.collect())) == sorted(map(str, rows.collect()))
+    assert not [table.name for table in spark.catalog.listTables() if table.name.startswith("together_")]
+    expected = build_tables(rows, ["n"], True)
+    for name, table in build_tables(kept, ["n"], True).items():
+        assert sorted(map(str, table.collect())) == sorted(map(str, expected[name].collect()))
+        plan = table._jdf.queryExecution().executedPlan().toString()
+        # The rollup is shuffled by day and sku, the other tables not at all.
+        assert plan.split("== Initial Plan ==")[-1].count("Exchange") == (name == "daily_item_sales")
+
+
 def test_rows_of_equal_place_give_values_of_one_row(spark):
     """Also in orders that do not tell all rows apart."""
     rows = [line(1, "A", "x", item="b", category="d", payment="p2", device="d1"), line(1, "A", "x", payment="p1", device="d2")]

@@ -25,7 +25,7 @@ from tillscope.session import scratch_path
 from tillscope.sources import order_lines
 from tillscope.sources.order_lines import LINE_ORDER
 from tillscope.sources.sales_csv import ingest_csv, read_sales_csv, write_sales_csv
-from tillscope.sources.tables import build_and_load, load_views, query_table, save_tables, stored_date_bounds
+from tillscope.sources.tables import build_and_load, load_views, query_table, save_tables, store_together, stored_date_bounds
 
 # The whole span of the order dates, a part of it, and a day before it.
 FULL = ("1995-01-01", "2001-12-31")
@@ -542,10 +542,9 @@ def reconciliation_verdict(spark, folder):
 
 @query
 def grain_consistency(spark, folder):
-    """Over stored tables: each is built once, from lines that are put together once."""
+    """Over stored tables: each is built once, from lines that are put together once and kept so."""
     path = scratch_path(spark, "grains")
-    save_tables({"lines": _lines(spark, folder)}, path)
-    tables = build_tables(spark.read.parquet(f"{path}/lines"), LINE_ORDER)
+    tables = build_tables(store_together(_lines(spark, folder), f"{path}/lines"), LINE_ORDER, True)
     save_tables(tables, path)
     names = ["line_items", "transactions", "daily_item_sales"]
     return reconcile.grain_checks(*(spark.read.parquet(f"{path}/{name}") for name in names))
