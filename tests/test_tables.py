@@ -9,7 +9,7 @@ from tillscope.operators.numbering import number_rows
 from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_tables, build_transactions
 from tillscope.session import STORING
 from tillscope.sources import order_lines
-from tillscope.sources.tables import FOOTERS, _conf, _number_files, build_and_load, store_together, stored_date_bounds
+from tillscope.sources.tables import FOOTERS, _conf, _number_files, build_and_load, save_tables, store_together, stored_date_bounds
 
 SCHEMA = """n int, transaction_id string, transaction_ts timestamp_ntz, date date, sku string, item string,
             category string, qty double, gross_sales decimal(18,2), discounts decimal(18,2), net_sales decimal(18,2),
@@ -216,3 +216,14 @@ def test_rows_of_equal_place_give_values_of_one_row(spark):
     for stored in (False, True):
         day = build_daily_item_sales(cleaned(spark, rows), ["n"], stored).first()
         assert (day.item, day.category, day.transactions_count) == ("b", "d", 1)
+
+
+def test_columns_that_follow_from_others_are_worked_out_after_the_layout(spark, folder, tmp_path):
+    joined = order_lines.joined_lines(spark, folder)
+    lines = order_lines.sales_lines(spark, folder)
+    save_tables({"lines": joined}, str(tmp_path), by_month=True, finish=order_lines.sales_columns)
+    stored = spark.read.parquet(f"{tmp_path}/lines")
+    assert stored.where("sale_month <> trunc(date, 'MM')").isEmpty()
+    stored = stored.drop("sale_month").select(*lines.columns)
+    assert stored.exceptAll(lines).isEmpty() and lines.exceptAll(stored).isEmpty()
+    assert len(joined.columns) < len(lines.columns) and "transaction_id" not in joined.columns

@@ -21,7 +21,7 @@ from tillscope.operators.cleaning import clean, normalize_headers, parse_datetim
 from tillscope.plans import differences, metrics, profile, reconcile
 from tillscope.plans.day_totals import kpis_of_days, save_day_totals
 from tillscope.plans.tables import build_daily_item_sales, build_line_items, build_tables, build_transactions, line_values
-from tillscope.session import scratch_path
+from tillscope.session import scratch_path, storing
 from tillscope.sources import order_lines
 from tillscope.sources.order_lines import LINE_ORDER
 from tillscope.sources.sales_csv import ingest_csv, read_sales_csv, write_sales_csv
@@ -575,9 +575,12 @@ def _spoiled(lines):
 def differing_baskets(spark, folder):
     """Baskets that differ between stored lines and another version of them, found from the months down."""
     path = scratch_path(spark, "versions")
-    save_tables({"own": _lines(spark, folder)}, path, by_month=True)
+    rows = order_lines.joined_lines(spark, folder)
+    save_tables({"own": rows}, path, by_month=True, finish=order_lines.sales_columns)
     # Read from its months again, so a task writes to few of them.
-    _spoiled(spark.read.parquet(f"{path}/own")).write.partitionBy(MONTH).parquet(f"{path}/other")
+    other = _spoiled(spark.read.parquet(f"{path}/own"))
+    with storing(spark):
+        other.write.partitionBy(MONTH).parquet(f"{path}/other")
     return differences.find_differences(*(spark.read.parquet(f"{path}/{name}") for name in ("own", "other")))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tillscope.functions.calendar import MONTH, month_start
-from tillscope.session import scratch_path
+from tillscope.session import scratch_path, storing
 
 
 def row_digest(columns: list[str]) -> Column:
@@ -67,7 +67,8 @@ def find_differences(left: DataFrame, right: DataFrame, key: str = "transaction_
         df.where(_one_of(MONTH, months) if MONTH in df.columns else _within(day, months)) for df in (left, right)
     )
     path = scratch_path(left.sparkSession, "differing-days")
-    _differing(left, right, columns, [day]).select(day).write.parquet(path)
+    with storing(left.sparkSession):
+        _differing(left, right, columns, [day]).select(day).write.parquet(path)
     days = [row[0] for row in left.sparkSession.read.parquet(path).collect()]
     left, right = (df.where(_one_of(day, days)) for df in (left, right))
     return _differing(left, right, columns, [day, key])

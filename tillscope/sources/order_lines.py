@@ -27,12 +27,13 @@ def _basket(order_key: Column) -> Column:
     return F.concat(F.lit("SQ"), order_key.cast("string"))
 
 
-def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
-    """Typed sales lines, in the shape that cleaning produces, with their order columns.
+def joined_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines with the cells of their parts and orders that ``sales_columns`` needs, and their day.
 
     The lines are not sorted for the joins: a task looks them up in its part of the parts,
     and then of the orders.  Orders come last and are found by the basket's name, so that
-    the lines of a basket are together and groupings by basket need no further shuffle.
+    the lines of a basket are together and groupings by basket need no further shuffle; the
+    name itself is not shuffled, the key that it is made of is.
     """
     sold = table(spark, folder, "lineitem").select(
         "l_orderkey",
@@ -45,16 +46,33 @@ def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
         F.col("l_tax").cast("decimal(4,2)").alias("l_tax"),
     )
     named = sold.join(table(spark, folder, "part").hint("shuffle_hash"), F.col("l_partkey") == F.col("p_partkey"))
-    baskets = table(spark, folder, "orders").withColumn("_basket", _basket(F.col("o_orderkey")))
-    joined = named.withColumn("transaction_id", _basket(F.col("l_orderkey"))).join(
-        baskets.hint("shuffle_hash"), F.col("transaction_id") == F.col("_basket")
+    baskets = table(spark, folder, "orders").hint("shuffle_hash")
+    return named.join(baskets, _basket(F.col("l_orderkey")) == _basket(F.col("o_orderkey"))).select(
+        "o_orderkey",
+        "o_orderdate",
+        F.to_date("o_orderdate").alias("date"),
+        "o_orderpriority",
+        "o_custkey",
+        "p_name",
+        "p_type",
+        "l_linenumber",
+        "l_partkey",
+        "l_suppkey",
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
+        "l_tax",
     )
+
+
+def sales_columns(joined: DataFrame) -> DataFrame:
+    """Typed sales lines, in the shape that cleaning produces, with their order columns; row by row."""
     gross = F.col("l_extendedprice")
     seconds = 25200 + (F.col("o_orderkey") * 7919) % 54000
     amounts = joined.select(
-        "transaction_id",
+        _basket(F.col("o_orderkey")).alias("transaction_id"),
         F.concat(F.lit("PMT"), F.col("o_orderkey").cast("string")).alias("payment_id"),
-        F.to_date("o_orderdate").alias("date"),
+        "date",
         (F.col("o_orderdate") + F.make_dt_interval(secs=seconds.cast("decimal(18,6)"))).alias("transaction_ts"),
         F.concat(F.lit("P-"), F.col("l_partkey").cast("string")).alias("sku"),
         F.col("p_name").alias("item"),
@@ -80,6 +98,11 @@ def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def sales_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The sales lines of the whole folder; lines of a basket are together."""
+    return sales_columns(joined_lines(spark, folder))
+
+
 def money_text(value: Column) -> Column:
     """12.34 -> ``$12.34``, -1.23 -> ``-$1.23``."""
     digits = F.abs(value).cast(MONEY).cast("string")
