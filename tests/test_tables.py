@@ -208,6 +208,15 @@ def test_rows_kept_together_are_not_shuffled_by_basket_again(spark, tmp_path):
         assert plan.split("== Initial Plan ==")[-1].count("Exchange") == (name == "daily_item_sales")
 
 
+def test_repeated_baskets_are_counted_before_the_values_are_shuffled(spark):
+    """One shuffle of the rollup of stored rows is left when it is worked out, that of the values."""
+    rows = [line(1, "A", "x"), line(2, "A", "x"), line(3, "B", "x"), line(4, None, "x"), line(5, "A", "y")]
+    daily = build_daily_item_sales(cleaned(spark, rows).coalesce(1), ["n"], True)
+    plan = daily._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert plan.count("Exchange hashpartitioning") == 1
+    assert {(r.sku, r.transactions_count) for r in daily.collect()} == {("x", 2), ("y", 1)}
+
+
 def test_rows_of_equal_place_give_values_of_one_row(spark):
     """Also in orders that do not tell all rows apart."""
     rows = [line(1, "A", "x", item="b", category="d", payment="p2", device="d1"), line(1, "A", "x", payment="p1", device="d2")]

@@ -19,6 +19,7 @@ from tillscope.functions.calendar import weekday_name
 from tillscope.functions.numbers import total
 from tillscope.names import HEADER_COLUMNS, LINE_ITEM_COLUMNS, MONEY, MONEY_COLUMNS, NUMBERED_ORDER, ROW_ORDER
 from tillscope.operators.numbering import number_rows
+from tillscope.session import scratch_path, storing
 
 
 def _order(df: DataFrame, order: Sequence[str] | None) -> list[str]:
@@ -162,11 +163,16 @@ def build_daily_item_sales(
 def _days_of_stored(sales: DataFrame, names: Sequence[str], sums: Mapping[str, str]) -> DataFrame:
     """Minima, sums and number of baskets per day and sku.
 
-    Every line with a basket counts one; a basket of n lines takes n - 1 back.
+    Every line with a basket counts one; a basket of n lines takes n - 1 back.  The baskets
+    of several lines are stored first, so that their shuffle is gone before that of the values.
     """
     keys = ["date", "sku", "transaction_id"]
     again = sales.where(F.col("transaction_id").isNotNull()).groupBy(*keys).agg(F.count("*").alias("_lines"))
     again = again.where(F.col("_lines") > 1).select("date", "sku", (1 - F.col("_lines")).alias("_baskets"))
+    spark, path = sales.sparkSession, scratch_path(sales.sparkSession, "again")
+    with storing(spark):
+        again.write.parquet(path)
+    again = spark.read.parquet(path)
     once = sales.withColumn("_baskets", F.when(F.col("transaction_id").isNotNull(), F.lit(1)).otherwise(0).cast("bigint"))
     days = (
         once.drop("transaction_id")

@@ -143,7 +143,5 @@ def write_sales_csv(df: DataFrame, path: str, *, mode: str = "errorifexists", co
     options = {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False, "compression": compression}
     if compression != "none":
         options["maxRecordsPerFile"] = FILE_ROWS
-        # For gzip: its fastest level.
-        options["zlib.compress.level"] = "BEST_SPEED"
     with storing(df.sparkSession):
         df.write.mode(mode).options(header=True, quote='"', escape='"', emptyValue="", **options).csv(path)
